@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from slotscope.llm.durable import durable
 
-CHUNK = 1024
+CHUNK = 4096
 LEVEL = 3
 #: Bounds of the fit: documents of each class, bytes of text of each class and of
 #: one text, bytes of a dictionary.
@@ -43,7 +43,7 @@ class Scorer:
 
     @staticmethod
     def _prepared(raw: bytes) -> zstandard.ZstdCompressionDict:
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d = zstandard.ZstdCompressionDict(raw)  # trained or, without their header, raw
         d.precompute_compress(level=LEVEL)
         return d
 
@@ -63,25 +63,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Chunks spread evenly over all sample texts, as raw dictionary content of bounded size."""
+    """A dictionary trained on the chunks of all sample texts; of too few, the chunks themselves."""
     chunks = [t[i : i + CHUNK] for t in texts for i in range(0, len(t), CHUNK)]
-    n = DICTIONARY // CHUNK * 2
-    step = max(1, len(chunks) // n)
-    picked = [c[: CHUNK // 2] for c in chunks[::step]][:n]
-    return b"".join(picked) or b"\n" * 16
+    chunks = [c for c in chunks if len(c) >= 16]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, chunks, k=64, d=6).as_bytes()
+    except (zstandard.ZstdError, MemoryError):
+        return b"".join(chunks)[:DICTIONARY].ljust(16, b"\n")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge; classes weigh alike."""
+    """Slope and offset by Newton's method with a small ridge."""
     if not len(x) or len(set(y.tolist())) < 2:
         return 40.0, 0.0
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     scale = float(np.std(x)) or 1.0
     z = np.c_[x / scale, np.ones(len(x))]
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-6]), z.T @ (w * (y - p)) - np.array([1e-2, 0]) * beta)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-6]), z.T @ (y - p) - np.array([1e-2, 0]) * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break

@@ -1,7 +1,7 @@
 """Secret scans: stated patterns plus character Markov models, DataFrame functions only.
 
 Two bigram models over a fixed alphabet, one of random strings (labelled secrets and digests) and
-one of ordinary identifiers (long words of the corpus), are trained from labelled samples. A token
+one of ordinary identifiers (words and numbers of the corpus), are trained from labelled samples. A token
 is a secret if the log-likelihood ratio of the two models over its transitions reaches a threshold
 that (nearly) no ordinary identifier of the sample reaches.
 """
@@ -77,7 +77,7 @@ def _constant(ratios: tuple[float, ...]) -> Column:
 
 
 def labelled_samples(docs: DataFrame, text: str, doc_id: str, one_in: int, n_random: int) -> DataFrame:
-    """(token, random): stated secrets and digests as random, long words as ordinary.
+    """(token, random): stated secrets and digests as random, the other long words and numbers as ordinary.
 
     Documents whose hashed identifier falls in one of ``one_in`` give both; ``n_random`` digests
     in base 64 and base 16 make sure that there are random strings of every character.
@@ -86,13 +86,13 @@ def labelled_samples(docs: DataFrame, text: str, doc_id: str, one_in: int, n_ran
     sample = docs.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), F.lit(one_in)) == 0).select(t.alias("t"))
     secret = sample.select(F.explode(F.concat(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)))).alias("token"))
     masked = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), HEX, " ")
-    word = sample.select(F.explode(F.regexp_extract_all(masked, F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_-]{6,}(?![A-Za-z0-9+/_=])"), F.lit(0))).alias("token"))
+    word = sample.select(F.explode(F.regexp_extract_all(masked, F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9_-]{6,}(?![A-Za-z0-9+/_=])"), F.lit(0))).alias("token"))
     digest = docs.sparkSession.range(n_random).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("d"))
     digest = digest.select(F.explode(F.array(F.base64("d"), F.lower(F.hex("d")), F.hex("d"))).alias("token"))
     return secret.where(F.length("token") >= 16).unionByName(digest).select("token", F.lit(True).alias("random")).unionByName(word.select("token", F.lit(False).alias("random")))
 
 
-def train(labelled: DataFrame, least: float = 10.0, smoothing: float = 0.5, quantile: float = 0.9999) -> Model:
+def train(labelled: DataFrame, least: float = 20.0, smoothing: float = 0.5, quantile: float = 0.9999) -> Model:
     """Both models from (token, random); their bigram counts, 2 x 68 x 68 at most, reach the driver."""
     size = len(ALPHABET)
     counts = {True: [smoothing] * (size * size), False: [smoothing] * (size * size)}
