@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotscope.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
+from slotscope.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
 
 #: Shares of tokens that a mix aims at; sources not named share what "other" has.
 TARGETS = {
@@ -35,6 +35,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("found")).alias("spans"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_cascade(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -67,6 +71,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
