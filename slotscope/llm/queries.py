@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotscope.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
+from slotscope.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, url_filters
 
 #: Shares of tokens that a mix aims at; sources not named share what "other" has.
 TARGETS = {
     "source": {f"src{i}": 1.0 for i in range(20)} | {"other": 1.0},
     "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1, "other": 0.02},
-    "topic": {"prose": 0.6, "long": 0.25, "listed": 0.1, "tabular": 0.05},
+    "topic": {"prose": 0.65, "long": 0.28, "listed": 0.005, "tabular": 0.065},
 }
 #: Share of all tokens that a mix keeps.
 SHARE = 0.5
@@ -69,6 +69,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
