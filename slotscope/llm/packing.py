@@ -27,6 +27,7 @@ GROUP = 4096
 REMEMBERED = 700_000
 #: Stands between words while they are learned; texts that hold it go through the tokenizer whole.
 _MARK = "\x01"
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -39,12 +40,26 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
 
 
+class _Codes(dict):
+    """Numbers words as they are met; ``fresh`` are those not learned yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordTokenizer:
     """Token ids of whole texts from remembered words.
 
-    The vocabulary drops white space and never merges over it, so a text's ids are those of its
-    words in turn; each distinct word goes through the tokenizer once. Texts with special tokens'
-    strings are given to the tokenizer whole.
+    The vocabulary drops white space and never merges over it, nor between a letter or digit and
+    the punctuation after it, so a text's ids are those of its words and their closing punctuation
+    in turn; each distinct one goes through the tokenizer once. Texts with special tokens' strings
+    are given to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,12 +73,13 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = _Codes()
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        parts, ends = [], []
+    def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) from the tokenizer."""
+        parts, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
             ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(w.decode() for w in some), add_special_tokens=False).ids, np.uint32)
@@ -71,36 +87,67 @@ class WordTokenizer:
             if len(cut) != len(some):
                 raise ValueError("a word gave the mark's id")
             parts.append(ids[ids != self.mark])
-            ends.append(np.diff(np.r_[-1, cut]) - 1)
-        n = len(self.code)
-        self.code.update((w, n + i) for i, w in enumerate(words))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(np.concatenate(ends))]
+            sizes.append(np.diff(np.r_[-1, cut]) - 1)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _learn(self) -> None:
+        """Ids of all fresh words, in the order of their numbers."""
+        code = self.code
+        known = len(code) - len(code.fresh)
+        simple: dict[bytes, int] = {}  # what the tokenizer is asked
+        stem, tail = [], []  # of each fresh word: places in ``simple``, or -1 - number of a known word
+        place = lambda w: -1 - n if (n := code.get(w, known)) < known else simple.setdefault(w, len(simple))
+        for w in code.fresh:
+            bare = w.rstrip(_PUNCTUATION)
+            if len(bare) < len(w) and bare and (bare[-1:].isalnum() or bare.decode()[-1].isalpha()):
+                stem.append(place(bare))
+                tail.append(place(w[len(bare) :]))
+            else:
+                stem.append(simple.setdefault(w, len(simple)))
+                tail.append(None)
+        ids, size = self._ask(list(simple))
+        begin = np.r_[0, np.cumsum(size)]
+        base = len(self.flat)
+        flat = np.concatenate([self.flat, ids])  # learned ids, then those just asked for
+
+        def span(p: int) -> tuple[int, int]:
+            return (int(self.start[-1 - p]), int(self.start[-p])) if p < 0 else (base + int(begin[p]), base + int(begin[p + 1]))
+
+        first, last = [], []
+        ends = []
+        total = int(self.start[-1])
+        for s, t in zip(stem, tail, strict=True):
+            for p in (s,) if t is None else (s, t):
+                lo, hi = span(p)
+                first.append(lo)
+                last.append(hi)
+                total += hi - lo
+            ends.append(total)
+        n = np.array(last) - np.array(first)
+        stop = np.cumsum(n)
+        self.flat = np.concatenate([self.flat, flat[np.arange(int(stop[-1])) + np.repeat(np.array(first) - stop + n, n)]])
+        self.start = np.concatenate([self.start, ends])
+        code.fresh = []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without any special tokens added."""
-        split: list[list[bytes] | None] = []
-        whole: dict[int, str] = {}
-        fresh: dict[bytes, None] = {}
         if len(self.code) > REMEMBERED:
             self._forget()
-        code = self.code
-        for i, t in enumerate(texts):
+        number = self.code.__getitem__
+        coded: list[np.ndarray | None] = []
+        for t in texts:
             if t and ("<|" in t or _MARK in t):
-                whole[i] = t
-                split.append([])
+                coded.append(None)
                 continue
             words = (t or "").encode().lower().split()  # of bytes: touches ASCII only
-            fresh.update((w, None) for w in words if w not in code)
-            split.append(words)
-        if fresh:
-            self._learn(list(fresh))
+            coded.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if self.code.fresh:
+            self._learn()
         out = []
-        for i, words in enumerate(split):
-            if i in whole:
-                out.append(np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, np.uint32))
+        for t, c in zip(texts, coded, strict=True):
+            if c is None:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            c = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
             first, n = self.start[c], self.start[c + 1] - self.start[c]
             stop = np.cumsum(n)
             total = int(stop[-1]) if len(stop) else 0
