@@ -17,8 +17,9 @@ def frames(spark: SparkSession, sf_dir: str) -> c.Frames:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that both engines agree."""
-    return df.select(*[F.round(F.col(n), digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+    """Doubles rounded and dates as text, so that both engines agree."""
+    as_told = {"double": lambda c: F.round(c, digits), "date": lambda c: c.cast("string")}
+    return df.select(*[as_told.get(t, lambda c: c)(F.col(n)).alias(n) for n, t in df.dtypes])
 
 
 def row_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotscope.plans import allocation
+from slotscope.plans import allocation, trends, views
 
-FAMILIES = (allocation,)
+FAMILIES = (allocation, views, trends)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
