@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotscope.plans import allocation, trends, views
+from slotscope.plans import allocation, queue, trends, views
 
-FAMILIES = (allocation, views, trends)
+FAMILIES = (allocation, views, trends, queue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
