@@ -100,7 +100,7 @@ def idle_machines(frames: c.Frames, include_all: bool = True) -> DataFrame:
     bf = F.coalesce(F.rlike("Name", F.lit("(?i)backfill")), F.lit(False))
     claimed = F.col("State") == "Claimed"
     gpu = F.col("AssignedGPUs")
-    projects = F.array_sort(F.array_distinct(F.filter(F.transform(F.collect_set("PrioritizedProjects"), F.trim), lambda p: p != "")))
+    projects = F.array_sort(F.array_distinct(F.filter(F.transform(F.collect_set("PrioritizedProjects"), lambda p: F.trim(p)), lambda p: p != "")))
     per = frames.raw.where(~F.col("excluded")).groupBy("Machine").agg(
         F.count(F.lit(1)).alias("total_observations"), F.count_distinct(F.when(~bf, gpu)).alias("total_gpus"), F.count_distinct(F.when(~bf & claimed, gpu)).alias("claimed"),
         F.count_distinct(F.when(bf, F.col("bucket"))).alias("bf_buckets"), F.count_distinct(F.when(bf & claimed & gpu.isNotNull(), F.struct("bucket", "AssignedGPUs"))).alias("bf_pairs"),

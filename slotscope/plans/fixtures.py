@@ -125,3 +125,34 @@ jobs AS (SELECT o_orderkey AS ClusterId, CAST(0 AS BIGINT) AS ProcId, QDate, QDa
   CAST(run AS DOUBLE) AS RemoteWallClockTime, 'user' || (o_custkey % 40) AS Owner, 'user' || (o_custkey % 40) || '@domain' AS "User", 'Proj' || (o_custkey % 12) AS ProjectName,
   'host' || (o_custkey % 25) AS StartdName, 'slot1_' || (1 + o_orderkey % 4) || '@host' || (o_custkey % 25) AS StartdSlot, 'GPU-' || lower(to_hex(o_custkey % 100 + 4096)) AS AssignedGPUs,
   o_custkey % 3 = 0 AS Prioritized FROM jobs0)"""
+
+
+def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log, text): an event log for every tenth order, some evicted once or twice and started again."""
+    stamp = lambda s: f"date_format(timestamp_seconds({s}), 'yyyy-MM-dd HH:mm:ss')"
+    base = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr(
+        "o_orderkey AS c", "o_custkey AS u", "unix_timestamp(TIMESTAMP'2024-01-01 00:00:00') + 1800L * datediff(o_orderdate, DATE'1995-01-01') + o_orderkey % 1800 AS t0",
+        "lower(hex(o_custkey % 100 + 4096)) AS g", "CASE o_custkey % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(DEVICES)) + " END AS dev",
+    ).selectExpr("*", "t0 + 60 AS s1", "t0 + 60 + (c % 7 + 1) * 600 AS e1", "t0 + 180 + (c % 7 + 1) * 600 AS s2", "t0 + 1080 + (c % 7 + 1) * 600 AS e2")
+    id_ = "concat('(', c, '.0.0) ')"
+    parts = [
+        f"concat('000 ', {id_}, {stamp('t0')}, ' Job submitted')",
+        f"concat('001 ', {id_}, {stamp('s1')}, ' Job executing on host: <10.0.0.1:9618?alias=host', u % 25, '.pool&x=1>')",
+        "concat('\\tSlotName: slot1_', 1 + c % 4, '@host', u % 25, '.pool')", "concat('\\tAvailableGPUs = { GPUs_GPU_', g, ' }')", "concat('\\tGPUs_GPU_', g, ' = [ DeviceName = \"', dev, '\"; ]')", "'...'",
+        f"CASE WHEN u % 3 = 0 THEN concat('004 ', {id_}, {stamp('e1')}, ' Job was evicted. Code 1 Subcode 2') END",
+        f"CASE WHEN u % 3 = 0 THEN concat('001 ', {id_}, {stamp('s2')}, ' Job executing on host: <10.0.0.2:9618?alias=host', (u + 1) % 25, '.pool>') END",
+        f"CASE WHEN u % 6 = 0 THEN concat('004 ', {id_}, {stamp('e2')}, ' Job was evicted. Code 2 Subcode 0') END",
+        f"CASE WHEN c % 4 != 0 THEN concat('005 ', {id_}, {stamp('t0 + 20000')}, ' Job terminated.\\n\\t(1) Normal termination (return value 0)') END",
+    ]
+    name = "CASE WHEN c % 70 = 0 THEN concat('job', c, '.log') WHEN c % 30 = 0 THEN concat(c, '_0.log') ELSE concat(1 + c % 3, '_', (c % 4) * 10, '_', 70 + (c % 3) * 10, '_', c, '_0.log') END"
+    return base.selectExpr(f"{name} AS log", "concat_ws('\\n', " + ", ".join(parts) + ") AS text")
+
+
+LOGS_SQL = f"""lg AS (SELECT o_orderkey AS c, o_custkey AS u, CAST(1704067200 + 1800 * date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 1800 AS BIGINT) AS t0,
+  lower(to_hex(o_custkey % 100 + 4096)) AS g, CASE o_custkey % 5 {" ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(DEVICES))} END AS dev,
+  CASE WHEN o_orderkey % 70 = 0 THEN 'job' || o_orderkey || '.log' WHEN o_orderkey % 30 = 0 THEN o_orderkey || '_0.log' ELSE (1 + o_orderkey % 3) || '_' || ((o_orderkey % 4) * 10) || '_' || (70 + (o_orderkey % 3) * 10) || '_' || o_orderkey || '_0.log' END AS log FROM orders WHERE o_orderkey % 10 = 0),
+st AS (SELECT log, make_timestamp((t0 + 60) * 1000000) AS at, 'host' || (u % 25) || '.pool' AS host, 'slot1_' || (1 + c % 4) || '@host' || (u % 25) || '.pool' AS slot, g AS gpu, dev AS device FROM lg
+  UNION ALL SELECT log, make_timestamp((t0 + 180 + (c % 7 + 1) * 600) * 1000000), 'host' || ((u + 1) % 25) || '.pool', 'Unknown', 'Unknown', 'Unknown' FROM lg WHERE u % 3 = 0),
+ru AS (SELECT log, make_timestamp((t0 + 60 + (c % 7 + 1) * 600) * 1000000) AS at, CAST(1 AS BIGINT) AS code, 'host' || (u % 25) || '.pool' AS host, 'slot1_' || (1 + c % 4) || '@host' || (u % 25) || '.pool' AS slot, g AS gpu, dev AS device, CAST((c % 7 + 1) * 600 AS BIGINT) AS runtime FROM lg WHERE u % 3 = 0
+  UNION ALL SELECT log, make_timestamp((t0 + 1080 + (c % 7 + 1) * 600) * 1000000), 2, 'host' || ((u + 1) % 25) || '.pool', 'Unknown', 'Unknown', 'Unknown', 900 FROM lg WHERE u % 6 = 0),
+nm AS (SELECT log, CASE WHEN c % 70 != 0 AND c % 30 != 0 THEN CAST(1 + c % 3 AS VARCHAR) END AS gpus, CASE WHEN c % 70 != 0 AND c % 30 != 0 THEN CAST((c % 4) * 10 AS VARCHAR) END AS sleep, CASE WHEN c % 70 != 0 AND c % 30 != 0 THEN CAST(70 + (c % 3) * 10 AS VARCHAR) END AS capability, c AS cluster, CAST(0 AS BIGINT) AS proc FROM lg)"""
