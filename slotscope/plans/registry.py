@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotscope.plans import allocation, jobs, queue, trends, views
+from slotscope.plans import allocation, feeds, jobs, queue, trends, views
 
-FAMILIES = (allocation, views, trends, queue, jobs)
+FAMILIES = (allocation, views, trends, queue, jobs, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
