@@ -34,6 +34,8 @@ FREQUENT = 6
 MOST_FREQUENT = 200_000
 #: Dimensions of the vectors in a bucket's tree, points of a node, points of a block.
 SHORT, FAN_OUT, BLOCK = 64, 16, 2000
+#: Up to so many identifiers (8 bytes each) are broadcast to fetch texts; beyond, the texts are shuffled.
+MOST_BROADCAST = 200_000
 REMEMBERED = 700_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -111,6 +113,7 @@ class CountTree:
         v, n = self.points[i], self.n[i]
         nodes = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.n))
         for corner, low, high in reversed(self.levels):
+            nodes = nodes[nodes < len(low)]
             ok = (PERCENT * n <= PERCENT_OF * high[nodes]) & (PERCENT * low[nodes] <= PERCENT_OF * n)
             nodes = nodes[ok]
             nodes = nodes[may_link(np.minimum(corner[nodes], v).sum(axis=1), n + low[nodes])]
@@ -148,7 +151,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
 
 
 def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
-    """(doc_id, n, digest, vector, prefix) of each document."""
+    """(doc_id, n, digest, vector, short, prefix) of each document; ``short`` is the vector over SHORT groups."""
     ordered = np.array(frequent, np.int64).view(np.uint64)
     by_value = np.argsort(ordered)
     values = ordered[by_value]
@@ -167,18 +170,20 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, vector, first = [], [], [], []
+            n, digest, vector, short, first = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                vector.append(count_vector(s).tobytes())
+                v = count_vector(s)
+                vector.append(v.tobytes())
+                short.append(np.minimum(fold(v, SHORT), 65535).astype("<u2").tobytes())
                 first.append(prefix(s).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), lists], ["doc_id", "n", "digest", "vector", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(short, pa.binary()), lists], ["doc_id", "n", "digest", "vector", "short", "prefix"])
 
-    return docs.mapInArrow(sets, "doc_id bigint, n bigint, digest binary, vector binary, prefix array<bigint>")
+    return docs.mapInArrow(sets, "doc_id bigint, n bigint, digest binary, vector binary, short binary, prefix array<bigint>")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -200,7 +205,14 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bound, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, text) of the documents in ``pairs``."""
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    few = ids.count() <= MOST_BROADCAST
+    return durable(rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["doc"]).select("doc", "text"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,17 +228,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(similar(held[a], held[b]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = _texts(rows, pairs)
     side = lambda k: texts.select(F.col("doc").alias(k), F.col("text").alias(f"t{k}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(verify, "a bigint, b bigint")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+    return durable(both.mapInArrow(verify, "a bigint, b bigint").distinct())
 
 
 def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from ``rows`` (token, size, doc, comp, n, vector): one tree a bucket and block."""
+    """Candidate pairs (a, b) from ``rows`` (token, size, doc, comp, n, short): one tree a bucket and block."""
     n_blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("doc"), n_blocks)
     keyed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-    keyed = keyed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp", "n", "vector")
+    keyed = keyed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp", "n", "short")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -235,7 +248,7 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             key = np.stack([t[c].to_numpy() for c in ("token", "i", "j")])
             cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
             doc, comp, n = (t[c].to_numpy() for c in ("doc", "comp", "n"))
-            points = np.stack([fold(np.frombuffer(v, "<u2"), SHORT) for v in t["vector"].to_pylist()])
+            points = np.frombuffer(b"".join(t["short"].to_pylist()), "<u2").reshape(-1, SHORT).astype(np.int64)
             out = set()
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1 and (comp[s:e] != comp[s]).any():
@@ -274,25 +287,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = durable(document_sets(rows, frequent_shingles(rows, rows.count())))
     known = sets.where("n > 0 and doc_id is not null")
     groups = durable(known.groupBy("digest", "n").agg(F.min("doc_id").alias("doc")))
-    points = known.join(groups, (known["doc_id"] == groups["doc"]) & (known["digest"] == groups["digest"])).select("doc", known["n"], "vector", "prefix")
-    points = durable(points)
+    points = known.select("doc_id", "digest", "prefix").join(groups, (known["doc_id"] == groups["doc"]) & (known["digest"] == groups["digest"]))
     tokens = points.select("doc", F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = durable(tokens.join(buckets, "token"))
-
-    active = shared.select("doc").distinct()
-    texts = durable(rows.join(active, rows["doc_id"] == active["doc"]).select("doc", "text"))
-    vectors = points.select("doc", "n", "vector")
+    vectors = known.select(F.col("doc_id").alias("doc"), "n", "vector")
 
     first = durable(_bounded(shared.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), vectors))
-    links = durable(_verified(first, texts).distinct())
+    links = _verified(first, rows)
     parts = durable(connected_components(links))
 
-    placed = shared.join(parts, shared["doc"] == parts["node"], "left").select("token", "size", "doc", F.coalesce("component", "doc").alias("comp"))
+    # a bucket of two has had its only pair tried
+    placed = shared.where("size > 2").join(parts, shared["doc"] == parts["node"], "left").select("token", "size", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    open_rows = placed.join(mixed, "token").join(vectors, "doc")
-    second = _tree_pairs(open_rows).join(first, ["a", "b"], "left_anti")
-    more = durable(_verified(durable(_bounded(second, vectors)), texts).distinct())
+    open_rows = placed.join(mixed, "token").join(known.select(F.col("doc_id").alias("doc"), "n", "short"), "doc")
+    second = durable(_bounded(_tree_pairs(open_rows).join(first, ["a", "b"], "left_anti"), vectors))
+    more = _verified(second, rows)
     if not more.isEmpty():
         parts = durable(connected_components(links.unionByName(more)))
 
