@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from slotscope.functions import derive as d
 from slotscope.operators import classify as c
 
-_SUMS = [F.sum("avg_claimed").alias("claimed"), F.sum("avg_drained").alias("drained"), F.sum("avg_total_available").alias("available")]
+def _sums():
+    return [F.sum("avg_claimed").alias("claimed"), F.sum("avg_drained").alias("drained"), F.sum("avg_total_available").alias("available")]
 
 
 def _percent(of: str = "claimed", by: str = "available"):
@@ -17,7 +18,7 @@ def _percent(of: str = "claimed", by: str = "available"):
 
 def class_totals(by_device: DataFrame) -> DataFrame:
     """Sums over devices; percentage is the ratio of the sums; classes with devices only."""
-    return by_device.groupBy("class").agg(*_SUMS).where("available > 0").withColumn("percent", _percent())
+    return by_device.groupBy("class").agg(*_sums()).where("available > 0").withColumn("percent", _percent())
 
 
 def cluster_summary(totals: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def cluster_summary(totals: DataFrame) -> DataFrame:
 
 
 def open_tiers(by_device: DataFrame) -> DataFrame:
-    return by_device.where("class = 'Shared'").groupBy(d.performance_tier(F.col("device")).alias("tier")).agg(*_SUMS).withColumn("percent", _percent())
+    return by_device.where("class = 'Shared'").groupBy(d.performance_tier(F.col("device")).alias("tier")).agg(*_sums()).withColumn("percent", _percent())
 
 
 def prevented_rollup(prevented: DataFrame) -> DataFrame:
@@ -67,13 +68,13 @@ def user_table(breakdown: DataFrame) -> DataFrame:
 def three_class_totals(by_device: DataFrame) -> DataFrame:
     """Primary (Priority, Shared) and secondary (Backfill) sums, and both together (null)."""
     kind = F.when(F.col("class") == "Backfill", "secondary").otherwise("primary")
-    return by_device.rollup(kind.alias("kind")).agg(*_SUMS).withColumn("percent", _percent())
+    return by_device.rollup(kind.alias("kind")).agg(*_sums()).withColumn("percent", _percent())
 
 
 def headlines(by_device: DataFrame) -> DataFrame:
     """Percentages by class with all backfill as one."""
     name = F.when(F.startswith("class", F.lit("Backfill")), "Backfill").otherwise(F.col("class"))
-    return by_device.groupBy(name.alias("headline")).agg(*_SUMS).withColumn("percent", _percent()).select("headline", "percent")
+    return by_device.groupBy(name.alias("headline")).agg(*_sums()).withColumn("percent", _percent()).select("headline", "percent")
 
 
 def sparse_coverage(raw: DataFrame, least: float = 0.25) -> DataFrame:
