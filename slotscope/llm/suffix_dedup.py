@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,21 +88,39 @@ def _bytes_of(text: str | None) -> np.ndarray:
 
 
 def document_anchors(docs: DataFrame) -> DataFrame:
-    """(doc, n_bytes, found: array of (anchor, context, pos)) of each row of (doc, text)."""
+    """(doc, anchor, context, place) of each row of (doc, text), arrays in order of position.
+
+    A place is 256 times the position plus the bytes of context from there on, of which there are
+    LENGTH unless the text ends before.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, cols = [], []
+            cols = []
             for t in batch.column(1).to_pylist():
                 raw = _bytes_of(t)
-                size.append(len(raw))
-                cols.append(anchors(raw))
-            ends = np.cumsum([0, *(len(c[0]) for c in cols)])
-            pos, anchor, context = (np.concatenate([c[k] for c in cols]) if cols else np.empty(0, np.int64) for k in range(3))
-            rows = pa.StructArray.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(pos)], ["anchor", "context", "pos"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["doc", "n_bytes", "found"])
+                pos, anchor, context = anchors(raw)
+                cols.append((anchor.view(np.int64), context.view(np.int64), pos * 256 + np.minimum(len(raw) - pos, LENGTH)))
+            ends = pa.array(np.cumsum([0, *(len(c[0]) for c in cols)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([c[k] for c in cols]) if cols else [], pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc", "anchor", "context", "place"])
+
+    return docs.mapInArrow(find, f"doc {_kind(docs)}, anchor array<bigint>, context array<bigint>, place array<bigint>")
+
 
-    return docs.mapInArrow(find, "doc struct<id:bigint,h:bigint>, n_bytes bigint, found array<struct<anchor:bigint,context:bigint,pos:bigint>>")
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc"].dataType.simpleString()
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc, packed): the texts compressed, as they travel between executors."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "packed"])
+
+    return docs.mapInArrow(pack, f"doc {_kind(docs)}, packed binary")
 
 
 def _extents(strings: list[bytes], reach: int) -> tuple[list[int], np.ndarray]:
@@ -221,41 +240,46 @@ def _count_strings(rows: DataFrame) -> DataFrame:
     return found.join(again, ["anchor", "lo", "h"]).select("anchor", "context", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc, lo, hi): stretches of the texts of ``docs`` (doc, text) that are repeated; they may overlap.
+def _fetch(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(anchor, context, left, bytes) of the classes in ``mixed`` (anchor, context, doc, place)."""
+    of_doc = mixed.groupBy("doc").agg(F.collect_list("anchor").alias("a"), F.collect_list("context").alias("c"), F.collect_list("place").alias("p"))  # bounded by a text's own length
 
-    ``marks`` is the stored result of document_anchors.
-    """
-    found = marks.select("doc", "n_bytes", F.explode("found").alias("f")).select("doc", "n_bytes", "f.*")
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(4)]
+            for packed, *wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = z.decompress(packed)
+                for a, c, p in zip(*wanted, strict=True):
+                    pos, right = divmod(p, 256)
+                    left = min(pos, REACH)
+                    for out, v in zip(cols, (a, c, left, raw[pos - left : pos + right]), strict=True):
+                        out.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "context", "left", "bytes"])
+
+    return _packed(docs).join(of_doc, "doc").select("packed", "a", "c", "p").mapInArrow(fetch, "anchor bigint, context bigint, left bigint, bytes binary")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc, lo, hi): stretches of the texts of ``docs`` (doc, text) that are repeated; they may overlap."""
+    marks = durable(document_anchors(docs))
+    found = marks.select("doc", F.explode(F.arrays_zip("anchor", "context", "place")).alias("f")).select("doc", "f.*")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    seen = durable(found.join(several, "anchor").select("doc", "anchor", "context", "pos", F.least("pos", F.lit(REACH)).alias("left"), F.least(F.col("n_bytes") - F.col("pos"), F.lit(LENGTH)).alias("right")))
-    classes = durable(seen.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos", "left", "right")).alias("one")))
+    seen = durable(found.join(several, "anchor"))
+    classes = durable(seen.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one")).select("anchor", "context", "n", "one.*"))
     kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = classes.join(kinds, "anchor").select("anchor", "context", "kinds", "one.*")
+    mixed = durable(classes.join(kinds, "anchor").select("anchor", "context", "kinds", "doc", "place"))
 
-    of_doc = mixed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "context", "kinds", "pos", "left", "right")).alias("wanted"))
+    share = max(LEAST_SHARE, 3 * mixed.count() // parallelism(docs.sparkSession))
+    solved = _solve(_fetch(docs, mixed.where(F.col("kinds") <= share)))
+    if not mixed.where(F.col("kinds") > share).isEmpty():
+        solved = solved.unionByName(_count_strings(_fetch(docs, mixed.where(F.col("kinds") > share))))
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                for w in wanted:
-                    for c, v in zip(cols, (w["anchor"], w["context"], w["kinds"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "context", "kinds", "left", "bytes"])
-
-    fetched = docs.join(of_doc, "doc").select("text", "wanted").mapInArrow(fetch, "anchor bigint, context bigint, kinds bigint, left bigint, bytes binary")
-    fetched = durable(fetched)
-    share = max(LEAST_SHARE, 3 * fetched.count() // parallelism(docs.sparkSession))
-    solved = _solve(fetched.where(F.col("kinds") <= share))
-    if not fetched.where(F.col("kinds") > share).isEmpty():
-        solved = solved.unionByName(_count_strings(fetched.where(F.col("kinds") > share)))
-
-    whole = classes.where("n > 1").select("anchor", "context", (-F.col("one.left")).alias("lo"), F.col("one.right").alias("hi")).where(F.col("hi") - F.col("lo") >= LENGTH)
+    pos = F.shiftright("place", 8)
+    lo, hi = -F.least(pos, F.lit(REACH)), F.col("place") % 256
+    whole = classes.where("n > 1").select("anchor", "context", lo.alias("lo"), hi.alias("hi")).where(F.col("hi") - F.col("lo") >= LENGTH)
     spans = solved.unionByName(whole).groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
-    placed = seen.join(spans, ["anchor", "context"]).select("doc", "pos", F.explode("s").alias("s"))
+    placed = seen.join(spans, ["anchor", "context"]).select("doc", pos.alias("pos"), F.explode("s").alias("s"))
     return placed.select("doc", (F.col("pos") + F.col("s.lo")).alias("lo"), (F.col("pos") + F.col("s.hi")).alias("hi"))
 
 
@@ -268,16 +292,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     result; other columns are ignored.
     """
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # rows are told apart by identifier and text, as identifiers may repeat or be null
-    rows = named.select("doc_id", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("doc"), "text")
-    marks = durable(document_anchors(rows.select("doc", "text")))
-    spans = repeated_spans(rows.select("doc", "text"), marks).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    ids = named.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("k")).first()
+    # where identifiers repeat or are null, rows are told apart by identifier and text
+    key = F.col("doc_id") if ids["n"] == ids["k"] else F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    rows = named.select("doc_id", key.alias("doc"), "text")
+    docs = rows.select("doc", "text")
+    spans = repeated_spans(docs).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (t or "").encode()
+            for packed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = z.decompress(packed)
                 kept, at, removed, n = [], 0, 0, 0
                 end = -1
                 for s in spans or ():
@@ -296,5 +323,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    own = F.col("doc") if ids["n"] == ids["k"] else F.col("doc.id")
+    out = _packed(docs).join(spans, "doc", "left").select(own.alias("doc_id"), "packed", "spans").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
