@@ -2,8 +2,8 @@
 
 Two bigram models over a fixed alphabet, one of random strings (labelled secrets and digests) and
 one of ordinary identifiers (words and numbers of the corpus), are trained from labelled samples. A token
-is a secret if the log-likelihood ratio of the two models over its transitions reaches a threshold
-that (nearly) no ordinary identifier of the sample reaches.
+is a secret if the log-likelihood ratio of the two models over its transitions reaches a threshold,
+15 nats unless stated otherwise.
 """
 
 from __future__ import annotations
@@ -92,22 +92,39 @@ def labelled_samples(docs: DataFrame, text: str, doc_id: str, one_in: int, n_ran
     return secret.where(F.length("token") >= 16).unionByName(digest).select("token", F.lit(True).alias("random")).unionByName(word.select("token", F.lit(False).alias("random")))
 
 
-def train(labelled: DataFrame, least: float = 20.0, smoothing: float = 0.5, quantile: float = 0.9999) -> Model:
-    """Both models from (token, random); their bigram counts, 2 x 68 x 68 at most, reach the driver."""
-    size = len(ALPHABET)
-    counts = {True: [smoothing] * (size * size), False: [smoothing] * (size * size)}
+def _kind(char: str) -> int:
+    return 0 if char.islower() else 1 if char.isupper() else 2 if char.isdigit() else 3
+
+
+def _transitions(counts: dict[tuple[int, int], float], backing: float) -> list[float]:
+    """P(second | first) over the alphabet. A transition seen too rarely backs off to that of the
+    kinds of character (small, capital, digit, other) times the second's share of its kind."""
+    n = len(ALPHABET)
+    kind = [_kind(c) for c in ALPHABET]
+    among = [[1.0] * 4 for _ in range(4)]
+    once = [1.0] * n
+    row = [0.0] * n
+    for (a, b), x in counts.items():
+        among[kind[a]][kind[b]] += x
+        once[b] += x
+        row[a] += x
+    of_kind = [sum(x for x, k in zip(once, kind, strict=True) if k == q) for q in range(4)]
+    out = []
+    for a in range(n):
+        whole = sum(among[kind[a]])
+        out += [(counts.get((a, b), 0.0) + backing * among[kind[a]][kind[b]] / whole * once[b] / of_kind[kind[b]]) / (row[a] + backing) for b in range(n)]
+    return out
+
+
+def train(labelled: DataFrame, least: float = 15.0, backing: float = 50.0) -> Model:
+    """Both models from (token, random) and the threshold ``least``; their bigram counts, 2 x 68 x 68 at most, reach the driver."""
+    counts: dict[bool, dict[tuple[int, int], float]] = {True: {}, False: {}}
     for r in _bigrams(labelled).collect():
-        if (a := ALPHABET.find(r["a"])) >= 0 and (b := ALPHABET.find(r["b"])) >= 0 and r["a"] and r["b"]:
-            counts[r["random"]][a * size + b] += r["count"]
-    ratios = []
-    for a in range(size):
-        random, plain = (counts[k][a * size : (a + 1) * size] for k in (True, False))
-        # each model mixed with a uniform one: what a sample has never seen costs a bounded amount
-        p, q = ([0.95 * x / sum(row) + 0.05 / size for x in row] for row in (random, plain))
-        ratios += [math.log(x / y) for x, y in zip(p, q, strict=True)]
-    scored = labelled.where("not random and length(token) >= 16").select(ratio(F.col("token"), _constant(tuple(ratios))).alias("s"))
-    top = scored.agg(F.percentile_approx("s", F.lit(quantile), F.lit(10000)).alias("q")).first()["q"]
-    return Model(tuple(ratios), max(least, top + 1e-6) if top is not None else least)
+        if r["a"] and r["b"] and (a := ALPHABET.find(r["a"])) >= 0 and (b := ALPHABET.find(r["b"])) >= 0:
+            counts[r["random"]][a, b] = float(r["count"])
+    random, plain = (_transitions(counts[k], backing) for k in (True, False))
+    # what only one of the samples shows counts for a bounded amount
+    return Model(tuple(max(-3.0, min(3.0, math.log(x / y))) for x, y in zip(random, plain, strict=True)), least)
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, one_in: int = 20, n_random: int = 2000) -> DataFrame:
