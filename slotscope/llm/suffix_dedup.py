@@ -226,7 +226,7 @@ def _count_strings(rows: DataFrame) -> DataFrame:
     """As _solve, for anchors with very many classes: every string of LENGTH bytes counted by its hash."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             cols: list[list] = [[], [], [], []]
             for a, context, left, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 start = np.arange(len(raw) - LENGTH + 1)
@@ -237,7 +237,12 @@ def _count_strings(rows: DataFrame) -> DataFrame:
 
     found = durable(rows.where(F.octet_length("bytes") >= LENGTH).select("anchor", "context", "left", "bytes").mapInArrow(strings, "anchor bigint, context bigint, lo bigint, h bigint"))
     again = found.groupBy("anchor", "lo", "h").count().where("count > 1").drop("count")
-    return found.join(again, ["anchor", "lo", "h"]).select("anchor", "context", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    # at most REACH + 1 starts a class, joined where they overlap or touch
+    starts = found.join(again, ["anchor", "lo", "h"]).groupBy("anchor", "context").agg(F.sort_array(F.collect_set("lo")).alias("a"))
+    apart = lambda i: F.get("a", i) - F.get("a", i - 1) > LENGTH
+    lo = F.filter("a", lambda x, i: (i == 0) | apart(i))
+    hi = F.transform(F.filter("a", lambda x, i: (i == F.size("a") - 1) | apart(i + 1)), lambda x: x + LENGTH)
+    return starts.select("anchor", "context", F.explode(F.arrays_zip(lo.alias("lo"), hi.alias("hi"))).alias("s")).select("anchor", "context", "s.lo", "s.hi")
 
 
 def _fetch(docs: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -246,7 +251,7 @@ def _fetch(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
             cols: list[list] = [[] for _ in range(4)]
             for packed, *wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = z.decompress(packed)
