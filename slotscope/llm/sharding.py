@@ -11,6 +11,7 @@ bytes: shards differ by less than two rows' sizes.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def _key() -> Column:
     return F.struct("h", "doc_id")
 
 
+def _order(key: tuple[int, int | None]) -> tuple:
+    """Sorts keys as Spark does: null identifiers first."""
+    return key[0], key[1] is not None, key[1] or 0
+
+
 def _uniform(salt: int) -> Column:
     """A fixed number in [0, 1) of each row."""
     return F.pmod(F.xxhash64("h", "doc_id", F.lit(salt)), F.lit(1 << 30)) / (1 << 30)
@@ -38,7 +44,7 @@ def _draw(rows: DataFrame, every: float, salt: int) -> list[tuple[int, int | Non
     """Keys, each as often as once in ``every`` bytes of its row on average."""
     times = F.floor(F.col("size") / every + _uniform(salt)).cast("int")
     drawn = rows.withColumn("times", times).where("times > 0").select("h", "doc_id", F.least("times", F.lit(DRAWN_PER_RANGE)).alias("times")).collect()
-    return sorted(((r["h"], r["doc_id"]) for r in drawn for _ in range(r["times"])), key=lambda k: (k[0], k[1] is not None, k[1] or 0))
+    return sorted(((r["h"], r["doc_id"]) for r in drawn for _ in range(r["times"])), key=_order)
 
 
 def _quantiles(keys: list, n: int) -> list:
@@ -76,10 +82,13 @@ def range_places(rows: DataFrame, range_bytes: int) -> DataFrame:
         if not overfull or again == ROUNDS:
             break
         dense = aim / (DRAWN_PER_RANGE * 4**again)
-        for k in overfull:
-            drawn = _draw(ranged.where(F.col("range") == k), dense, again)
+        ends = list(map(_order, splitters))
+        inside: dict[int, list] = {}
+        for key in _draw(ranged.where(F.col("range").isin(overfull)), dense, again):
+            inside.setdefault(bisect_right(ends, _order(key)), []).append(key)
+        for k, drawn in inside.items():
             splitters += _quantiles(drawn, math.ceil(sizes[k][0] / aim) + 1)
-        splitters = sorted(set(splitters), key=lambda k: (k[0], k[1] is not None, k[1] or 0))
+        splitters = sorted(set(splitters), key=_order)
     starts, b, at = [], 0, 0
     for k in range(len(splitters) + 1):
         starts.append((b, at))
