@@ -58,6 +58,32 @@ def rake(tokens: Mapping[tuple[str, ...], float], targets: list[Mapping[str, flo
     return weight
 
 
+NAMES = ("source", "lang", "topic")
+
+
+def _levels(targets: Mapping[str, Mapping[str, float]], text: Column, topic: Column | None) -> dict[str, Column]:
+    """Each row's level of the three margins; what has no share of its own is ``other``."""
+    cells = 1
+    for k in NAMES:
+        cells *= len({*targets[k], OTHER})
+    if cells > MOST_CELLS:
+        raise ValueError(f"targets make {cells} cells; at most {MOST_CELLS} are raked")
+    own = {"source": F.col("source"), "lang": F.col("lang"), "topic": form_topic(text) if topic is None else topic}
+    return {k: F.when(own[k].cast("string").isin(*targets[k]), own[k].cast("string")).otherwise(OTHER) for k in NAMES}
+
+
+def _probabilities(rows: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float) -> list[tuple]:
+    """(source, lang, topic, probability) of each cell of ``rows`` (source, lang, topic, n_tokens)."""
+    counted = {tuple(r[k] for k in NAMES): float(r["tokens"]) for r in rows.groupBy(*NAMES).agg(F.sum("n_tokens").alias("tokens")).collect()}
+    weight = rake(counted, [targets[k] for k in NAMES], share)
+    return [(*k, weight[k] / v if v else 0.0) for k, v in counted.items()]
+
+
+def _drawn(doc_id: Column, probability: Column, seed: int) -> Column:
+    """Whether a fixed number of the identifier, even in [0, 1), is below the probability."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) < probability
+
+
 def mix(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]],
@@ -74,36 +100,19 @@ def mix(
     texts weigh one token. Repeated rows are drawn together or not at all, and null identifiers
     all alike. An empty table gives an empty result; further columns are ignored.
     """
-    names = ("source", "lang", "topic")
-    levels = {k: {*targets[k], OTHER} for k in names}
-    cells = 1
-    for k in names:
-        cells *= len(levels[k])
-    if cells > MOST_CELLS:
-        raise ValueError(f"targets make {cells} cells; at most {MOST_CELLS} are raked")
-    t = F.col(text)
-    level = {"source": F.col("source"), "lang": F.col("lang"), "topic": form_topic(t) if topic is None else topic}
-    known = {k: F.when(level[k].cast("string").isin(*targets[k]), level[k].cast("string")).otherwise(OTHER) for k in names}
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *[known[k].alias(k) for k in names], F.greatest(n_words(t), F.lit(1)).alias("n_tokens"))
-    counted = {tuple(r[k] for k in names): float(r["tokens"]) for r in rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).collect()}
-    weight = rake(counted, [targets[k] for k in names], share)
-    schema = "source string, lang string, topic string, probability double"
-    found = docs.sparkSession.createDataFrame([(*k, weight[k] / v if v else 0.0) for k, v in counted.items()] or [(None, None, None, 0.0)], schema)
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    joined = rows.join(F.broadcast(found), list(names), "left")  # at most MOST_CELLS rows
-    return joined.select("doc_id", *names, "n_tokens", "probability", (u < F.col("probability")).alias("sampled"))
-
-
-def draw(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with all their columns, without a shuffle of the texts."""
-    names = ("source", "lang", "topic")
-    t = F.col(text)
-    level = {"source": F.col("source"), "lang": F.col("lang"), "topic": form_topic(t)}
-    known = {k: F.when(level[k].cast("string").isin(*targets[k]), level[k].cast("string")).otherwise(OTHER) for k in names}
-    counted = {tuple(r[k] for k in names): float(r["tokens"]) for r in docs.select(*[known[k].alias(k) for k in names], F.greatest(n_words(t), F.lit(1)).alias("n")).groupBy(*names).agg(F.sum("n").alias("tokens")).collect()}
-    weight = rake(counted, [targets[k] for k in names], share)
-    u = F.pmod(F.xxhash64(F.col(doc_id).cast("bigint"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    cell = F.concat_ws("\x1f", *[known[k] for k in names])
-    schema = "__cell string, __probability double"
-    found = docs.sparkSession.createDataFrame([("\x1f".join(k), weight[k] / v if v else 0.0) for k, v in counted.items()] or [("", 0.0)], schema)
-    return docs.join(F.broadcast(found), cell == F.col("__cell")).where(u < F.col("__probability")).select(*[docs[c] for c in docs.columns])
+    level = _levels(targets, F.col(text), topic)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *[level[k].alias(k) for k in NAMES], F.greatest(n_words(F.col(text)), F.lit(1)).alias("n_tokens"))
+    cells = docs.sparkSession.createDataFrame(_probabilities(rows, targets, share), "source string, lang string, topic string, probability double")
+    joined = rows.join(F.broadcast(cells), list(NAMES), "left")  # at most MOST_CELLS rows
+    return joined.select("doc_id", *NAMES, "n_tokens", "probability", _drawn(F.col("doc_id"), F.col("probability"), seed).alias("sampled"))
+
+
+def draw(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, doc_id: str = "doc_id", text: str = "text", topic: Column | None = None, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, with all their columns, without a shuffle of the texts."""
+    level = _levels(targets, F.col(text), topic)
+    rows = docs.select(*[level[k].alias(k) for k in NAMES], F.greatest(n_words(F.col(text)), F.lit(1)).alias("n_tokens"))
+    named = [("\x1f".join(k), p) for *k, p in _probabilities(rows, targets, share)]
+    cells = docs.sparkSession.createDataFrame(named, "__cell string, __probability double")
+    cell = F.concat_ws("\x1f", *[level[k] for k in NAMES])
+    kept = docs.join(F.broadcast(cells), cell == F.col("__cell")).where(_drawn(F.col(doc_id).cast("bigint"), F.col("__probability"), seed))
+    return kept.select(*[docs[c] for c in docs.columns])
