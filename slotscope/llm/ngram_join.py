@@ -2,7 +2,8 @@
 
 A document is a set of 64-bit shingle hashes. Hashing the shingles into groups and counting each
 group gives a point; the summed minima of two points' coordinates bound the overlap of the sets
-from above, and the maxima over a node's points bound it for a whole subtree. Points meet in
+from above, and the maxima over a node's points bound it for a whole subtree; the parities of counts
+over more groups bound it again for single points. Points meet in
 buckets: two sets that are similar enough must share a shingle among the first ``n - ceil(0.8 n) + 1``
 of either in one fixed order (frequent shingles last), so no link is lost. Equal sets count once.
 
@@ -33,7 +34,9 @@ SAMPLE = 8192
 FREQUENT = 6
 MOST_FREQUENT = 200_000
 #: Dimensions of the vectors in a bucket's tree, points of a node, points of a block.
-SHORT, FAN_OUT, BLOCK = 64, 16, 2000
+SHORT, FAN_OUT, BLOCK = 32, 16, 2000
+#: Most groups whose counts' parities travel with a point.
+PARITIES = 4096
 #: Up to so many identifiers (8 bytes each) are broadcast to fetch texts; beyond, the texts are shuffled.
 MOST_BROADCAST = 200_000
 REMEMBERED = 700_000
@@ -90,6 +93,35 @@ def fold(v: np.ndarray, d: int) -> np.ndarray:
     return v.reshape(-1, d).astype(np.int64).sum(axis=0)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Whether each group's count is odd, as bits; two to four groups a shingle, 256 to PARITIES groups.
+
+    Groups of two sets with unlike parities have unlike counts, so their number bounds how many
+    shingles the sets don't share from below: over many groups nearly exactly.
+    """
+    d = 1 << int(np.clip(np.ceil(np.log2(2 * max(len(s), 1))), 8, PARITIES.bit_length() - 1))
+    odd = np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """One point's parities over any number of groups up to its own."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.by = {8 * len(bits): int.from_bytes(bits, "little")}
+        self.most = 8 * len(bits)
+
+    def over(self, d: int) -> int:
+        if d not in self.by:
+            x = self.over(2 * d)
+            self.by[d] = (x >> d) ^ (x & ((1 << d) - 1))
+        return self.by[d]
+
+    def unlike(self, other: Parities) -> int:
+        d = min(self.most, other.most)
+        return (self.over(d) ^ other.over(d)).bit_count()
+
+
 def may_link(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether ``overlap`` of sets with summed ``sizes`` would be enough."""
     return (PERCENT_OF + PERCENT) * overlap >= PERCENT * sizes
@@ -122,14 +154,18 @@ class CountTree:
         return nodes[may_link(np.minimum(self.points[nodes], v).sum(axis=1), n + self.n[nodes])]
 
 
-def _bucket_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one block that the tree can't rule out."""
+def _bucket_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray, odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in one block that neither the tree nor the parities rule out."""
     tree = CountTree(n, points)
     doc, comp = doc[tree.order], comp[tree.order]
+    bits = [Parities(odd[k]) for k in tree.order]
     a, b = [], []
     for i in range(len(doc)):
         j = tree.near(i)
         j = j[comp[j] != comp[i]]
+        sizes = tree.n[i] + tree.n[j]
+        unlike = np.fromiter((bits[i].unlike(bits[k]) for k in j.tolist()), np.int64, len(j))
+        j = j[may_link((sizes - unlike) // 2, sizes)]
         a.append(np.full(len(j), doc[i]))
         b.append(doc[j])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -151,7 +187,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
 
 
 def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
-    """(doc_id, n, digest, vector, short, prefix) of each document; ``short`` is the vector over SHORT groups."""
+    """(doc_id, n, digest, vector, short, odd, prefix) of each document; ``short`` is the vector over SHORT groups, ``odd`` its parities."""
     ordered = np.array(frequent, np.int64).view(np.uint64)
     by_value = np.argsort(ordered)
     values = ordered[by_value]
@@ -170,7 +206,7 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, vector, short, first = [], [], [], [], []
+            n, digest, vector, short, odd, first = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 n.append(len(s))
@@ -178,12 +214,13 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
                 v = count_vector(s)
                 vector.append(v.tobytes())
                 short.append(np.minimum(fold(v, SHORT), 65535).astype("<u2").tobytes())
+                odd.append(parities(s))
                 first.append(prefix(s).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(short, pa.binary()), lists], ["doc_id", "n", "digest", "vector", "short", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(short, pa.binary()), pa.array(odd, pa.binary()), lists], ["doc_id", "n", "digest", "vector", "short", "odd", "prefix"])
 
-    return docs.mapInArrow(sets, "doc_id bigint, n bigint, digest binary, vector binary, short binary, prefix array<bigint>")
+    return docs.mapInArrow(sets, "doc_id bigint, n bigint, digest binary, vector binary, short binary, odd binary, prefix array<bigint>")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -235,11 +272,11 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from ``rows`` (token, size, doc, comp, n, short): one tree a bucket and block."""
+    """Candidate pairs (a, b) from ``rows`` (token, size, doc, comp, n, short, odd): one tree a bucket and block."""
     n_blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("doc"), n_blocks)
     keyed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-    keyed = keyed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp", "n", "short")
+    keyed = keyed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp", "n", "short", "odd")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -249,10 +286,11 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
             doc, comp, n = (t[c].to_numpy() for c in ("doc", "comp", "n"))
             points = np.frombuffer(b"".join(t["short"].to_pylist()), "<u2").reshape(-1, SHORT).astype(np.int64)
+            odd = t["odd"].to_pylist()
             out = set()
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1 and (comp[s:e] != comp[s]).any():
-                    out.update(zip(*(x.tolist() for x in _bucket_pairs(doc[s:e], comp[s:e], n[s:e], points[s:e])), strict=True))
+                    out.update(zip(*(x.tolist() for x in _bucket_pairs(doc[s:e], comp[s:e], n[s:e], points[s:e], odd[s:e])), strict=True))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -300,7 +338,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # a bucket of two has had its only pair tried
     placed = shared.where("size > 2").join(parts, shared["doc"] == parts["node"], "left").select("token", "size", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    open_rows = placed.join(mixed, "token").join(known.select(F.col("doc_id").alias("doc"), "n", "short"), "doc")
+    open_rows = placed.join(mixed, "token").join(known.select(F.col("doc_id").alias("doc"), "n", "short", "odd"), "doc")
     second = durable(_bounded(_tree_pairs(open_rows).join(first, ["a", "b"], "left_anti"), vectors))
     more = _verified(second, rows)
     if not more.isEmpty():
