@@ -271,6 +271,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = marks.select("doc", F.explode(F.arrays_zip("anchor", "context", "place")).alias("f")).select("doc", "f.*")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     seen = durable(found.join(several, "anchor"))
+    del marks, found, several  # nothing holds their stored rows from here on: Spark may drop them
     classes = durable(seen.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one")).select("anchor", "context", "n", "one.*"))
     kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = durable(classes.join(kinds, "anchor").select("anchor", "context", "kinds", "doc", "place"))
@@ -306,7 +307,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             cols: list[list] = [[] for _ in range(5)]
             for packed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = z.decompress(packed)
