@@ -39,7 +39,9 @@ SHORT, FAN_OUT, BLOCK = 32, 16, 2000
 PARITIES = 4096
 #: Up to so many identifiers (8 bytes each) are broadcast to fetch texts; beyond, the texts are shuffled.
 MOST_BROADCAST = 200_000
-REMEMBERED = 700_000
+REMEMBERED = 200_000
+#: Texts that a Python worker holds the sets of at once.
+AT_ONCE = 500
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 _words: dict[bytes, int] = {}
@@ -177,7 +179,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
     one_in = max(1, -(-n_docs // SAMPLE))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             found = [shingles(t).view(np.int64) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["s"])
 
@@ -205,7 +207,7 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
         return np.concatenate([rare, ordered[np.sort(by_value[at[common]])[: p - len(rare)]]])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             n, digest, vector, short, odd, first = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)

@@ -24,7 +24,7 @@ END = 1
 #: Pieces dealt to one group on average.
 GROUP = 4096
 #: Words that one Python worker remembers the tokens of.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Stands between words while they are learned; texts that hold it go through the tokenizer whole.
 _MARK = "\x01"
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
