@@ -100,7 +100,7 @@ QUERIES = {
     "j15_waits_by_day": lambda s, p: rounded(j.waits_by_day(x.jobs(s, p))),
     "j16_host_hours": lambda s, p: j.host_hours(x.jobs(s, p), HOST),
     "j17_job_spans": lambda s, p: rounded(j.job_spans(x.jobs(s, p), HOST)),
-    "j18_idle_gaps": lambda s, p: rounded(j.idle_gaps(x.jobs(s, p).where("ClusterId % 40 = 0 or StartdName != 'host5'"), HOST)),
+    "j18_idle_gaps": lambda s, p: rounded(j.idle_gaps(x.jobs(s, p), HOST)),
     "j18_gap_summary": lambda s, p: rounded(j.gap_summary(j.idle_gaps(x.jobs(s, p), HOST, 0.0), x.jobs(s, p), HOST)),
     "j19_machine_months": lambda s, p: rounded(j.machine_months(x.jobs(s, p), HOST)),
     "j20_host_days": lambda s, p: rounded(j.host_days(x.jobs(s, p), NOW, host_part="HOST1")),
