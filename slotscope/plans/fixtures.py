@@ -128,9 +128,9 @@ jobs AS (SELECT o_orderkey AS ClusterId, CAST(0 AS BIGINT) AS ProcId, QDate, QDa
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(log, text): an event log for every tenth order, some evicted once or twice and started again."""
+    """(log, text): an event log for every order, some evicted once or twice and started again."""
     stamp = lambda s: f"date_format(timestamp_seconds({s}), 'yyyy-MM-dd HH:mm:ss')"
-    base = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr(
+    base = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS c", "o_custkey AS u", "unix_timestamp(TIMESTAMP'2024-01-01 00:00:00') + 1800L * datediff(o_orderdate, DATE'1995-01-01') + o_orderkey % 1800 AS t0",
         "lower(hex(o_custkey % 100 + 4096)) AS g", "CASE o_custkey % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(DEVICES)) + " END AS dev",
     ).selectExpr("*", "t0 + 60 AS s1", "t0 + 60 + (c % 7 + 1) * 600 AS e1", "t0 + 180 + (c % 7 + 1) * 600 AS s2", "t0 + 1080 + (c % 7 + 1) * 600 AS e2")

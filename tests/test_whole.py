@@ -9,11 +9,21 @@ import pytest
 from slotscope.plans import fixtures as x
 from slotscope.plans import jobs as plans
 
-from tests.test_queries import DATA, QUERIES
+from tests.test_queries import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
 
 
+def same(spark, duck, name, cut, whole):  # noqa: F811
+    """The query gives the rows of its SQL with ``cut`` replaced by ``whole``."""
+    result = duck.execute(SQL[name].replace(cut, whole))
+    names = [c[0] for c in result.description]
+    got = QUERIES[name](spark, DATA)
+    assert sorted(names) == sorted(got.columns)
+    rows = plain(result.fetchall(), names)
+    assert rows and plain([tuple(r) for r in got.collect()], got.columns) == rows
+
+
 def test_idle_gaps_of_all_jobs(spark):
     spans = sorted((r["JobStartDate"], r["CompletionDate"]) for r in x.jobs(spark, DATA).where(f"StartdName = '{plans.HOST}'").collect())
     gaps, until = [], spans[0][1]
@@ -23,3 +33,8 @@ def test_idle_gaps_of_all_jobs(spark):
         until = max(until, end)
     got = QUERIES["j18_idle_gaps"](spark, DATA).selectExpr("unix_timestamp(CAST(start AS TIMESTAMP)) AS s", "unix_timestamp(CAST(end AS TIMESTAMP)) AS e", "hours").collect()
     assert sorted(map(tuple, got)) == gaps
+
+
+@pytest.mark.parametrize("name", ["l1_starts", "l2_evictions", "l3_identity", "l4_evicted_runs", "l5_succeeded", "l6_evicting_jobs", "l7_eviction_summary", "l8_mean_evictions", "l9_confidence_counts", "s11_log_files"])
+def test_logs_of_all_orders(spark, duck, name):  # noqa: F811
+    same(spark, duck, name, " FROM orders WHERE o_orderkey % 10 = 0)", " FROM orders)")
