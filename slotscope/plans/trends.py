@@ -106,8 +106,8 @@ QUERIES = {
     "w12_type_summary_machines": lambda s, p: rounded(w.type_summary(x.slots(s, p), ("GPUs_DeviceName", "Machine"))),
     "w13_snapshot_efficiency": lambda s, p: rounded(w.efficiency_summary(w.snapshot_efficiency(x.slots(s, p), "host5"))),
     "w13_top_efficiency": lambda s, p: rounded(w.snapshot_efficiency(x.slots(s, p), "host5").orderBy(F.desc("efficiency"), "timestamp").limit(10)),
-    "w14_never_claimed": lambda s, p: w.never_claimed(snapshots.window(x.slots(s, p), 1)).where("claimed = 0").select("Machine", "AssignedGPUs", "tier", "records"),
-    "w14_never_claimed_summary": lambda s, p: rounded(w.never_claimed_summary(w.never_claimed(snapshots.window(x.slots(s, p), 1)))),
+    "w14_never_claimed": lambda s, p: w.never_claimed(snapshots.window(x.slots(s, p))).where("claimed = 0").select("Machine", "AssignedGPUs", "tier", "records"),
+    "w14_never_claimed_summary": lambda s, p: rounded(w.never_claimed_summary(w.never_claimed(snapshots.window(x.slots(s, p))))),
     "w15_concurrency": _conc,
     "w16_top_users": lambda s, p: rounded(w.top_users(w.concurrency(x.slots(s, p)), "gpu_rows")),
     "w17_open_user_series": lambda s, p: w.open_user_series(x.slots(s, p)),
