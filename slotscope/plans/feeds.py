@@ -76,7 +76,11 @@ def poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "stream")
-    x.slots(spark, sf_dir).repartitionByRange(8, "timestamp").write.parquet(path)
+    slots = x.slots(spark, sf_dir)
+    slots.repartitionByRange(8, "timestamp").write.parquet(path)
+    # a later row, which closes all buckets before it; written afterwards, as files are read from the oldest on
+    last = slots.agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"), F.lit("GPU-end").alias("AssignedGPUs")).where("timestamp is not null")
+    spark.createDataFrame([], slots.schema).unionByName(last, allowMissingColumns=True).write.mode("append").parquet(path)
     return streams.read(spark, path, files_per_trigger=100)
 
 
@@ -88,23 +92,26 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Da
 
 
 def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winners and their states by bucket, from a stream; the last buckets stay open within the watermark."""
+    """Winners and their states by bucket, from a stream that a later row closes."""
     rows = _drained(spark, streams.bucket_counts(streams.winners(_stream(spark, sf_dir))))
-    return rows.where("bucket < timestamp'2024-01-08 00:00:00'").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 def stream_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _drained(spark, streams.distinct_devices(_stream(spark, sf_dir)))
-    return rows.where("bucket < timestamp'2024-01-08 00:00:00'").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "sightings")
-    x.sightings(spark, sf_dir).select("GlobalJobId", F.timestamp_seconds("seen").alias("seen")).repartitionByRange(4, "seen").write.parquet(path)
+    seen = x.sightings(spark, sf_dir).select("GlobalJobId", F.timestamp_seconds("seen").alias("seen"))
+    seen.repartitionByRange(4, "seen").write.parquet(path)
+    last = seen.agg(F.lit("end").alias("GlobalJobId"), (F.max("seen") + F.expr("INTERVAL 1 DAY")).alias("seen")).where("seen is not null")
+    last.write.mode("append").parquet(path)  # closes all sessions
     rows = spark.readStream.schema("GlobalJobId string, seen timestamp").parquet(path)
     out = _drained(spark, streams.idle_intervals(rows))
     s = lambda k: F.unix_timestamp(k).alias(k)
-    return out.select("GlobalJobId", s("first_seen"), s("last_seen"), "sightings").where("last_seen < 1706000000")
+    return out.select("GlobalJobId", s("first_seen"), s("last_seen"), "sightings")
 
 
 _SESSIONS = f"""WITH {x.SIGHTINGS_SQL}, n AS (SELECT *, coalesce(CAST(seen - lag(seen) OVER w > 5400 AS INTEGER), 1) AS new FROM sightings WINDOW w AS (PARTITION BY GlobalJobId ORDER BY seen, event_id)),

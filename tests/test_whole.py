@@ -43,3 +43,8 @@ def test_logs_of_all_orders(spark, duck, name):  # noqa: F811
 def test_devices_never_claimed_in_a_day(spark, duck):  # noqa: F811
     for name in ("w14_never_claimed", "w14_never_claimed_summary"):
         same(spark, duck, name, "INTERVAL 1 HOUR", "INTERVAL 24 HOUR")
+
+
+@pytest.mark.parametrize(("name", "cut"), [("x2_x3_stream_buckets", " AND bucket < TIMESTAMP '2024-01-08'"), ("x4_stream_devices", " AND bucket < TIMESTAMP '2024-01-08'"), ("x5_stream_sessions", " HAVING max(seen) < 1706000000")])
+def test_streams_to_their_end(spark, duck, name, cut):  # noqa: F811
+    same(spark, duck, name, cut, "")
