@@ -223,7 +223,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def _pack(pieces: DataFrame, capacity: Capacity, n: int, salt: int) -> DataFrame:
-    """``pieces`` with sequence_id, offset and used (tokens of the sequence)."""
+    """``pieces`` with sequence_id, offset and used (tokens of the sequence); ``salt`` is the ids' lowest bit."""
     groups = max(1, round(n / GROUP))
     room = 1 << 24
 
@@ -231,8 +231,8 @@ def _pack(pieces: DataFrame, capacity: Capacity, n: int, salt: int) -> DataFrame
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         where, offset = best_fit(t["length"].to_numpy(), capacity)
         used = np.bincount(where, weights=t["length"].to_numpy())[where].astype(np.int64)
-        first = (salt * (1 << 38)) + t["group"][0].as_py() * room
-        t = t.append_column("sequence_id", pa.array(where + first)).append_column("offset", pa.array(offset)).append_column("used", pa.array(used))
+        sequence = 2 * (where + t["group"][0].as_py() * room) + salt
+        t = t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("used", pa.array(used))
         return t.drop_columns(["group"])
 
     fields = pieces.schema.simpleString()[len("struct<") : -1]
