@@ -84,10 +84,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return PERCENT_OF * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def groups_of(n: int) -> int:
+    """Groups of a count vector of ``n`` shingles."""
+    return 1 << int(np.clip(np.ceil(np.log2(max(n, 1) / 4)), 6, 12))
+
+
 def count_vector(s: np.ndarray) -> np.ndarray:
     """Counts of the shingles by hash group; about four shingles a group, 64 to 4096 groups."""
-    d = 1 << int(np.clip(np.ceil(np.log2(max(len(s), 1) / 4)), 6, 12))
-    return np.minimum(np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d), 65535).astype("<u2")
+    d = groups_of(len(s))
+    return np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d)
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Counts in two bytes each, or in four where one needs them: never clipped, so that bounds hold for any length."""
+    return v.astype("<u2" if v.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(b: bytes, d: int) -> np.ndarray:
+    return np.frombuffer(b, f"<u{len(b) // d}").astype(np.int64)
 
 
 def fold(v: np.ndarray, d: int) -> np.ndarray:
@@ -214,8 +228,8 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 v = count_vector(s)
-                vector.append(v.tobytes())
-                short.append(np.minimum(fold(v, SHORT), 65535).astype("<u2").tobytes())
+                vector.append(packed(v))
+                short.append(packed(fold(v, SHORT)))
                 odd.append(parities(s))
                 first.append(prefix(s).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
@@ -232,8 +246,8 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na + nb, strict=True):
-                v, w = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+            for x, y, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na, nb, strict=True):
+                v, w, m = unpacked(x, groups_of(p)), unpacked(y, groups_of(q)), p + q
                 d = min(len(v), len(w))
                 keep.append(bool(may_link(np.minimum(fold(v, d), fold(w, d)).sum(), m)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -255,16 +269,17 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # the last few sets: rows come in order of one side
+        held: dict[tuple[int, bytes], np.ndarray] = {}  # the last few sets: rows come in order of one side; an id may have several texts
         for batch in batches:
             keep = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if len(held) > 64:
                     held.clear()
-                for k, t in ((a, x), (b, y)):
+                keys = [(k, xxhash.xxh3_128_digest((t or "").encode())) for k, t in ((a, x), (b, y))]
+                for k, t in zip(keys, (x, y), strict=True):
                     if k not in held:
                         held[k] = shingles(t)
-                keep.append(similar(held[a], held[b]))
+                keep.append(similar(held[keys[0]], held[keys[1]]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = _texts(rows, pairs)
@@ -287,7 +302,7 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             key = np.stack([t[c].to_numpy() for c in ("token", "i", "j")])
             cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
             doc, comp, n = (t[c].to_numpy() for c in ("doc", "comp", "n"))
-            points = np.frombuffer(b"".join(t["short"].to_pylist()), "<u2").reshape(-1, SHORT).astype(np.int64)
+            points = np.stack([unpacked(v, SHORT) for v in t["short"].to_pylist()])
             odd = t["odd"].to_pylist()
             out = set()
             for s, e in zip(cut[:-1], cut[1:], strict=True):

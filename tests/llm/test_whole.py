@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from slotscope.llm import packing
+import numpy as np
+
+from slotscope.llm import ngram_join, packing
+
+from tests.llm.test_operators import prose
 
 
 def test_packing_rounds_never_share_a_sequence(spark):
@@ -11,3 +15,21 @@ def test_packing_rounds_never_share_a_sequence(spark):
     first, again = ({r["sequence_id"] for r in packing._pack(pieces, packing.Capacity(), n, salt).collect()} for salt in (0, 1))
     assert len(first) > 2000 and len(again) > 2000
     assert not first & again
+
+
+def test_both_texts_of_one_id_link(spark):
+    a, b = prose(1, 300), prose(2, 300)
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")]
+    for given in (rows, rows[::-1]):
+        pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+        docs = spark.createDataFrame(given, "doc_id bigint, text string").coalesce(1)
+        assert {tuple(r) for r in ngram_join._verified(pairs, docs).collect()} == {(1, 2), (1, 3)}
+        assert {r["component_id"] for r in ngram_join.near_duplicates(docs).collect()} == {1}
+
+
+def test_short_vectors_of_long_texts_count_all_shingles(spark):
+    n = 2_200_000
+    docs = spark.range(1).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, {n}), x -> CAST(x AS STRING)), ' ') AS text")
+    (row,) = ngram_join.document_sets(docs, []).select("n", "short").collect()
+    assert row["n"] == n - ngram_join.WORDS + 1
+    assert np.frombuffer(row["short"], f"<u{len(row['short']) // ngram_join.SHORT}").sum(dtype=np.int64) == row["n"]
