@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotscope.llm.durable import durable
+from slotscope.llm.durable import stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,14 +15,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     chains shrink by half or more; labels are written out each round. No links give no rows.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
-    edges = durable(both.distinct())
-    labels = durable(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    edges, _ = stored(both.distinct())
+    labels, path = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("lower"))
         jump = labels.select(F.col("a").alias("lower"), F.col("label").alias("jump"))
-        after = durable(lower.join(jump, "lower").select("a", "label", F.least("lower", "jump").alias("new")))
-        moved = not after.where("new < label").isEmpty()
+        after, path = stored(lower.join(jump, "lower").select("a", "label", F.least("lower", "jump").alias("new")), path)
         labels = after.select("a", F.col("new").alias("label"))
-        if not moved:
+        if after.where("new < label").isEmpty():
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

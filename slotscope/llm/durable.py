@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written as a table beside the checkpoints, and its path; the table at ``old`` goes.
+
+    For loops: a checkpoint keeps the planner's size estimates, which a join multiplies, so that
+    after a dozen rounds they have millions of digits. A table's size is that of its files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if old is not None:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return spark.read.parquet(path), path
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session makes."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

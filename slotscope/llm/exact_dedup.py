@@ -68,6 +68,7 @@ def _merge(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch]).select(_COLUMNS)
+            t = pa.Table.from_arrays(t.columns, names=_COLUMNS)  # as what is held: every column nullable
             merged = _merge_table(pa.concat_tables([held, t]) if held is not None else t, keep)
             held = merged.slice(merged.num_rows - 1)
             yield from merged.slice(0, merged.num_rows - 1).to_batches()

@@ -7,15 +7,18 @@ over more groups bound it again for single points. Points meet in
 buckets: two sets that are similar enough must share a shingle among the first ``n - ceil(0.8 n) + 1``
 of either in one fixed order (frequent shingles last), so no link is lost. Equal sets count once.
 
-1. In each bucket the smallest document is tried with all others (as many pairs as rows).
+1. In each bucket the smallest document is tried with all others (as many pairs as rows), then
+   the one that has most links so far.
 2. What these links connect is settled; the buckets that still hold several components build an
-   R-tree each, in blocks of bounded size, and search it for pairs of different components.
+   R-tree each, in blocks of bounded size, and search it for pairs of different components, in
+   rounds: each row names its likeliest mates first, so that what links is soon one component.
 3. Every candidate pair is checked on the whole shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ MOST_BROADCAST = 200_000
 REMEMBERED = 200_000
 #: Texts that a Python worker holds the sets of at once.
 AT_ONCE = 500
+#: Partners of one document that a task tries.
+PARTNERS = 2000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 _words: dict[bytes, int] = {}
@@ -170,24 +175,6 @@ class CountTree:
         return nodes[may_link(np.minimum(self.points[nodes], v).sum(axis=1), n + self.n[nodes])]
 
 
-def _bucket_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray, odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one block that neither the tree nor the parities rule out."""
-    tree = CountTree(n, points)
-    doc, comp = doc[tree.order], comp[tree.order]
-    bits = [Parities(odd[k]) for k in tree.order]
-    a, b = [], []
-    for i in range(len(doc)):
-        j = tree.near(i)
-        j = j[comp[j] != comp[i]]
-        sizes = tree.n[i] + tree.n[j]
-        unlike = np.fromiter((bits[i].unlike(bits[k]) for k in j.tolist()), np.int64, len(j))
-        j = j[may_link((sizes - unlike) // 2, sizes)]
-        a.append(np.full(len(j), doc[i]))
-        b.append(doc[j])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
 def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
     """Frequent shingles, rarest first, from a hashed sample of about SAMPLE documents."""
     one_in = max(1, -(-n_docs // SAMPLE))
@@ -196,6 +183,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
         for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             found = [shingles(t).view(np.int64) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["s"])
+        _words.clear()
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(one_in)) == 0).select("text")
     counted = sample.mapInArrow(sets, "s bigint").groupBy("s").count().where(F.col("count") >= FREQUENT)
@@ -235,65 +223,154 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(short, pa.binary()), pa.array(odd, pa.binary()), lists], ["doc_id", "n", "digest", "vector", "short", "odd", "prefix"])
+        _words.clear()
 
     return docs.mapInArrow(sets, "doc_id bigint, n bigint, digest binary, vector binary, short binary, odd binary, prefix array<bigint>")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full count vectors leave enough overlap possible."""
+def _approved(pairs: DataFrame, held: DataFrame, approve: Callable[[Any, Any], bool]) -> DataFrame:
+    """The pairs (a, b) whose ``load``s in ``held`` (doc, load) ``approve`` accepts.
+
+    A task holds one ``a`` and streams its partners past it. The partners of an ``a`` with many are
+    dealt into parts of about PARTNERS, so that no hot document makes a task larger than that. Where
+    an identifier has several loads, each is tried.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    left = parts.select("a", F.explode(F.sequence(F.lit(1).cast("bigint"), "parts")).alias("part")).join(held, F.col("a") == held["doc"])
+    left = left.select("a", "part", F.lit(None).cast("bigint").alias("b"), "load")
+    right = pairs.join(parts, "a").select("a", (F.pmod(F.xxhash64("b"), "parts") + 1).alias("part"), "b")
+    right = right.join(held, F.col("b") == held["doc"]).select("a", "part", "b", "load")
+    met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
+            keep: list[tuple[int, int]] = []
+            for a, part, b, load in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (a, part):
+                    at, own = (a, part), []
+                if b is None:
+                    own.append(load)
+                elif any(approve(x, load) for x in own):
+                    keep.append((a, b))
+            yield _columns({"a": [k[0] for k in keep], "b": [k[1] for k in keep]})
+
+    return met.mapInArrow(stream, "a bigint, b bigint").distinct()
+
+
+def _columns(cols: dict[str, list], kinds: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, (kinds or {}).get(k, pa.int64())) for k, v in cols.items()], list(cols))
+
+
+def _may_be_similar(x: dict[str, Any], y: dict[str, Any]) -> bool:
+    """Whether two full count vectors leave enough overlap possible."""
+    p, q = x["n"], y["n"]
+    if PERCENT * p > PERCENT_OF * q or PERCENT * q > PERCENT_OF * p:
+        return False
+    v, w = unpacked(x["vector"], groups_of(p)), unpacked(y["vector"], groups_of(q))
+    d = min(len(v), len(w))
+    return bool(may_link(np.minimum(fold(v, d), fold(w, d)).sum(), p + q))
+
+
+class _Sets:
+    """The shingle sets of the last few texts: a partner's is needed once, a holder's again and again."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        if text not in self.held:
+            if len(self.held) >= 4:
+                self.held.pop(next(iter(self.held)))
+            self.held[text] = shingles(text)
+        else:
+            self.held[text] = self.held.pop(text)  # the one used last goes last
+        return self.held[text]
+
+
+_sets = _Sets()
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for x, y, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na, nb, strict=True):
-                v, w, m = unpacked(x, groups_of(p)), unpacked(y, groups_of(q)), p + q
-                d = min(len(v), len(w))
-                keep.append(bool(may_link(np.minimum(fold(v, d), fold(w, d)).sum(), m)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda k: points.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("vector").alias(f"v{k}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.where(f"{PERCENT} * na <= {PERCENT_OF} * nb and {PERCENT} * nb <= {PERCENT_OF} * na")
-    return rows.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bound, "a bigint, b bigint")
+def _are_similar(x: str, y: str) -> bool:
+    """Whether two whole texts link."""
+    return similar(_sets.of(x), _sets.of(y))
 
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, text) of the documents in ``pairs``."""
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+def _verified(pairs: DataFrame, rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar; ``vectors`` (doc, load) rule some out before texts move."""
+    likely = durable(_approved(pairs, vectors, _may_be_similar))
+    ids = durable(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     few = ids.count() <= MOST_BROADCAST
-    return durable(rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["doc"]).select("doc", "text"))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], np.ndarray] = {}  # the last few sets: rows come in order of one side; an id may have several texts
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) > 64:
-                    held.clear()
-                keys = [(k, xxhash.xxh3_128_digest((t or "").encode())) for k, t in ((a, x), (b, y))]
-                for k, t in zip(keys, (x, y), strict=True):
-                    if k not in held:
-                        held[k] = shingles(t)
-                keep.append(similar(held[keys[0]], held[keys[1]]))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = _texts(rows, pairs)
-    side = lambda k: texts.select(F.col("doc").alias(k), F.col("text").alias(f"t{k}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return durable(both.mapInArrow(verify, "a bigint, b bigint").distinct())
-
-
-def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from ``rows`` (token, size, doc, comp, n, short, odd): one tree a bucket and block."""
-    n_blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("doc"), n_blocks)
-    keyed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-    keyed = keyed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp", "n", "short", "odd")
+    texts = durable(rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["doc"]).select("doc", F.coalesce("text", F.lit("")).alias("load")))
+    return durable(_approved(likely, texts, _are_similar))
+
+
+def blocks(placed: DataFrame) -> DataFrame:
+    """(token, i, j, own, doc): what meets where, of the rows (token, doc, comp) of buckets with several components.
+
+    The rows of a bucket's largest component need no pairs among themselves. They are dealt into
+    blocks below 0 that meet each block of the others once; the others' blocks, from 0 on, meet
+    one another too. In a block (i, j) with ``i != j`` only rows of different ``own`` make pairs.
+    """
+    kinds = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    of = kinds.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("size")).where("size > most")
+    dealt = lambda n: F.ceil(n / BLOCK)
+    rows = placed.join(of, "token").withColumn("others", dealt(F.col("size") - F.col("most")))
+    ours = F.col("comp") == F.col("top")
+    own = F.when(ours, -1 - F.pmod(F.xxhash64("doc"), dealt(F.col("most")))).otherwise(F.pmod(F.xxhash64("doc"), F.col("others")))
+    first = F.when(ours, F.lit(0).cast("bigint")).otherwise(-dealt(F.col("most")))
+    rows = rows.select("token", "doc", own.alias("own"), F.explode(F.sequence(first, F.col("others") - 1)).alias("other"))
+    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc")
+
+
+def block_pairs(own: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray, odd: list[bytes], share: np.ndarray, place: np.ndarray, most: int, across: bool) -> list[tuple[int, int, float | None, int | None]]:
+    """(doc, mate, share, place): of each row the ``most`` likeliest mates of other components not tried yet.
+
+    With ``across`` only rows of different ``own`` are mates.
+    Neither the tree nor the parities rule these pairs out. Mates come in order of the largest
+    share of their union that the pair may have in common, then of place in the tree; ``share`` and
+    ``place`` say, by row, up to where in that order mates have been tried. They are given back
+    with the last mate of a row that has more of them, else null.
+    """
+    tree = CountTree(n, points)
+    own, doc, comp, share, place = own[tree.order], doc[tree.order], comp[tree.order], share[tree.order], place[tree.order]
+    bits: dict[int, Parities] = {}
+
+    def parity(i: int) -> Parities:
+        if i not in bits:
+            bits[i] = Parities(odd[tree.order[i]])
+        return bits[i]
+
+    out = []
+    for i in range(len(doc)):
+        if share[i] < 0:
+            continue
+        j = tree.near(i)
+        j = j[(comp[j] != comp[i]) & (own[j] != own[i])] if across else j[comp[j] != comp[i]]
+        if not len(j):
+            continue
+        sizes = tree.n[i] + tree.n[j]
+        unlike = np.fromiter((parity(i).unlike(parity(k)) for k in j.tolist()), np.int64, len(j))
+        both = np.minimum((sizes - unlike) // 2, np.minimum(tree.points[j], tree.points[i]).sum(axis=1))
+        may = may_link(both, sizes)
+        j, likely = j[may], (both / np.maximum(sizes - both, 1))[may]
+        ahead = (likely < share[i]) | ((likely == share[i]) & (j > place[i]))
+        j, likely = j[ahead], likely[ahead]
+        if not len(j):
+            continue
+        best = np.lexsort((j, -likely))
+        chosen, last = j[best[:most]], best[:most][-1]
+        more = len(best) > most
+        out += [(int(doc[i]), int(doc[k]), None, None) for k in chosen[:-1]]
+        out.append((int(doc[i]), int(doc[chosen[-1]]), float(likely[last]) if more else None, int(j[last]) if more else None))
+    return out
+
+
+_FOUND = {"token": pa.int64(), "i": pa.int64(), "j": pa.int64(), "doc": pa.int64(), "mate": pa.int64(), "share": pa.float64(), "place": pa.int64()}
+
+
+def _searched(rows: DataFrame, most: int) -> DataFrame:
+    """(token, i, j, doc, mate, share, place): what block_pairs finds in each block of ``rows``, one count-vector tree a block."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -301,33 +378,86 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t[c].to_numpy() for c in ("token", "i", "j")])
             cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
-            doc, comp, n = (t[c].to_numpy() for c in ("doc", "comp", "n"))
-            points = np.stack([unpacked(v, SHORT) for v in t["short"].to_pylist()])
-            odd = t["odd"].to_pylist()
-            out = set()
+            own, doc, comp, n, share, place = (t[c].to_numpy() for c in ("own", "doc", "comp", "n", "share", "place"))
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1 and (comp[s:e] != comp[s]).any():
-                    out.update(zip(*(x.tolist() for x in _bucket_pairs(doc[s:e], comp[s:e], n[s:e], points[s:e], odd[s:e])), strict=True))
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+                    part = t.slice(s, e - s)
+                    points = np.stack([unpacked(v, SHORT) for v in part["short"].to_pylist()])
+                    found = block_pairs(own[s:e], doc[s:e], comp[s:e], n[s:e], points, part["odd"].to_pylist(), share[s:e], place[s:e], most, bool(key[1, s] != key[2, s]))
+                    if found:
+                        at = [np.full(len(found), k) for k in key[:, s]]
+                        yield _columns(dict(zip(_FOUND, (*at, *zip(*found, strict=True)), strict=True)), _FOUND)
+
+        for batch in (x.slice(i, 4 * AT_ONCE) for x in batches for i in range(0, x.num_rows, 4 * AT_ONCE)):
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
             last = [t[c][t.num_rows - 1].as_py() for c in ("token", "i", "j")]
             same = np.logical_and.reduce([t[c].to_numpy() == v for c, v in zip(("token", "i", "j"), last, strict=True)])
             first = int(np.argmax(same))  # rows are sorted: the last group is the tail
             if first:
-                yield from pairs(t.slice(0, first).combine_chunks())
+                yield from _joined(pairs(t.slice(0, first).combine_chunks()))
             held = t.slice(first)
         if held is not None:
-            yield from pairs(held.combine_chunks())
+            yield from _joined(pairs(held.combine_chunks()))
+
+    placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "doc")
+    return placed.mapInArrow(search, "token bigint, i bigint, j bigint, doc bigint, mate bigint, share double, place bigint")
 
-    sorted_rows = keyed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return sorted_rows.mapInArrow(search, "a bigint, b bigint").distinct()
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many small batches as one."""
+    if some := list(batches):
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
+def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, component) of the documents that links reach, from the buckets ``shared`` (token, doc, hub, size).
+
+    The trees are searched in rounds: each row names its likeliest mates of other components, 1 in
+    the first round and eight times as many in each later one; what is verified unites components,
+    and only blocks whose rows have more mates to name go on. So a round puts out in proportion to
+    its rows, a group of near copies is one component after a few rounds, and no pair of different
+    components is left out.
+    """
+    vectors = known.select(F.col("doc_id").alias("doc"), F.struct("n", "vector").alias("load"))
+    tried = durable(shared.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
+    links = _verified(tried, rows, vectors)
+    parts = connected_components(links)
+    named = lambda df: df.join(parts, df["doc"] == parts["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
+    # a bucket of two has had its only pair tried
+    wide = shared.where("size > 2").select("token", "doc")
+    # again with the document that has most links in the bucket: copies of one original link with it rather than with one another
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1")
+    centre = named(wide.join(degree, "doc")).groupBy("token").agg(F.max_by(F.struct("doc", "comp"), F.struct("degree", -F.col("doc"))).alias("c")).select("token", "c.*")
+    centre = centre.select("token", F.col("doc").alias("centre"), F.col("comp").alias("of"))
+    again = named(wide).join(centre, "token").where("comp != of").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+    again = durable(again.join(tried, ["a", "b"], "left_anti"))
+    tried = tried.unionByName(again)
+    if not (more := _verified(again, rows, vectors)).isEmpty():
+        links = links.unionByName(more)
+        parts = connected_components(links)
+    buckets = named(wide)
+    met = blocks(buckets).withColumns({"share": F.lit(2.0), "place": F.lit(-1).cast("bigint")})
+    most = 1
+    while True:
+        points = named(known.select(F.col("doc_id").alias("doc"), "n", "short", "odd"))
+        found = durable(_searched(met.join(points, "doc").select("token", "i", "j", "own", "doc", "comp", "n", "short", "odd", "share", "place"), most))
+        pairs = found.select(F.least("doc", "mate").alias("a"), F.greatest("doc", "mate").alias("b")).where("a < b").distinct()
+        fresh = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = _verified(fresh, rows, vectors)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = connected_components(links)
+        going = found.where("share is not null").groupBy("token", "i", "j", "doc").agg(F.max(F.struct("share", (-F.col("place")).alias("back"))).alias("at"))
+        going = durable(going.select("token", "i", "j", "doc", "at.share", (-F.col("at.back")).alias("place")))
+        if going.isEmpty():
+            return parts
+        tried = tried.unionByName(fresh)
+        met = blocks(buckets.join(going.select("token").distinct(), "token", "left_semi")) if most == 1 else met.drop("share", "place")
+        met = met.join(going.select("token", "i", "j").distinct(), ["token", "i", "j"], "left_semi").join(going, ["token", "i", "j", "doc"], "left")
+        # a row that has named all its mates only waits to be named by others
+        met = durable(met.withColumns({"share": F.coalesce("share", F.lit(-1.0)), "place": F.coalesce("place", F.lit(-1).cast("bigint"))}))
+        most *= 8
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,21 +476,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     tokens = points.select("doc", F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = durable(tokens.join(buckets, "token"))
-    vectors = known.select(F.col("doc_id").alias("doc"), "n", "vector")
-
-    first = durable(_bounded(shared.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), vectors))
-    links = _verified(first, rows)
-    parts = durable(connected_components(links))
-
-    # a bucket of two has had its only pair tried
-    placed = shared.where("size > 2").join(parts, shared["doc"] == parts["node"], "left").select("token", "size", "doc", F.coalesce("component", "doc").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    open_rows = placed.join(mixed, "token").join(known.select(F.col("doc_id").alias("doc"), "n", "short", "odd"), "doc")
-    second = durable(_bounded(_tree_pairs(open_rows).join(first, ["a", "b"], "left_anti"), vectors))
-    more = _verified(second, rows)
-    if not more.isEmpty():
-        parts = durable(connected_components(links.unionByName(more)))
-
+    parts = _links(shared, rows, known)
     of_group = groups.join(parts, groups["doc"] == parts["node"], "left").select("digest", F.col("n").alias("size"), F.coalesce("component", "doc").alias("component_id"))
     named = sets.join(of_group, (sets["digest"] == of_group["digest"]) & (sets["n"] == of_group["size"]) & sets["doc_id"].isNotNull(), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -144,8 +144,20 @@ def test_tree_rules_out_only_what_cannot_link():
         n = np.array([len(s) for s in sets])
         points = np.stack([ngram_join.fold(ngram_join.count_vector(s), ngram_join.SHORT) for s in sets])
         doc = np.arange(len(sets))
-        a, b = ngram_join._bucket_pairs(doc, doc, n, points, [ngram_join.parities(s) for s in sets])
-        kept = set(zip(a.tolist(), b.tolist(), strict=True))
+        odd = [ngram_join.parities(s) for s in sets]
+        share, place, kept = np.full(len(sets), 2.0), np.full(len(sets), -1), set()
+        most = 1
+        while (share > 0).any():  # in rounds: each goes on where the last has stopped
+            found = ngram_join.block_pairs(np.zeros(len(sets)), doc, doc, n, points, odd, share, place, most, False)
+            assert len(found) <= most * len(sets)
+            pairs = {(min(i, j), max(i, j)) for i, j, _, _ in found}
+            assert len(pairs) == len(found) and not pairs & kept
+            kept |= pairs
+            share, place = np.full(len(sets), -1.0), np.full(len(sets), -1)
+            for i, _, s, p in found:
+                if s is not None:
+                    share[i], place[i] = s, p
+            most *= 4
         linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if ngram_join.similar(sets[i], sets[j])} if m < 300 else set()
         assert linked <= kept
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from slotscope.llm import ngram_join, packing
+from pyspark.sql import functions as F
+
+from slotscope.llm import exact_dedup, ngram_join, packing
 
 from tests.llm.test_operators import prose
 
@@ -23,7 +25,8 @@ def test_both_texts_of_one_id_link(spark):
     for given in (rows, rows[::-1]):
         pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
         docs = spark.createDataFrame(given, "doc_id bigint, text string").coalesce(1)
-        assert {tuple(r) for r in ngram_join._verified(pairs, docs).collect()} == {(1, 2), (1, 3)}
+        vectors = ngram_join.document_sets(docs, []).select(F.col("doc_id").alias("doc"), F.struct("n", "vector").alias("load"))
+        assert {tuple(r) for r in ngram_join._verified(pairs, docs, vectors).collect()} == {(1, 2), (1, 3)}
         assert {r["component_id"] for r in ngram_join.near_duplicates(docs).collect()} == {1}
 
 
@@ -33,3 +36,50 @@ def test_short_vectors_of_long_texts_count_all_shingles(spark):
     (row,) = ngram_join.document_sets(docs, []).select("n", "short").collect()
     assert row["n"] == n - ngram_join.WORDS + 1
     assert np.frombuffer(row["short"], f"<u{len(row['short']) // ngram_join.SHORT}").sum(dtype=np.int64) == row["n"]
+
+
+N_COPIES = 5000
+
+
+def edited(base: list[str], r: np.random.Generator, n: int) -> str:
+    words = [*base]
+    for k in r.choice(len(base), n, replace=False):
+        words[k] = f"edit{r.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_a_large_group_of_near_copies_stays_linear(spark, monkeypatch):
+    """Copies that link with their original, rarely with one another; no round names more pairs than four times its rows."""
+    r = np.random.default_rng(5)
+    base = prose(1, 220).split()
+    rows = [(N_COPIES // 2, " ".join(base))] + [(i if i < N_COPIES // 2 else i + 1, edited(base, r, 4)) for i in range(N_COPIES)]
+    rows += [(90_000 + i, prose(10 + i, 80) + " " + " ".join(base[:60]) + " " + prose(5000 + i, 80)) for i in range(100)]
+    seen, search = [], ngram_join._searched
+
+    def watched(rows, most):
+        found = search(rows, most).cache()
+        seen.append((found.count(), rows.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_searched", watched)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == 0 for i in range(N_COPIES + 1)) and all(got[90_000 + i] == 90_000 + i for i in range(100))
+    assert seen and all(n <= rows for n, rows in seen[:1]) and sum(n for n, _ in seen) <= 2 * seen[0][1]
+
+
+def test_hot_holders_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PARTNERS", 7)
+    held = spark.range(200).selectExpr("id AS doc", "id % 3 AS load")
+    pairs = spark.range(1, 200).selectExpr("CAST(0 AS BIGINT) AS a", "id AS b")
+    got = {(x["a"], x["b"]) for x in ngram_join._approved(pairs, held, lambda x, y: x == y).collect()}
+    assert got == {(0, b) for b in range(1, 200) if b % 3 == 0}
+
+
+def test_dedup_of_tasks_with_several_batches(spark):
+    rows = spark.range(45_000).selectExpr("id AS doc_id", "CAST(id % 30000 AS STRING) AS text").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = exact_dedup.exact_dedup(rows).groupBy("kept").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {x["kept"]: x["count"] for x in got} == {True: 30_000, False: 15_000}
