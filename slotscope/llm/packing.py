@@ -9,6 +9,7 @@ and their pieces packed once more, together with those of other groups.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,6 +64,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,19 +72,38 @@ class WordTokenizer:
         if len(mark) != 1:
             raise ValueError("the mark between words must be one token")
         self.mark = mark[0]
-        self._forget()
-
-    def _forget(self) -> None:
         self.code = _Codes()
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _count(self, codes: list[np.ndarray | None]) -> None:
+        """Adds up how often each word was met."""
+        met = np.bincount(np.concatenate([c for c in codes if c is not None] or [np.empty(0, np.int64)]), minlength=len(self.code))
+        met[: len(self.uses)] += self.uses
+        self.uses = met
+
+    def _forget(self) -> None:
+        """Keeps the half of the memory that was used most since it last forgot, of words met twice or more."""
+        often = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        keep = np.sort(often[self.uses[often] > 1])
+        words = list(self.code)
+        self.code = _Codes()
+        self.code.update({words[k]: n for n, k in enumerate(keep.tolist())})
+        first, n = self.start[keep], np.diff(self.start)[keep]
+        stop = np.cumsum(n)
+        self.flat = self.flat[np.arange(int(n.sum())) + np.repeat(first - stop + n, n)]
+        self.start = np.r_[0, stop]
+        self.uses = np.zeros(len(keep), np.int64)
 
     def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) from the tokenizer."""
-        parts, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for i in range(0, len(words), 256):
-            some = words[i : i + 256]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(w.decode() for w in some), add_special_tokens=False).ids, np.uint32)
+        parts, sizes, answers = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], []
+        lots = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for at in range(0, len(lots), 16):
+            asked = [f" {_MARK} ".join(w.decode() for w in some) for some in lots[at : at + 16]]
+            answers.extend(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False))
+        for some, ids in zip(lots, answers, strict=True):
             cut = np.r_[np.flatnonzero(ids == self.mark), len(ids)]
             if len(cut) != len(some):
                 raise ValueError("a word gave the mark's id")
@@ -143,6 +164,7 @@ class WordTokenizer:
             coded.append(np.fromiter(map(number, words), np.int64, len(words)))
         if self.code.fresh:
             self._learn()
+        self._count(coded)
         out = []
         for t, c in zip(texts, coded, strict=True):
             if c is None:
