@@ -116,7 +116,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SESSIONS = f"""WITH {x.SIGHTINGS_SQL}, n AS (SELECT *, coalesce(CAST(seen - lag(seen) OVER w > 5400 AS INTEGER), 1) AS new FROM sightings WINDOW w AS (PARTITION BY GlobalJobId ORDER BY seen, event_id)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY GlobalJobId ORDER BY seen, event_id) AS island FROM n)
-SELECT GlobalJobId, min(seen) AS first_seen, max(seen) AS last_seen, count(*) AS sightings FROM i GROUP BY GlobalJobId, island HAVING max(seen) < 1706000000"""
+SELECT GlobalJobId, min(seen) AS first_seen, max(seen) AS last_seen, count(*) AS sightings FROM i GROUP BY GlobalJobId, island"""
 _NOW = x.SIGHTINGS_SQL.replace("FROM events)", "FROM events WHERE CAST(floor(epoch(ts)) AS BIGINT) <= 1706000000)")
 _POLL = f"""WITH {_NOW}, n AS (SELECT *, coalesce(CAST(seen - lag(seen) OVER w > 5400 AS INTEGER), 1) AS new FROM sightings WINDOW w AS (PARTITION BY GlobalJobId ORDER BY seen, Owner, RequestGPUs, Project)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY GlobalJobId ORDER BY seen, Owner, RequestGPUs, Project ROWS UNBOUNDED PRECEDING) AS island, row_number() OVER (PARTITION BY GlobalJobId ORDER BY seen, Owner, RequestGPUs, Project) AS rn FROM n),
@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "s9_s10_csv_round_trip": f"WITH {x.JOBS_SQL} SELECT StartdName, 'UNKNOWN' AS ProjectName, count(*) AS jobs, sum(RequestGpus) AS gpus FROM jobs WHERE RequestGpus > 0 AND RecordTime >= 1705000000 AND RecordTime < 1706000000 GROUP BY 1",
     "s11_log_files": f"WITH {x.LOGS_SQL} SELECT count(*) AS starts FROM st",
     "p1_poll_upsert": _POLL,
-    "x2_x3_stream_buckets": f"WITH {x.RAW_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY timestamp, AssignedGPUs ORDER BY {x.RANK_SQL.format(prev='prev_idle')} DESC, {x.TIES_SQL}) AS rn FROM raw WHERE AssignedGPUs IS NOT NULL) SELECT bucket, State, count(*) AS rows FROM d WHERE rn = 1 AND bucket < TIMESTAMP '2024-01-08' GROUP BY ALL",
-    "x4_stream_devices": f"WITH {x.RAW_SQL} SELECT bucket, count(DISTINCT AssignedGPUs) AS total, count(DISTINCT AssignedGPUs) FILTER (State = 'Claimed') AS claimed FROM raw WHERE AssignedGPUs IS NOT NULL AND bucket < TIMESTAMP '2024-01-08' GROUP BY bucket",
+    "x2_x3_stream_buckets": f"WITH {x.RAW_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY timestamp, AssignedGPUs ORDER BY {x.RANK_SQL.format(prev='prev_idle')} DESC, {x.TIES_SQL}) AS rn FROM raw WHERE AssignedGPUs IS NOT NULL) SELECT bucket, State, count(*) AS rows FROM d WHERE rn = 1 GROUP BY ALL",
+    "x4_stream_devices": f"WITH {x.RAW_SQL} SELECT bucket, count(DISTINCT AssignedGPUs) AS total, count(DISTINCT AssignedGPUs) FILTER (State = 'Claimed') AS claimed FROM raw WHERE AssignedGPUs IS NOT NULL GROUP BY bucket",
     "x5_stream_sessions": _SESSIONS,
 }

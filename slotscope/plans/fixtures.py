@@ -150,7 +150,7 @@ def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOGS_SQL = f"""lg AS (SELECT o_orderkey AS c, o_custkey AS u, CAST(1704067200 + 1800 * date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 1800 AS BIGINT) AS t0,
   lower(to_hex(o_custkey % 100 + 4096)) AS g, CASE o_custkey % 5 {" ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(DEVICES))} END AS dev,
-  CASE WHEN o_orderkey % 70 = 0 THEN 'job' || o_orderkey || '.log' WHEN o_orderkey % 30 = 0 THEN o_orderkey || '_0.log' ELSE (1 + o_orderkey % 3) || '_' || ((o_orderkey % 4) * 10) || '_' || (70 + (o_orderkey % 3) * 10) || '_' || o_orderkey || '_0.log' END AS log FROM orders WHERE o_orderkey % 10 = 0),
+  CASE WHEN o_orderkey % 70 = 0 THEN 'job' || o_orderkey || '.log' WHEN o_orderkey % 30 = 0 THEN o_orderkey || '_0.log' ELSE (1 + o_orderkey % 3) || '_' || ((o_orderkey % 4) * 10) || '_' || (70 + (o_orderkey % 3) * 10) || '_' || o_orderkey || '_0.log' END AS log FROM orders),
 st AS (SELECT log, make_timestamp((t0 + 60) * 1000000) AS at, 'host' || (u % 25) || '.pool' AS host, 'slot1_' || (1 + c % 4) || '@host' || (u % 25) || '.pool' AS slot, g AS gpu, dev AS device FROM lg
   UNION ALL SELECT log, make_timestamp((t0 + 180 + (c % 7 + 1) * 600) * 1000000), 'host' || ((u + 1) % 25) || '.pool', 'Unknown', 'Unknown', 'Unknown' FROM lg WHERE u % 3 = 0),
 ru AS (SELECT log, make_timestamp((t0 + 60 + (c % 7 + 1) * 600) * 1000000) AS at, CAST(1 AS BIGINT) AS code, 'host' || (u % 25) || '.pool' AS host, 'slot1_' || (1 + c % 4) || '@host' || (u % 25) || '.pool' AS slot, g AS gpu, dev AS device, CAST((c % 7 + 1) * 600 AS BIGINT) AS runtime FROM lg WHERE u % 3 = 0

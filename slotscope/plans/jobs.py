@@ -141,7 +141,7 @@ ORACLE_SQL = {
     "j15_waits_by_day": f"{_J} SELECT date_trunc('day', make_timestamp(JobStartDate * 1000000))::TIMESTAMP AS day, Prioritized, round(quantile_cont({_H}, 0.25), 6) AS q1, round(quantile_cont({_H}, 0.5), 6) AS median, round(quantile_cont({_H}, 0.75), 6) AS q3, round(avg({_H}), 6) AS mean, count(*) AS jobs FROM jobs GROUP BY 1, 2",
     "j16_host_hours": f"{_J} SELECT make_timestamp(h * 1000000) AS hour, sum(RequestGpus) AS gpus FROM (SELECT unnest(range((SELECT min(JobStartDate) // 3600 * 3600 FROM jobs), (SELECT max(CompletionDate) FROM jobs) + 1, 3600)) AS h), jobs WHERE StartdName = '{HOST}' AND JobStartDate <= h AND CompletionDate >= h GROUP BY 1",
     "j17_job_spans": f"{_J} SELECT AssignedGPUs AS gpu, make_timestamp(JobStartDate * 1000000) AS \"start\", round((CompletionDate - JobStartDate) / 3600, 6) AS hours FROM jobs WHERE StartdName = '{HOST}'",
-    "j18_idle_gaps": _GAPS.replace(f"WHERE StartdName = '{HOST}'", f"WHERE StartdName = '{HOST}' AND ClusterId % 40 = 0") + ' SELECT "start", "end", round(hours, 6) AS hours FROM gp',
+    "j18_idle_gaps": _GAPS + ' SELECT "start", "end", round(hours, 6) AS hours FROM gp',
     "j18_gap_summary": _GAPS.replace("/ 3600 > 1)", "/ 3600 > 0)") + f" SELECT count(*) AS gaps, round(sum(hours), 6) AS total, round(avg(hours), 6) AS mean, round(min(hours), 6) AS least, round(max(hours), 6) AS most, (SELECT round((max(CompletionDate) - min(JobStartDate)) / 3600, 6) FROM jobs WHERE StartdName = '{HOST}') AS range_hours, round(sum(hours) / (SELECT (max(CompletionDate) - min(JobStartDate)) / 3600 FROM jobs WHERE StartdName = '{HOST}') * 100, 6) AS idle_percent FROM gp",
     "j19_machine_months": f"{_J} SELECT strftime(make_timestamp(JobStartDate * 1000000), '%Y-%m') AS month, count(*) AS jobs, round(sum(CompletionDate - JobStartDate) / 3600, 6) AS hours, round(sum(CompletionDate - JobStartDate) / 3600 / 720 * 100, 6) AS utilization FROM jobs WHERE StartdName = '{HOST}' GROUP BY 1",
     "j20_host_days": f"{_J}, k AS (SELECT StartdName AS host, CAST(floor(({NOW} - RecordTime) / 86400) + 1 AS BIGINT) AS back, RemoteWallClockTime AS w FROM jobs WHERE RecordTime <= {NOW} AND floor(({NOW} - RecordTime) / 86400) + 1 <= 7 AND contains(lower(StartdName), 'host1')) SELECT h.host, d.days_back, count(k.w) AS jobs, round(coalesce(sum(k.w), 0) / 3600, 6) AS wall_hours FROM (SELECT DISTINCT host FROM k) h CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS BIGINT) AS days_back) d LEFT JOIN k ON k.host = h.host AND k.back = d.days_back GROUP BY ALL",

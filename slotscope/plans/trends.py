@@ -74,7 +74,7 @@ def _type_sql(by: str) -> str:
 
 _EFF = f"""WITH {x.RAW_SQL}, sn AS (SELECT timestamp, count(DISTINCT AssignedGPUs) FILTER (NOT is_bf) - count(DISTINCT AssignedGPUs) FILTER (NOT is_bf AND State = 'Claimed' AND NOT regexp_matches(Name, '^slot\\d+@')) AS unused, count(DISTINCT AssignedGPUs) FILTER (is_bf) AS backfill FROM raw WHERE Machine = 'host5' GROUP BY 1),
 ef AS (SELECT timestamp, unused, backfill, backfill / unused * 100 AS efficiency FROM sn WHERE unused > 0)"""
-_NEVER = f"""WITH {x.SLOTS_SQL}, nc AS (SELECT Machine, AssignedGPUs, arg_max(GPUs_DeviceName, timestamp) AS device, count(*) AS records, count(*) FILTER (State = 'Claimed') AS claimed FROM slots WHERE AssignedGPUs IS NOT NULL AND timestamp >= (SELECT max(timestamp) FROM slots) - INTERVAL 1 HOUR GROUP BY ALL),
+_NEVER = f"""WITH {x.SLOTS_SQL}, nc AS (SELECT Machine, AssignedGPUs, arg_max(GPUs_DeviceName, timestamp) AS device, count(*) AS records, count(*) FILTER (State = 'Claimed') AS claimed FROM slots WHERE AssignedGPUs IS NOT NULL AND timestamp >= (SELECT max(timestamp) FROM slots) - INTERVAL 24 HOUR GROUP BY ALL),
 nt AS (SELECT *, CASE WHEN regexp_matches(device, 'H100|H200|A100-SXM4-80GB|A100 80GB') THEN 'Flagship' ELSE 'Standard' END AS tier FROM nc)"""
 _CONC = f"WITH {x.SLOTS_SQL}, cc AS (SELECT time_bucket(INTERVAL '15 minutes', timestamp) AS bucket, RemoteOwner, count(DISTINCT GlobalJobId) AS jobs, count(*) AS gpu_rows, count(DISTINCT GPUs_DeviceName) AS kinds FROM slots WHERE State = 'Claimed' AND RemoteOwner != '' GROUP BY ALL)"
 _OPEN = f"""WITH {x.RAW_SQL}, {pa.simple_sql('three_tier')}, sn AS (SELECT timestamp, split_part(RemoteOwner, '@', 1) AS user, count(DISTINCT AssignedGPUs) AS n FROM s WHERE State = 'Claimed' AND NOT is_bf AND coalesce(PrioritizedProjects, '') = '' AND RemoteOwner != '' GROUP BY ALL),
