@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotscope.llm.components import connected_components
-from slotscope.llm.durable import durable
+from slotscope.llm.durable import durable, release
 
 WORDS = 5
 #: Link when PERCENT_OF * overlap >= PERCENT * union.
@@ -42,7 +42,8 @@ SHORT, FAN_OUT, BLOCK = 32, 16, 2000
 PARITIES = 4096
 #: Up to so many identifiers (8 bytes each) are broadcast to fetch texts; beyond, the texts are shuffled.
 MOST_BROADCAST = 200_000
-REMEMBERED = 200_000
+#: Words that one Python task remembers the hashes of.
+REMEMBERED = 100_000
 #: Texts that a Python worker holds the sets of at once.
 AT_ONCE = 500
 #: Partners of one document that a task tries.
@@ -65,6 +66,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_words) > REMEMBERED:
         _words.clear()
+        release()
     get, digest = _words.get, xxhash.xxh3_64_intdigest
     codes = []
     for w in words:
@@ -184,6 +186,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
             found = [shingles(t).view(np.int64) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["s"])
         _words.clear()
+        release()
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(one_in)) == 0).select("text")
     counted = sample.mapInArrow(sets, "s bigint").groupBy("s").count().where(F.col("count") >= FREQUENT)
@@ -224,6 +227,7 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(short, pa.binary()), pa.array(odd, pa.binary()), lists], ["doc_id", "n", "digest", "vector", "short", "odd", "prefix"])
         _words.clear()
+        release()
 
     return docs.mapInArrow(sets, "doc_id bigint, n bigint, digest binary, vector binary, short binary, odd binary, prefix array<bigint>")
 
@@ -254,6 +258,9 @@ def _approved(pairs: DataFrame, held: DataFrame, approve: Callable[[Any, Any], b
                 elif any(approve(x, load) for x in own):
                     keep.append((a, b))
             yield _columns({"a": [k[0] for k in keep], "b": [k[1] for k in keep]})
+        _words.clear()
+        _sets.held.clear()
+        release()
 
     return met.mapInArrow(stream, "a bigint, b bigint").distinct()
 
@@ -399,6 +406,7 @@ def _searched(rows: DataFrame, most: int) -> DataFrame:
             held = t.slice(first)
         if held is not None:
             yield from _joined(pairs(held.combine_chunks()))
+        release()
 
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "doc")
     return placed.mapInArrow(search, "token bigint, i bigint, j bigint, doc bigint, mate bigint, share double, place bigint")

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotscope.llm.durable import durable
+from slotscope.llm.durable import durable, release
 
 END = 1
 #: Pieces dealt to one group on average.
 GROUP = 4096
 #: Words that one Python worker remembers the tokens of.
 REMEMBERED = 400_000
+#: Words that it remembers from one task to the next.
+KEPT = 50_000
 #: Stands between words while they are learned; texts that hold it go through the tokenizer whole.
 _MARK = "\x01"
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -76,6 +78,7 @@ class WordTokenizer:
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int64)
+        self.asleep = b""
 
     def _count(self, codes: list[np.ndarray | None]) -> None:
         """Adds up how often each word was met."""
@@ -83,9 +86,9 @@ class WordTokenizer:
         met[: len(self.uses)] += self.uses
         self.uses = met
 
-    def _forget(self) -> None:
-        """Keeps the half of the memory that was used most since it last forgot, of words met twice or more."""
-        often = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+    def forget(self, most: int) -> None:
+        """Keeps the ``most`` words that were used most since it last forgot, of those met twice or more."""
+        often = np.argsort(-self.uses, kind="stable")[:most]
         keep = np.sort(often[self.uses[often] > 1])
         words = list(self.code)
         self.code = _Codes()
@@ -111,6 +114,16 @@ class WordTokenizer:
             sizes.append(np.diff(np.r_[-1, cut]) - 1)
         return np.concatenate(parts), np.concatenate(sizes)
 
+    def rest(self) -> None:
+        """Between tasks: what is kept lies in one string, so that the memory of all others is free for other stages."""
+        self.forget(KEPT)
+        self.asleep, self.code = b" ".join(self.code), _Codes()
+
+    def _wake(self) -> None:
+        if self.asleep:
+            self.code.update({w: n for n, w in enumerate(self.asleep.split())})
+            self.asleep = b""
+
     def _learn(self) -> None:
         """Ids of all fresh words, in the order of their numbers."""
         code = self.code
@@ -152,8 +165,9 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without any special tokens added."""
+        self._wake()
         if len(self.code) > REMEMBERED:
-            self._forget()
+            self.forget(REMEMBERED // 2)
         number = self.code.__getitem__
         coded: list[np.ndarray | None] = []
         for t in texts:
@@ -193,8 +207,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, tokens: int = 4096, doc_id: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows: list[tuple] = []
                 kept = []
                 for i, ids in zip(part.column(0).to_pylist(), t.encode(part.column(1).to_pylist()), strict=True):
@@ -211,6 +225,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, tokens: int = 4096, doc_id: str =
                     arrays.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        t.rest()
+        release()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(cut, schema)

@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotscope.llm.durable import release
+
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
+#: Texts that a Python worker holds at once.
+AT_ONCE = 500
 
 
 class Text:
@@ -165,7 +169,7 @@ def quality_cascade(
     cascade = order_rules(rules, measure_rules(docs, rules, text, doc_id, one_in))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")}
             for x in batch.column(1).to_pylist():
                 t = Text(x)
@@ -186,8 +190,9 @@ def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules
     at = docs.columns.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             good = [not any(r.rejects(t) for r in cascade) for t in map(Text, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
+        release()
 
     return docs.mapInArrow(judge, docs.schema)
