@@ -38,7 +38,7 @@ def test_short_vectors_of_long_texts_count_all_shingles(spark):
     assert np.frombuffer(row["short"], f"<u{len(row['short']) // ngram_join.SHORT}").sum(dtype=np.int64) == row["n"]
 
 
-N_COPIES = 5000
+N_COPIES = 800
 
 
 def edited(base: list[str], r: np.random.Generator, n: int) -> str:
@@ -54,6 +54,7 @@ def test_a_large_group_of_near_copies_stays_linear(spark, monkeypatch):
     base = prose(1, 220).split()
     rows = [(N_COPIES // 2, " ".join(base))] + [(i if i < N_COPIES // 2 else i + 1, edited(base, r, 4)) for i in range(N_COPIES)]
     rows += [(90_000 + i, prose(10 + i, 80) + " " + " ".join(base[:60]) + " " + prose(5000 + i, 80)) for i in range(100)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 150)
     seen, search = [], ngram_join._searched
 
     def watched(rows, most):
