@@ -185,8 +185,12 @@ def quality_cascade(
 
 
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: Sequence[Rule] = RULES, base: Rule = BASE, one_in: int = 100) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with all their columns, in one pass."""
-    cascade = [base, *order_rules(rules, measure_rules(docs, rules, text, doc_id, one_in))]
+    """The rows of ``docs`` that no rule rejects, with all their columns, in one pass.
+
+    The base rule is measured and ordered as all others. Null and empty texts have no words, so
+    they go; long texts are judged whole; repeated rows stay or go alike; an empty table stays empty.
+    """
+    cascade = order_rules([base, *rules], measure_rules(docs, [base, *rules], text, doc_id, one_in))
     at = docs.columns.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
