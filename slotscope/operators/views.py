@@ -94,9 +94,10 @@ def nearest_snapshot(slots: DataFrame, model: str, at: dt.datetime, minutes: int
 
 
 def snapshot_summary(snapshot: DataFrame) -> DataFrame:
-    """One row: devices, active ones (claimed with an owner), idle, utilisation, mean use in percent, machines."""
-    active = (F.col("State") == "Claimed") & (F.col("RemoteOwner").isNotNull()) & (F.col("RemoteOwner") != "")
-    out = snapshot.agg(F.count_distinct("AssignedGPUs").alias("total"), F.count_distinct(F.when(active, F.col("AssignedGPUs"))).alias("active"), (F.avg("GPUsAverageUsage") * 100).alias("mean_use"), F.count_distinct("Machine").alias("machines"))
+    """One row: devices, active ones (claimed with an owner), idle, utilisation, mean use of claimed rows in percent (0 without any), machines."""
+    claimed = F.col("State") == "Claimed"
+    active = claimed & F.col("RemoteOwner").isNotNull()
+    out = snapshot.agg(F.count_distinct("AssignedGPUs").alias("total"), F.count_distinct(F.when(active, F.col("AssignedGPUs"))).alias("active"), F.coalesce(F.avg(F.when(claimed, F.col("GPUsAverageUsage"))) * 100, F.lit(0.0)).alias("mean_use"), F.count_distinct("Machine").alias("machines"))
     return out.select("total", "active", (F.col("total") - F.col("active")).alias("idle"), F.when(F.col("total") > 0, F.col("active") / F.col("total") * 100).otherwise(0.0).alias("utilization"), "mean_use", "machines")
 
 
@@ -108,10 +109,18 @@ def snapshot_classes(snapshot: DataFrame) -> DataFrame:
 
 
 def inactive_devices(snapshot: DataFrame) -> DataFrame:
-    """Devices of a snapshot that no active row holds."""
-    active = snapshot.where("State = 'Claimed' and RemoteOwner != ''").select("AssignedGPUs")
-    idle = snapshot.where("AssignedGPUs is not null").join(active, "AssignedGPUs", "left_anti")
-    return idle.groupBy("AssignedGPUs").agg(F.min("Machine").alias("machine"), F.max("State").alias("state"))
+    """Unclaimed devices of a snapshot that no active row holds, with a machine and the projects given priority there."""
+    active = snapshot.where("State = 'Claimed' and RemoteOwner is not null").select("AssignedGPUs")
+    idle = snapshot.where("State = 'Unclaimed' and AssignedGPUs is not null").join(active, "AssignedGPUs", "left_anti")
+    first = idle.groupBy("AssignedGPUs").agg(F.min(F.struct("Machine", "PrioritizedProjects")).alias("first"))
+    return first.select("AssignedGPUs", F.col("first.Machine").alias("machine"), F.col("first.PrioritizedProjects").alias("projects"))
+
+
+def active_jobs(snapshot: DataFrame) -> DataFrame:
+    """One job of each active device of a snapshot: device, owner, job, machine; of several the smallest job identifier."""
+    active = snapshot.where("State = 'Claimed' and RemoteOwner is not null and AssignedGPUs is not null")
+    first = active.groupBy("AssignedGPUs").agg(F.min(F.struct("GlobalJobId", "RemoteOwner", "Machine")).alias("first"))
+    return first.select("AssignedGPUs", F.col("first.RemoteOwner").alias("owner"), F.col("first.GlobalJobId").alias("job"), F.col("first.Machine").alias("machine"))
 
 
 def host_users(slots: DataFrame, host: str, slot_kind: str = "All") -> DataFrame:

@@ -27,7 +27,7 @@ def _near(s, p):
 _AROUND = "timestamp BETWEEN TIMESTAMP '2024-01-04 09:02:30' AND TIMESTAMP '2024-01-04 11:02:30'"
 _NEAR = f"""WITH {x.SLOTS_SQL}, a AS (SELECT * FROM slots WHERE {_AROUND} AND GPUs_DeviceName = 'NVIDIA H200'),
 n AS (SELECT * FROM a WHERE timestamp = (SELECT timestamp FROM a ORDER BY abs(epoch_us(timestamp) - epoch_us(TIMESTAMP '2024-01-04 10:02:30')), timestamp DESC LIMIT 1))"""
-_ACTIVE = "State = 'Claimed' AND RemoteOwner IS NOT NULL AND RemoteOwner != ''"
+_ACTIVE = "State = 'Claimed' AND RemoteOwner IS NOT NULL"
 _HEAT = f"""WITH {x.DEDUP_SQL}, w AS (SELECT *, CASE WHEN State = 'Claimed' AND is_bf THEN 4 WHEN State = 'Claimed' AND prio THEN 2 WHEN State = 'Claimed' THEN 3 WHEN State = 'Unclaimed' AND is_bf THEN 6 WHEN State = 'Unclaimed' AND prio THEN 0 WHEN State = 'Unclaimed' THEN 1 ELSE 5 END AS code
   FROM (SELECT *, row_number() OVER (PARTITION BY bucket, AssignedGPUs ORDER BY {x.RANK_SQL.format(prev="(pj_set AND State != 'Claimed')")} DESC, {x.TIES_SQL}) AS rn FROM dedup) WHERE rn = 1),
 g AS (SELECT Machine, AssignedGPUs, coalesce(min(GPUs_DeviceName), 'Unknown') AS device FROM w GROUP BY ALL),
@@ -50,6 +50,7 @@ QUERIES = {
     "v9_nearest_snapshot": lambda s, p: rounded(v.snapshot_summary(_near(s, p))),
     "v9_snapshot_classes": lambda s, p: v.snapshot_classes(_near(s, p)),
     "v9_inactive_devices": lambda s, p: v.inactive_devices(_near(s, p)),
+    "v9_active_jobs": lambda s, p: v.active_jobs(_near(s, p)),
     "v10_host_users": lambda s, p: v.host_users(x.slots(s, p), "host5", "Primary"),
     "v11_open_backfill_machines": lambda s, p: v.open_backfill_machines(c.open_backfill(frames(s, p))),
     "v11_open_backfill_users": lambda s, p: rounded(v.open_backfill_users(c.open_backfill(frames(s, p)))),
@@ -72,9 +73,10 @@ ORACLE_SQL = {
     "v6_prioritised_hosts": f"WITH {x.SLOTS_SQL} SELECT DISTINCT Machine FROM slots WHERE PrioritizedProjects != ''",
     "v7_models_at": f"WITH {x.SLOTS_SQL} SELECT DISTINCT GPUs_DeviceName FROM slots WHERE timestamp BETWEEN TIMESTAMP '2024-01-04 09:42:30' AND TIMESTAMP '2024-01-04 10:22:30' AND GPUs_DeviceName IS NOT NULL",
     "v8_model_activity": f"WITH {x.SLOTS_SQL} SELECT timestamp, Machine, AssignedGPUs, Name, State FROM slots WHERE {_AROUND} AND GPUs_DeviceName = 'NVIDIA H200'",
-    "v9_nearest_snapshot": f"{_NEAR} SELECT t AS total, a AS active, t - a AS idle, round(CASE WHEN t > 0 THEN a / t * 100 ELSE 0 END, 6) AS utilization, mean_use, machines FROM (SELECT count(DISTINCT AssignedGPUs) AS t, count(DISTINCT AssignedGPUs) FILTER ({_ACTIVE}) AS a, round(avg(GPUsAverageUsage) * 100, 6) AS mean_use, count(DISTINCT Machine) AS machines FROM n)",
+    "v9_nearest_snapshot": f"{_NEAR} SELECT t AS total, a AS active, t - a AS idle, round(CASE WHEN t > 0 THEN a / t * 100 ELSE 0 END, 6) AS utilization, mean_use, machines FROM (SELECT count(DISTINCT AssignedGPUs) AS t, count(DISTINCT AssignedGPUs) FILTER ({_ACTIVE}) AS a, round(coalesce(avg(GPUsAverageUsage) FILTER (State = 'Claimed') * 100, 0), 6) AS mean_use, count(DISTINCT Machine) AS machines FROM n)",
     "v9_snapshot_classes": f"{_NEAR} SELECT CASE WHEN contains(Name, 'backfill') THEN 'Backfill' WHEN coalesce(PrioritizedProjects != '', true) THEN 'Priority' ELSE 'Shared' END AS class, count(DISTINCT AssignedGPUs) AS total, count(DISTINCT AssignedGPUs) FILTER (State = 'Claimed') AS claimed FROM n GROUP BY 1",
-    "v9_inactive_devices": f"{_NEAR} SELECT AssignedGPUs, min(Machine) AS machine, max(State) AS state FROM n WHERE AssignedGPUs IS NOT NULL AND AssignedGPUs NOT IN (SELECT AssignedGPUs FROM n WHERE {_ACTIVE} AND AssignedGPUs IS NOT NULL) GROUP BY 1",
+    "v9_inactive_devices": f"{_NEAR}, k AS (SELECT AssignedGPUs, Machine, PrioritizedProjects, row_number() OVER (PARTITION BY AssignedGPUs ORDER BY Machine NULLS FIRST, PrioritizedProjects NULLS FIRST) AS rn FROM n WHERE State = 'Unclaimed' AND AssignedGPUs IS NOT NULL AND AssignedGPUs NOT IN (SELECT AssignedGPUs FROM n WHERE {_ACTIVE} AND AssignedGPUs IS NOT NULL)) SELECT AssignedGPUs, Machine AS machine, PrioritizedProjects AS projects FROM k WHERE rn = 1",
+    "v9_active_jobs": f"{_NEAR}, k AS (SELECT AssignedGPUs, RemoteOwner, GlobalJobId, Machine, row_number() OVER (PARTITION BY AssignedGPUs ORDER BY GlobalJobId NULLS FIRST, RemoteOwner NULLS FIRST, Machine NULLS FIRST) AS rn FROM n WHERE {_ACTIVE} AND AssignedGPUs IS NOT NULL) SELECT AssignedGPUs, RemoteOwner AS owner, GlobalJobId AS job, Machine AS machine FROM k WHERE rn = 1",
     "v10_host_users": f"WITH {x.SLOTS_SQL} SELECT DISTINCT RemoteOwner FROM slots WHERE Machine = 'host5' AND NOT contains(Name, 'backfill') AND coalesce(PrioritizedProjects != '', true) AND RemoteOwner != ''",
     "v11_open_backfill_machines": f"""WITH {x.DEDUP_SQL}, o AS (SELECT * FROM raw_bf WHERE NOT owned AND Machine NOT IN ({x.scope_sql()})),
       m AS (SELECT Machine, GPUs_DeviceName, row_number() OVER (PARTITION BY Machine ORDER BY count(*) DESC, GPUs_DeviceName) AS rn FROM o WHERE GPUs_DeviceName IS NOT NULL GROUP BY Machine, GPUs_DeviceName)

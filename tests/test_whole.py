@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from slotscope.operators import views
 from slotscope.plans import fixtures as x
 from slotscope.plans import jobs as plans
 
@@ -48,3 +49,18 @@ def test_devices_never_claimed_in_a_day(spark, duck):  # noqa: F811
 @pytest.mark.parametrize("name", ["j18_idle_gaps", "x2_x3_stream_buckets", "x4_stream_devices", "x5_stream_sessions"])
 def test_to_the_end(spark, duck, name):  # noqa: F811
     same(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["v9_nearest_snapshot", "v9_inactive_devices", "v9_active_jobs"])
+def test_snapshot(spark, duck, name):  # noqa: F811
+    same(spark, duck, name)
+
+
+def test_snapshot_by_hand(spark):
+    """Drained devices are not inactive, use on unclaimed rows doesn't count, an empty owner is an owner."""
+    rows = [("g1", "Claimed", "u", "1.0", 0.5), ("g1", "Unclaimed", None, None, 0.9), ("g2", "Unclaimed", None, None, 0.7), ("g3", "Drained", None, None, None), ("g4", "Claimed", "", "2.0", None), ("g5", "Claimed", None, None, 0.3)]
+    shot = spark.createDataFrame([(*r, "m", "") for r in rows], "AssignedGPUs string, State string, RemoteOwner string, GlobalJobId string, GPUsAverageUsage double, Machine string, PrioritizedProjects string")
+    one = views.snapshot_summary(shot).first()
+    assert (one["total"], one["active"], one["idle"], round(one["mean_use"], 6)) == (5, 2, 3, 40.0)
+    assert [r["AssignedGPUs"] for r in views.inactive_devices(shot).collect()] == ["g2"]
+    assert sorted((r["AssignedGPUs"], r["job"]) for r in views.active_jobs(shot).collect()) == [("g1", "1.0"), ("g4", "2.0")]
