@@ -48,6 +48,8 @@ REMEMBERED = 100_000
 AT_ONCE = 500
 #: Partners of one document that a task tries.
 PARTNERS = 2000
+#: A row names one mate in the first round of the search, and so many times more in each later one.
+MORE = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 _words: dict[bytes, int] = {}
@@ -233,7 +235,7 @@ def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
 
 
 def _approved(pairs: DataFrame, held: DataFrame, approve: Callable[[Any, Any], bool]) -> DataFrame:
-    """The pairs (a, b) whose ``load``s in ``held`` (doc, load) ``approve`` accepts.
+    """Those of the distinct pairs (a, b) whose ``load``s in ``held`` (doc, load) ``approve`` accepts.
 
     A task holds one ``a`` and streams its partners past it. The partners of an ``a`` with many are
     dealt into parts of about PARTNERS, so that no hot document makes a task larger than that. Where
@@ -247,7 +249,7 @@ def _approved(pairs: DataFrame, held: DataFrame, approve: Callable[[Any, Any], b
     met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
+        at, own, last = None, [], None  # rows come in order, so a pair with several loads comes at one go
         for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             keep: list[tuple[int, int]] = []
             for a, part, b, load in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -255,14 +257,15 @@ def _approved(pairs: DataFrame, held: DataFrame, approve: Callable[[Any, Any], b
                     at, own = (a, part), []
                 if b is None:
                     own.append(load)
-                elif any(approve(x, load) for x in own):
-                    keep.append((a, b))
+                elif last != (a, b) and any(approve(x, load) for x in own):
+                    last = (a, b)
+                    keep.append(last)
             yield _columns({"a": [k[0] for k in keep], "b": [k[1] for k in keep]})
         _words.clear()
         _sets.held.clear()
         release()
 
-    return met.mapInArrow(stream, "a bigint, b bigint").distinct()
+    return met.mapInArrow(stream, "a bigint, b bigint")
 
 
 def _columns(cols: dict[str, list], kinds: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:
@@ -422,7 +425,7 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     """(node, component) of the documents that links reach, from the buckets ``shared`` (token, doc, hub, size).
 
     The trees are searched in rounds: each row names its likeliest mates of other components, 1 in
-    the first round and eight times as many in each later one; what is verified unites components,
+    the first round and MORE times as many in each later one; what is verified unites components,
     and only blocks whose rows have more mates to name go on. So a round puts out in proportion to
     its rows, a group of near copies is one component after a few rounds, and no pair of different
     components is left out.
@@ -431,6 +434,8 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     tried = durable(shared.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     links = _verified(tried, rows, vectors)
     parts = connected_components(links)
+    # with what was found since: a component is its members' links to its smallest
+    united = lambda found: connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     named = lambda df: df.join(parts, df["doc"] == parts["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
     # a bucket of two has had its only pair tried
     wide = shared.where("size > 2").select("token", "doc")
@@ -442,8 +447,7 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     again = durable(again.join(tried, ["a", "b"], "left_anti"))
     tried = tried.unionByName(again)
     if not (more := _verified(again, rows, vectors)).isEmpty():
-        links = links.unionByName(more)
-        parts = connected_components(links)
+        parts = united(more)
     buckets = named(wide)
     met = blocks(buckets).withColumns({"share": F.lit(2.0), "place": F.lit(-1).cast("bigint")})
     most = 1
@@ -454,8 +458,7 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
         fresh = durable(pairs.join(tried, ["a", "b"], "left_anti"))
         more = _verified(fresh, rows, vectors)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = connected_components(links)
+            parts = united(more)
         going = found.where("share is not null").groupBy("token", "i", "j", "doc").agg(F.max(F.struct("share", (-F.col("place")).alias("back"))).alias("at"))
         going = durable(going.select("token", "i", "j", "doc", "at.share", (-F.col("at.back")).alias("place")))
         if going.isEmpty():
@@ -465,7 +468,7 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
         met = met.join(going.select("token", "i", "j").distinct(), ["token", "i", "j"], "left_semi").join(going, ["token", "i", "j", "doc"], "left")
         # a row that has named all its mates only waits to be named by others
         met = durable(met.withColumns({"share": F.coalesce("share", F.lit(-1.0)), "place": F.coalesce("place", F.lit(-1).cast("bigint"))}))
-        most *= 8
+        most *= MORE
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
