@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotscope.functions import derive as d
 from slotscope.operators import classify as c
+from slotscope.sources import snapshots
 
 THREE_CLASSES = ("Priority", "Shared", "Backfill")
 
@@ -193,10 +195,17 @@ def backfill_day_summary(daily: DataFrame) -> DataFrame:
 
 
 def monthly_summary(slots: DataFrame, owned: Sequence[str], excluded: Sequence[str]) -> DataFrame:
-    """Allocation by class and device over the calendar month before the latest row, both ends included."""
-    end = slots.agg(F.max("timestamp").alias("end")).select(d.truncated(F.col("end"), "month").alias("hi"))
-    bounds = end.select("hi", F.add_months("hi", -1).cast("timestamp_ntz").alias("lo"))
-    rows = slots.join(F.broadcast(bounds), F.col("timestamp").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """Allocation by class and device over the calendar month before the latest row, both ends included. Empty in, empty out.
+
+    The latest time is fetched first: the bounds are literals, which reach the scan.
+    """
+    latest = snapshots.latest(slots).first()["latest"]
+    if latest is None:
+        rows = slots.limit(0)
+    else:
+        hi = latest.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+        lo = (hi - dt.timedelta(days=1)).replace(day=1)
+        rows = slots.where(F.col("timestamp").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
     return by_device(c.prepare(rows, owned, excluded))
 
 

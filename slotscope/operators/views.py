@@ -30,12 +30,10 @@ def category_counts(raw: DataFrame) -> DataFrame:
     claimed = F.col("State") == "Claimed"
     gpu, bf = F.col("AssignedGPUs"), F.col("is_bf")
     kinds = {"prioritized": ~bf & F.col("prio") & gpu.isNotNull(), "open_capacity": ~bf & ~F.col("prio") & gpu.isNotNull(), "backfill": bf}
-    # a null device counts as one more value where it isn't filtered
-    out = []
-    for k, member in kinds.items():
-        for label, cond in (("total", member), ("claimed", member & claimed)):
-            out.append((F.count_distinct(F.when(cond, gpu)) + F.coalesce(F.max(F.when(cond & gpu.isNull(), 1)), F.lit(0))).alias(f"{k}_{label}"))
-    return rows.groupBy("bucket").agg(*out)
+    # one row for each device of a bucket first, so that no distinct count is expanded; a null device is one as well where it isn't filtered
+    conditions = {f"{k}_{label}": cond for k, member in kinds.items() for label, cond in (("total", member), ("claimed", member & claimed))}
+    per = rows.groupBy("bucket", gpu).agg(*(F.bool_or(cond).alias(k) for k, cond in conditions.items()))
+    return per.groupBy("bucket").agg(*(F.count_if(k).alias(k) for k in conditions))
 
 
 def open_users(slots: DataFrame, owned: Sequence[str], excluded: Sequence[str], minutes: int = 15, top_n: int = 6) -> DataFrame:

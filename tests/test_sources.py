@@ -54,6 +54,18 @@ def test_tolerant_load_names_bad_files(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in warnings.collect()] == ["bad.parquet"]
 
 
+def test_tolerant_load_tells_namesakes_apart(spark, tmp_path):
+    folder, other = tmp_path / "good files", tmp_path / "other"
+    rows(spark, A).coalesce(1).write.parquet(str(folder))
+    good = next(p for p in folder.iterdir() if p.name.endswith(".parquet"))
+    other.mkdir()
+    bad = other / good.name
+    bad.write_bytes(b"not parquet at all")
+    data, warnings = snapshots.tolerant(spark, [str(good), str(bad)])
+    assert data.count() == 1
+    assert [r["path"].split(":")[-1].replace("///", "/") for r in warnings.collect()] == [str(bad)]
+
+
 def test_ingest_explodes_devices(spark):
     ads = spark.createDataFrame([("slot1_1@m", ["GPUs_GPU_aa"], "GPU-aa, GPU-bb"), ("backfill1@m", ["GPUs_GPU_cc", "GPUs_GPU_dd"], None), ("slot1_2@m", None, None)], "Name string, AvailableGPUs array<string>, AssignedGPUs string")
     got = sorted((r["Name"], r["AssignedGPUs"] or "") for r in snapshots.ingest(ads).collect())
