@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,19 +217,25 @@ def period_efficiency(jobs: DataFrame, available: DataFrame) -> DataFrame:
     return out.select("category", (F.col("jobs") / F.col("all_jobs") * 100).alias("job_share"), (F.col("gpu_hours") / F.col("all_hours") * 100).alias("hour_share"), (F.col("all_hours") / F.col("available_hours") * 100).alias("efficiency"))
 
 
+def _distinct_devices(rows: DataFrame, keys: Sequence[str], conditions: Mapping[str, Column]) -> DataFrame:
+    """By ``keys`` the devices that meet each condition in some row: devices first, so that no distinct count is expanded."""
+    per = rows.groupBy(*keys, "AssignedGPUs").agg(*(F.bool_or(cond).alias(k) for k, cond in conditions.items()))
+    return per.groupBy(*keys).agg(*(F.count_if(F.col(k) & F.col("AssignedGPUs").isNotNull()).alias(k) for k in conditions))
+
+
 def type_summary(slots: DataFrame, by: Sequence[str] = ("GPUs_DeviceName",), include_all: bool = True) -> DataFrame:
     """By device (and machine): averages over its snapshots, allocated percentage, slot-creation efficiency.
 
     Claimed primaries count on dynamic slots only; efficiency looks at snapshots with unused primaries.
     """
-    name, gpu = F.col("Name"), F.col("AssignedGPUs")
+    name = F.col("Name")
     bf = F.coalesce(F.rlike(name, F.lit("(?i)backfill")), F.lit(False))
     dynamic = ~F.coalesce(F.rlike(name, F.lit(r"(?i)^slot\d+@")), F.lit(False))
     claimed = F.col("State") == "Claimed"
     rows = slots.where("GPUs_DeviceName is not null")
     if not include_all:
         rows = rows.where(~d.is_old_device(F.col("GPUs_DeviceName")))
-    snap = rows.groupBy(*by, "timestamp").agg(F.count_distinct(F.when(~bf, gpu)).alias("p"), F.count_distinct(F.when(~bf & dynamic & claimed, gpu)).alias("pc"), F.count_distinct(F.when(bf, gpu)).alias("b"), F.count_distinct(F.when(bf & claimed, gpu)).alias("bc"))
+    snap = _distinct_devices(rows, (*by, "timestamp"), {"p": ~bf, "pc": ~bf & dynamic & claimed, "b": bf, "bc": bf & claimed})
     unused = F.col("p") - F.col("pc")
     out = snap.groupBy(*by).agg(F.avg("p").alias("total_gpus"), F.avg("pc").alias("avg_primary_allocated"), F.avg("bc").alias("avg_backfill_allocated"), F.avg("b").alias("avg_backfill_available"), (F.sum(F.when(unused > 0, F.col("b"))) / F.sum(F.when(unused > 0, unused)) * 100).alias("slot_creation_efficiency"))
     share = F.when(F.col("total_gpus") > 0, (F.col("avg_primary_allocated") + F.col("avg_backfill_allocated")) / F.col("total_gpus") * 100).otherwise(0.0)
@@ -238,9 +244,9 @@ def type_summary(slots: DataFrame, by: Sequence[str] = ("GPUs_DeviceName",), inc
 
 def snapshot_efficiency(slots: DataFrame, machine: str) -> DataFrame:
     """Per snapshot of a machine: unused primaries, backfill slots, and their ratio in percent."""
-    gpu, bf = F.col("AssignedGPUs"), d.is_backfill(F.col("Name"))
+    bf = d.is_backfill(F.col("Name"))
     dynamic = ~d.is_partitionable(F.col("Name"))
-    snap = slots.where(F.col("Machine") == machine).groupBy("timestamp").agg(F.count_distinct(F.when(~bf, gpu)).alias("p"), F.count_distinct(F.when(~bf & dynamic & (F.col("State") == "Claimed"), gpu)).alias("pc"), F.count_distinct(F.when(bf, gpu)).alias("backfill"))
+    snap = _distinct_devices(slots.where(F.col("Machine") == machine), ("timestamp",), {"p": ~bf, "pc": ~bf & dynamic & (F.col("State") == "Claimed"), "backfill": bf})
     rows = snap.withColumn("unused", F.col("p") - F.col("pc")).where("unused > 0")
     return rows.select("timestamp", "unused", "backfill", (F.col("backfill") / F.col("unused") * 100).alias("efficiency"))
 

@@ -14,7 +14,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: One or two of each family; the driver compares all of them at a larger scale.
-CHOSEN = ["s1_window_scan", "d2_dedup_winners", "d8_d9_state_filters", "a2_allocation_by_device", "a5_device_users", "a13_usage_series", "a16_monthly_summary", "v1_heatmap", "v2_category_counts", "w1_category_buckets", "w4_daily_hours", "g2_drain_intervals", "p2_merged_intervals", "p5_pressure", "j3_wait_stats", "l6_evicting_jobs", "t2_cluster_summary", "u2_backfill_only", "x4_stream_devices"]
+CHOSEN = ["s1_window_scan", "d2_dedup_winners", "d8_d9_state_filters", "a2_allocation_by_device", "a5_device_users", "a13_usage_series", "a16_monthly_summary", "v1_heatmap", "v2_category_counts", "w1_category_buckets", "w4_daily_hours", "w12_type_summary", "w13_snapshot_efficiency", "g2_drain_intervals", "p2_merged_intervals", "p5_pressure", "j3_wait_stats", "l6_evicting_jobs", "t2_cluster_summary", "u2_backfill_only", "x4_stream_devices"]
 
 
 @pytest.fixture(scope="module")
