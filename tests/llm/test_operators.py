@@ -169,6 +169,13 @@ def test_components_of_a_chain(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
+def test_components_of_more_links_than_a_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(components, "PER_TASK", 10)
+    given = [(i, i + 1) for i in range(1, 30)] + [(200, i) for i in range(201, 230)] + [(200, 201), (None, 5), (300, None)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(given, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 31)}, **{i: 200 for i in range(200, 230)}}
+
+
 # --- 3 quality rules ---------------------------------------------------------------------------
 
 
