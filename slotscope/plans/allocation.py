@@ -145,6 +145,7 @@ QUERIES = {
     "s2_latest_time": lambda s, p: snapshots.latest(x.slots(s, p)),
     "r1_r18_row_derivations": row_derivations,
     "r5_excluded_rows": lambda s, p: x.slots(s, p).select(d.is_excluded(F.col("Machine"), ("HOST13", "ost2")).alias("excluded")).groupBy("excluded").agg(F.count(F.lit(1)).alias("n")),
+    "r12_class_labels": lambda s, p: c.class_rows(frames(s, p)).groupBy("class", d.class_label(F.col("class")).alias("label")).agg(F.count(F.lit(1)).alias("rows")),
     "r13_host_filters": lambda s, p: x.slots(s, p).where(d.host_matches(F.col("Machine"), "HOST3, ost21")).groupBy("Machine").agg(F.count(F.lit(1)).alias("n")),
     "r14_device_filter": lambda s, p: snapshots.filter_devices(x.slots(s, p), gpu_ids=["GPU-1", "7"], host_pattern="^host[12]", device_pattern="H200|L40S").groupBy("Machine", "AssignedGPUs").agg(F.count(F.lit(1)).alias("n")),
     "d2_dedup_winners": lambda s, p: frames(s, p).dedup.withColumn("rank", F.col("rank").cast("bigint")).select(*_DEDUP_COLS),
@@ -193,6 +194,10 @@ ORACLE_SQL = {
     "s2_latest_time": f"WITH {x.SLOTS_SQL} SELECT max(timestamp) AS latest FROM slots",
     "r1_r18_row_derivations": _ROWS_SQL,
     "r5_excluded_rows": f"WITH {x.SLOTS_SQL} SELECT contains(lower(Machine), 'host13') OR contains(lower(Machine), 'ost2') AS excluded, count(*) AS n FROM slots GROUP BY 1",
+    "r12_class_labels": f"""{_CLS} SELECT class, count(*) AS rows, CASE class WHEN 'Priority' THEN 'Prioritized service' WHEN 'Shared' THEN 'Open Capacity' WHEN 'Backfill' THEN 'Secondary (Backfill)'
+        WHEN 'Priority-ResearcherOwned' THEN 'Researcher-Owned Hardware' WHEN 'Backfill-ResearcherOwned' THEN 'Researcher-Owned Hardware'
+        WHEN 'Priority-PoolOwned' THEN 'Researcher-Reserved Capacity' WHEN 'Backfill-PoolOwned' THEN 'Researcher-Reserved Capacity'
+        WHEN 'Backfill-OpenCapacity' THEN 'Secondary (Backfill) - Open Capacity' ELSE class END AS label FROM cls GROUP BY class""",
     "r13_host_filters": f"WITH {x.SLOTS_SQL} SELECT Machine, count(*) AS n FROM slots WHERE contains(lower(Machine), 'host3') OR contains(lower(Machine), 'ost21') GROUP BY 1",
     "r14_device_filter": f"WITH {x.SLOTS_SQL} SELECT Machine, AssignedGPUs, count(*) AS n FROM slots WHERE (contains(AssignedGPUs, 'GPU-1') OR contains(AssignedGPUs, '7')) AND regexp_matches(Machine, '^host[12]') AND regexp_matches(GPUs_DeviceName, 'H200|L40S') GROUP BY ALL",
     "d2_dedup_winners": f"WITH {x.DEDUP_SQL} SELECT timestamp, AssignedGPUs, Name, State, Machine, RemoteOwner, GlobalJobId, CAST(rank AS BIGINT) AS rank FROM dedup",
