@@ -122,6 +122,12 @@ def prevented_hosts(raw: DataFrame) -> DataFrame:
     return _with_one(hosts, last).select(F.col("Machine").alias("machine"), "gpus", "reasons", "last_seen", (F.col("b") == F.col("latest")).alias("active"))
 
 
+def prevented_totals(raw: DataFrame) -> DataFrame:
+    """Hosts and devices kept from jobs at any time of the window, one row; pairs first, so that few rows are counted."""
+    pairs = raw.where("pj_set").select("Machine", "AssignedGPUs").distinct()
+    return pairs.agg(F.count_distinct("Machine").alias("hosts"), F.count_distinct("AssignedGPUs").alias("gpus"))
+
+
 def prevented_reasons(raw: DataFrame) -> DataFrame:
     return raw.where("pj_set").groupBy(F.col("PreventJobsReason").alias("reason")).agg(F.count_distinct("Machine").alias("hosts"), F.count_distinct("AssignedGPUs").alias("gpus"))
 

@@ -167,6 +167,7 @@ QUERIES = {
     "a6_backfill_users": lambda s, p: rounded(a.backfill_users(frames(s, p), hours_back=24)),
     "a7_idle_machines": lambda s, p: rounded(a.idle_machines(frames(s, p))),
     "a8_prevented_hosts": lambda s, p: a.prevented_hosts(frames(s, p).raw),
+    "a8_prevented_totals": lambda s, p: a.prevented_totals(frames(s, p).raw),
     "a9_prevented_reasons": lambda s, p: a.prevented_reasons(frames(s, p).raw),
     "a10_prevented_average": lambda s, p: rounded(a.prevented_average(frames(s, p))),
     "a11_allocation_three": lambda s, p: rounded(a.allocation(frames(s, p))),
@@ -219,6 +220,7 @@ ORACLE_SQL = {
       count(DISTINCT bucket::VARCHAR || AssignedGPUs) FILTER (is_bf AND State = 'Claimed' AND AssignedGPUs IS NOT NULL) AS bp, coalesce(array_to_string(list_sort(list_distinct(list(PrioritizedProjects) FILTER (trim(coalesce(PrioritizedProjects, '')) != ''))), ','), '') AS projects FROM raw WHERE NOT excluded GROUP BY Machine),
       dev AS (SELECT Machine, GPUs_DeviceName, row_number() OVER (PARTITION BY Machine ORDER BY count(*) DESC, GPUs_DeviceName) AS rn FROM raw WHERE NOT excluded AND GPUs_DeviceName IS NOT NULL GROUP BY Machine, GPUs_DeviceName)
       SELECT m.Machine AS machine, coalesce(dev.GPUs_DeviceName, 'Unknown') AS gpu_model, gpus AS total_gpus, obs AS total_observations, projects AS prioritized_projects, round(CASE WHEN bb > 0 THEN bp / bb ELSE 0 END, 6) AS avg_backfill_claimed FROM m LEFT JOIN dev ON dev.Machine = m.Machine AND rn = 1 WHERE claimed = 0 AND gpus > 0""",
+    "a8_prevented_totals": f"WITH {x.RAW_SQL} SELECT count(DISTINCT Machine) AS hosts, count(DISTINCT AssignedGPUs) AS gpus FROM raw WHERE pj_set",
     "a8_prevented_hosts": f"WITH {x.RAW_SQL} SELECT Machine AS machine, count(DISTINCT AssignedGPUs) AS gpus, array_to_string(list_sort(list_distinct(list(PreventJobsReason))), '; ') AS reasons, max(timestamp) AS last_seen, max(bucket) = (SELECT max(bucket) FROM raw WHERE pj_set) AS active FROM raw WHERE pj_set GROUP BY Machine",
     "a9_prevented_reasons": f"WITH {x.RAW_SQL} SELECT PreventJobsReason AS reason, count(DISTINCT Machine) AS hosts, count(DISTINCT AssignedGPUs) AS gpus FROM raw WHERE pj_set GROUP BY 1",
     "a10_prevented_average": f"{_CLS}, p AS (SELECT DISTINCT class, GPUs_DeviceName AS device, bucket, AssignedGPUs FROM cls WHERE pj_set AND State != 'Claimed' AND AssignedGPUs IS NOT NULL) SELECT class, device, round(count(*) / {_W}, 6) AS avg_prevented FROM p WHERE device IS NOT NULL GROUP BY class, device UNION ALL SELECT class, NULL, round(count(*) / {_W}, 6) FROM (SELECT DISTINCT class, bucket, AssignedGPUs FROM p) GROUP BY class",
