@@ -196,6 +196,13 @@ def backfill_by_day(frames: c.Frames) -> DataFrame:
     return daily.select("class", "day", "avg_claimed", "avg_total", (F.col("avg_claimed") / F.col("avg_total") * 100).alias("utilization_percent"))
 
 
+def backfill_totals(daily: DataFrame) -> DataFrame:
+    """The classes of ``backfill_by_day`` summed by day, as class ``All``; no devices at all make 0 percent."""
+    total = daily.groupBy("day").agg(F.sum("avg_claimed").alias("avg_claimed"), F.sum("avg_total").alias("avg_total"))
+    share = F.when(F.col("avg_total") > 0, F.col("avg_claimed") / F.col("avg_total") * 100).otherwise(0.0)
+    return total.select(F.lit("All").alias("class"), "day", "avg_claimed", "avg_total", share.alias("utilization_percent"))
+
+
 def backfill_day_summary(daily: DataFrame) -> DataFrame:
     return daily.groupBy("class").agg(F.avg("utilization_percent").alias("mean_percent"), F.max("utilization_percent").alias("max_percent"), F.avg("avg_total").alias("mean_total"), F.max("avg_claimed").alias("max_claimed"), F.count(F.lit(1)).alias("days"))
 

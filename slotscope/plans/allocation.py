@@ -175,6 +175,8 @@ QUERIES = {
     "a13_usage_series": lambda s, p: rounded(a.usage_series(frames(s, p))),
     "a14_by_device_three": lambda s, p: rounded(a.by_device_three(frames(s, p))),
     "a15_backfill_by_day": lambda s, p: rounded(a.backfill_by_day(frames(s, p))),
+    "a15_backfill_totals": lambda s, p: rounded(a.backfill_totals(a.backfill_by_day(frames(s, p)))),
+    "a15_backfill_totals_summary": lambda s, p: rounded(a.backfill_day_summary(a.backfill_totals(a.backfill_by_day(frames(s, p))))),
     "a15_backfill_day_summary": lambda s, p: rounded(a.backfill_day_summary(a.backfill_by_day(frames(s, p)))),
     "a16_monthly_summary": lambda s, p: rounded(a.monthly_summary(x.slots(s, p).withColumn("timestamp", F.expr("timestamp + interval 28 days")), x.OWNED, x.EXCLUDED)),
     "a17_category_audit": lambda s, p: a.category_audit(frames(s, p)),
@@ -230,6 +232,9 @@ ORACLE_SQL = {
     "a14_by_device_three": f"""{_CLS}, {filters_sql()}, g AS (SELECT class, GPUs_DeviceName AS device, bucket, AssignedGPUs, bool_or(State = 'Claimed') AS c, bool_or(State = 'Drained') AS d FROM f WHERE class IN ('Priority', 'Shared', 'Backfill') AND s = '' AND AssignedGPUs IS NOT NULL AND GPUs_DeviceName IS NOT NULL GROUP BY ALL),
       p AS (SELECT class, device, bucket, count(*) AS total, count(*) FILTER (c) AS claimed, count(*) FILTER (d) AS drained FROM g GROUP BY ALL) SELECT class, device, {_averages_sql(_W)} FROM p GROUP BY class, device""",
     "a15_backfill_by_day": f"{_DAY} SELECT class, day, round(avg_claimed, 6) AS avg_claimed, round(avg_total, 6) AS avg_total, round(utilization_percent, 6) AS utilization_percent FROM day",
+    "a15_backfill_totals": f"{_DAY} SELECT 'All' AS class, day, round(sum(avg_claimed), 6) AS avg_claimed, round(sum(avg_total), 6) AS avg_total, round(sum(avg_claimed) / sum(avg_total) * 100, 6) AS utilization_percent FROM day GROUP BY day",
+    "a15_backfill_totals_summary": f"""{_DAY}, total AS (SELECT day, sum(avg_claimed) AS c, sum(avg_total) AS t FROM day GROUP BY day)
+        SELECT 'All' AS class, round(avg(c / t * 100), 6) AS mean_percent, round(max(c / t * 100), 6) AS max_percent, round(avg(t), 6) AS mean_total, round(max(c), 6) AS max_claimed, count(*) AS days FROM total""",
     "a15_backfill_day_summary": f"{_DAY} SELECT class, round(avg(utilization_percent), 6) AS mean_percent, round(max(utilization_percent), 6) AS max_percent, round(avg(avg_total), 6) AS mean_total, round(max(avg_claimed), 6) AS max_claimed, count(*) AS days FROM day GROUP BY class",
     "a16_monthly_summary": f"WITH {_SHIFTED}, b AS ({_STATS.format(by='class, GPUs_DeviceName', rows='cls')}) SELECT class, GPUs_DeviceName AS device, {_averages_sql(_W)} FROM b GROUP BY class, GPUs_DeviceName",
     "a17_category_audit": f"{_CLS}, {filters_sql()} SELECT class, s AS state, count(*) AS rows, count(DISTINCT AssignedGPUs) AS gpus FROM f WHERE s != '' AND class IN ('Priority', 'Shared', 'Backfill') GROUP BY ALL",
