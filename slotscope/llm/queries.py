@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotscope.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, url_filters
+from slotscope.llm import collocations, exact_dedup, mixing, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, spelling, suffix_dedup, url_filters
 
 #: Shares of tokens that a mix aims at; sources not named share what "other" has.
 TARGETS = {
@@ -73,6 +73,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +124,22 @@ FROM b""",
     "op8_exact_dedup": r"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i+m-1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m >= 2 AND f >= 100),
+e AS (SELECT lang, array_to_string(ws[s:s+k-1], ' ') AS phrase, max(a) AS ext
+      FROM (SELECT lang, a, ws, m, k, unnest(range(1, m - k + 2)) AS s FROM c, (SELECT unnest([2, 3, 4]) AS k) WHERE k < m) GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN e USING (lang, phrase) WHERE e.ext IS NULL OR 100 * e.ext < 100 * c.a),
+x AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS l, array_to_string(ws[k+1:], ' ') AS r FROM (SELECT *, unnest(range(1, m)) AS k FROM k)),
+s AS (SELECT x.lang, x.phrase, x.a, x.k, gl.f AS l, gr.f AS r, t.n, (1000::HUGEINT * x.a * t.n) // (gl.f::HUGEINT * gr.f) AS score
+      FROM x JOIN g gl ON gl.lang = x.lang AND gl.phrase = x.l JOIN g gr ON gr.lang = x.lang AND gr.phrase = x.r JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o WHERE rank <= 2000""",
 }
