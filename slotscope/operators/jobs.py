@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotscope.functions import derive as d
 from slotscope.operators import classify as c
+from slotscope.operators.asof import as_of
 
 HALF_HOUR = 1800
 
@@ -52,7 +53,10 @@ def rolling_medians(waits: DataFrame, hours: int = 6, least: int = 5) -> DataFra
 
 
 def daily_baseline(waits: DataFrame, days: int = 14, least: int = 3) -> DataFrame:
-    """(day, daily_median, baseline): median of the last ``days`` daily medians, null under ``least``."""
+    """(day, daily_median, baseline): median of the last ``days`` daily medians, null under ``least``.
+
+    The unpartitioned window has a row for each day that has data.
+    """
     daily = waits.groupBy(d.truncated(F.col("at"), "day").alias("day")).agg(F.percentile("wait_h", F.lit(0.5)).alias("daily_median"))
     w = _whole("day").rowsBetween(1 - days, 0)
     return daily.select("day", "daily_median", F.when(F.count("daily_median").over(w) >= least, F.percentile("daily_median", F.lit(0.5)).over(w)).alias("baseline"))
@@ -60,10 +64,8 @@ def daily_baseline(waits: DataFrame, days: int = 14, least: int = 3) -> DataFram
 
 def wait_stats(waits: DataFrame, hours: int = 6, days: int = 14) -> DataFrame:
     """Rolling medians with the baseline of the last data day up to each point, and their ratio."""
-    listed = daily_baseline(waits, days).agg(F.array_sort(F.collect_list(F.struct("day", "baseline"))).alias("b"))  # one entry a day
-    rows = rolling_medians(waits, hours).join(F.broadcast(listed))
-    last = F.get(F.filter("b", lambda x: x["day"] <= F.col("at")), F.size(F.filter("b", lambda x: x["day"] <= F.col("at"))) - 1)
-    return rows.withColumn("baseline", last["baseline"]).select("at", "rolling_median", "baseline", (F.col("rolling_median") / F.col("baseline")).alias("ratio"))
+    rows = as_of(rolling_medians(waits, hours), daily_baseline(waits, days), "at", "day", ["baseline"])
+    return rows.select("at", "rolling_median", "baseline", (F.col("rolling_median") / F.col("baseline")).alias("ratio"))
 
 
 def recent_against_history(waits: DataFrame, recent_days: int = 7) -> DataFrame:
