@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotscope.functions import derive as d
@@ -98,22 +99,47 @@ def backfill_users(frames: c.Frames, hours_back: float = 1, include_all: bool =
 
 
 def idle_machines(frames: c.Frames, include_all: bool = True) -> DataFrame:
-    """Machines none of whose primary devices was claimed in the window."""
+    """Machines none of whose primary devices was claimed in the window.
+
+    Rows are grouped by machine, device and bucket first, so that no distinct count is expanded.
+    """
     bf = F.coalesce(F.rlike("Name", F.lit("(?i)backfill")), F.lit(False))
-    claimed = F.col("State") == "Claimed"
-    gpu = F.col("AssignedGPUs")
-    projects = F.array_sort(F.array_distinct(F.filter(F.transform(F.collect_set("PrioritizedProjects"), lambda p: F.trim(p)), lambda p: p != "")))
-    per = frames.raw.where(~F.col("excluded")).groupBy("Machine").agg(
-        F.count(F.lit(1)).alias("total_observations"), F.count_distinct(F.when(~bf, gpu)).alias("total_gpus"), F.count_distinct(F.when(~bf & claimed, gpu)).alias("claimed"),
-        F.count_distinct(F.when(bf, F.col("bucket"))).alias("bf_buckets"), F.count_distinct(F.when(bf & claimed & gpu.isNotNull(), F.struct("bucket", "AssignedGPUs"))).alias("bf_pairs"),
-        F.coalesce(F.mode("GPUs_DeviceName", True), F.lit("Unknown")).alias("gpu_model"), projects.alias("projects"),
+    claimed = F.coalesce(F.col("State") == "Claimed", F.lit(False))
+    rows = frames.raw.where(~F.col("excluded"))
+    cells = rows.groupBy("Machine", "bucket", "AssignedGPUs").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(~bf).alias("primary"), F.bool_or(~bf & claimed).alias("held"), F.bool_or(bf).alias("backfill"), F.bool_or(bf & claimed).alias("bf_held"),
+        F.collect_set(F.trim("PrioritizedProjects")).alias("projects"),
+    )
+    known = F.col("AssignedGPUs").isNotNull()
+    by_gpu = cells.groupBy("Machine", "AssignedGPUs").agg(F.sum("n").alias("n"), F.bool_or("primary").alias("primary"), F.bool_or("held").alias("held"), F.count_if(F.col("bf_held") & known).alias("bf_pairs"), F.flatten(F.collect_set("projects")).alias("projects"))
+    per = by_gpu.groupBy("Machine").agg(
+        F.sum("n").alias("total_observations"), F.count_if(F.col("primary") & known).alias("total_gpus"), F.count_if(F.col("held") & known).alias("claimed"), F.sum("bf_pairs").alias("bf_pairs"),
+        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set("projects")), lambda p: p != ""))).alias("projects"),
     ).where("claimed = 0 and total_gpus > 0")
+    buckets = cells.where("backfill").select("Machine", "bucket").distinct().groupBy("Machine").agg(F.count(F.lit(1)).alias("bf_buckets"))
+    models = rows.where("GPUs_DeviceName is not null").groupBy("Machine", "GPUs_DeviceName").agg(F.count(F.lit(1)).alias("n"))
+    models = models.groupBy("Machine").agg(F.min(F.struct((-F.col("n")).alias("minus"), "GPUs_DeviceName")).alias("best")).select("Machine", F.col("best.GPUs_DeviceName").alias("model"))
+    per = per.join(buckets, "Machine", "left").join(models, "Machine", "left").withColumns({"bf_buckets": F.coalesce("bf_buckets", F.lit(0)), "gpu_model": F.coalesce("model", F.lit("Unknown"))})
     if not include_all:
         per = per.where(~d.is_old_device(F.col("gpu_model")))
     average = F.when(F.col("bf_buckets") > 0, F.col("bf_pairs") / F.col("bf_buckets")).otherwise(0.0)
     return per.select(F.col("Machine").alias("machine"), "gpu_model", "total_gpus", "total_observations", F.array_join("projects", ",").alias("prioritized_projects"), average.alias("avg_backfill_claimed"))
 
 
+def idle_totals(machines: DataFrame) -> DataFrame:
+    """(gpu_model, project, machines, gpus_idle) of ``idle_machines``: by model, by project (a machine of several counts in each,
+    one of none as ``None``), and overall with both null. No machines give one row of zeros."""
+    listed = F.when(F.col("prioritized_projects") == "", F.array(F.lit("None"))).otherwise(F.split("prioritized_projects", ","))
+    marked = F.concat(F.array(F.lit(None).cast("string")), listed)
+    # The two dimensions stand beside each other, not within: a machine's row of no project serves the model's and the overall sum.
+    rows = machines.select("gpu_model", "total_gpus", F.explode(marked).alias("project"))
+    sums = (F.count(F.lit(1)).alias("machines"), F.sum("total_gpus").alias("gpus_idle"))
+    parts = rows.groupingSets([["gpu_model", "project"], ["project"]], "gpu_model", "project").agg(*sums, F.grouping("gpu_model").alias("all_models"))
+    parts = parts.where("project is null or all_models = 1").drop("all_models")
+    zero = machines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("gpu_model"), F.lit(None).cast("string").alias("project"), F.lit(0).cast("bigint").alias("machines"), F.lit(0).cast("bigint").alias("gpus_idle"))
+    return parts.unionByName(zero)
+
+
 def prevented_hosts(raw: DataFrame) -> DataFrame:
     """Hosts with devices kept from jobs: devices, reasons, last seen, and whether seen in the latest such bucket."""
     rows = raw.where("pj_set")
@@ -134,21 +160,18 @@ def prevented_reasons(raw: DataFrame) -> DataFrame:
 
 def prevented_average(frames: c.Frames) -> DataFrame:
     """By class and device: sum over buckets of distinct idle devices with a reason, over the window's buckets; device null: the class."""
-    rows = c.class_rows(frames).where("pj_set and State != 'Claimed' and AssignedGPUs is not null").select("class", F.col("GPUs_DeviceName").alias("device"), "bucket", "AssignedGPUs").distinct()
-    per = rows.groupBy("class", "device").agg(F.count(F.lit(1)).alias("n"))
-    whole = rows.select("class", "bucket", "AssignedGPUs").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    both = per.where("device is not null").unionByName(whole.withColumn("device", F.lit(None).cast("string")))
-    return _with_one(both, window_buckets(frames.raw)).select("class", "device", (F.col("n") / F.col("window_buckets")).alias("avg_prevented"))
+    rows = c.class_rows(frames).where("pj_set and State != 'Claimed' and AssignedGPUs is not null")
+    held = rows.groupBy("class", "bucket", "AssignedGPUs").agg(F.collect_set("GPUs_DeviceName").alias("devices"))
+    # A device identifier counts once for each of its models and once, as null, for the class.
+    each = held.select("class", F.explode(F.concat(F.array(F.lit(None).cast("string")), "devices")).alias("device")).groupBy("class", "device").agg(F.count(F.lit(1)).alias("n"))
+    return _with_one(each, window_buckets(frames.raw)).select("class", "device", (F.col("n") / F.col("window_buckets")).alias("avg_prevented"))
 
 
 def state_aware_counts(frames: c.Frames, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(class, bucket, *by, claimed, unclaimed): distinct devices, each counted in both if seen in both."""
-    parts = [c.state_filter(frames, k, s).select(F.lit(k).alias("class"), F.lit(s).alias("s"), "bucket", *by, "AssignedGPUs") for k in classes for s in ("Claimed", "Unclaimed")]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.where("AssignedGPUs is not null").distinct()
-    return rows.groupBy("class", "bucket", *by).agg(F.count_if(F.col("s") == "Claimed").alias("claimed"), F.count_if(F.col("s") == "Unclaimed").alias("unclaimed"))
+    rows = c.state_rows(frames, classes, ("Claimed", "Unclaimed"), ("bucket", *by, "AssignedGPUs")).where("AssignedGPUs is not null")
+    gpus = rows.groupBy("class", "bucket", *by, "AssignedGPUs").agg(F.bool_or(F.col("s") == "Claimed").alias("c"), F.bool_or(F.col("s") == "Unclaimed").alias("u"))
+    return gpus.groupBy("class", "bucket", *by).agg(F.count_if("c").alias("claimed"), F.count_if("u").alias("unclaimed"))
 
 
 def allocation(frames: c.Frames, classes: Sequence[str] = THREE_CLASSES) -> DataFrame:
@@ -174,8 +197,7 @@ def usage_series(frames: c.Frames, classes: Sequence[str] = THREE_CLASSES) -> Da
 
 def by_device_three(frames: c.Frames, include_all: bool = True) -> DataFrame:
     """Three classes by device: distinct devices of the class, those claimed and those drained (which may overlap)."""
-    parts = [c.state_filter(frames, k).select(F.lit(k).alias("class"), "bucket", "GPUs_DeviceName", "AssignedGPUs", "State") for k in THREE_CLASSES]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("AssignedGPUs is not null and GPUs_DeviceName is not null")
+    rows = c.state_rows(frames, THREE_CLASSES, ("",), ("bucket", "GPUs_DeviceName", "AssignedGPUs", "State")).where("AssignedGPUs is not null and GPUs_DeviceName is not null")
     if not include_all:
         rows = rows.where(~d.is_old_device(F.col("GPUs_DeviceName")))
     gpu = rows.groupBy("class", "GPUs_DeviceName", "bucket", "AssignedGPUs").agg(F.max(F.col("State") == "Claimed").alias("c"), F.max(F.col("State") == "Drained").alias("d"))
@@ -188,8 +210,7 @@ def by_device_three(frames: c.Frames, include_all: bool = True) -> DataFrame:
 def backfill_by_day(frames: c.Frames) -> DataFrame:
     """Daily averages of bucket counts for the backfill classes and the ratio of the averages."""
     classes = ("Backfill-ResearcherOwned", "Backfill-PoolOwned", "Backfill-OpenCapacity")
-    parts = [c.state_filter(frames, k).select(F.lit(k).alias("class"), "bucket", "AssignedGPUs", "State") for k in classes]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("AssignedGPUs is not null")
+    rows = c.state_rows(frames, classes, ("",), ("bucket", "AssignedGPUs", "State")).where("AssignedGPUs is not null")
     gpu = rows.groupBy("class", "bucket", "AssignedGPUs").agg(F.max(F.col("State") == "Claimed").alias("c"))
     per = gpu.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("t"), F.count_if("c").alias("c"))
     daily = per.groupBy("class", d.truncated(F.col("bucket"), "day").alias("day")).agg(F.avg("c").alias("avg_claimed"), F.avg("t").alias("avg_total"))
@@ -207,8 +228,16 @@ def backfill_day_summary(daily: DataFrame) -> DataFrame:
     return daily.groupBy("class").agg(F.avg("utilization_percent").alias("mean_percent"), F.max("utilization_percent").alias("max_percent"), F.avg("avg_total").alias("mean_total"), F.max("avg_claimed").alias("max_claimed"), F.count(F.lit(1)).alias("days"))
 
 
+def previous_month(latest: dt.datetime) -> tuple[dt.datetime, dt.datetime, int]:
+    """Start and end (the next month's first instant) of the month before ``latest``, and its hours."""
+    end = latest.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    start = (end - dt.timedelta(days=1)).replace(day=1)
+    return start, end, (end - start).days * 24
+
+
 def monthly_summary(slots: DataFrame, owned: Sequence[str], excluded: Sequence[str]) -> DataFrame:
-    """Allocation by class and device over the calendar month before the latest row, both ends included. Empty in, empty out.
+    """Allocation by class and device (old devices left out) over the calendar month before the latest row, both ends included.
+    Empty in, empty out.
 
     The latest time is fetched first: the bounds are literals, which reach the scan.
     """
@@ -216,19 +245,67 @@ def monthly_summary(slots: DataFrame, owned: Sequence[str], excluded: Sequence[s
     if latest is None:
         rows = slots.limit(0)
     else:
-        hi = latest.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
-        lo = (hi - dt.timedelta(days=1)).replace(day=1)
+        lo, hi, _ = previous_month(latest)
         rows = slots.where(F.col("timestamp").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
-    return by_device(c.prepare(rows, owned, excluded))
+    return by_device(c.prepare(rows, owned, excluded), include_all=False)
+
+
+@dataclass
+class MonthlyReport:
+    """The parts of one month's report; all come from ``frames``, which are persisted until ``close``."""
+
+    start: dt.datetime
+    end: dt.datetime
+    hours: int
+    frames: c.Frames
+    devices: DataFrame
+    memory: DataFrame
+    users: DataFrame
+    coverage: DataFrame
+
+    def close(self) -> None:
+        self.frames.unpersist()
+
+    def table(self) -> DataFrame:
+        """(section, k1, k2, v1 .. v5): all parts as one frame, for storing."""
+        number = lambda names: [(F.col(n).cast("double") if n else F.lit(None).cast("double")).alias(f"v{i}") for i, n in enumerate(names, 1)]
+        text = lambda c, n: F.col(c).cast("string").alias(n)
+        shares = ("avg_claimed", "avg_drained", "avg_total_available", "allocation_usage_percent", "drained_percent")
+        parts = [
+            self.devices.select(F.lit("device").alias("section"), text("class", "k1"), text("device", "k2"), *number(shares)),
+            self.memory.select(F.lit("memory").alias("section"), text("memory_category", "k1"), F.lit(None).cast("string").alias("k2"), *number(shares)),
+            self.users.select(F.lit("user").alias("section"), text("user", "k1"), text("class", "k2"), *number(("gpu_hours", "percentage", "total_gpu_hours", None, None))),
+            self.coverage.select(F.lit("coverage").alias("section"), text("start", "k1"), text("end", "k2"), *number(("total", "buckets", None, None, None))),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+def monthly_report(spark: SparkSession, path: str, owned: Sequence[str], excluded: Sequence[str], end: dt.datetime | None = None, device: str = "NVIDIA H200") -> MonthlyReport | None:
+    """The complete report over the month before ``end`` (default: the latest stored row); None where the table is empty or the month has no rows.
+
+    The month's rows are read once, from the month partitions that the bounds touch, and prepared
+    once for all parts.
+    """
+    end = snapshots.latest_stored(spark, path) if end is None else end
+    if end is None:
+        return None
+    lo, hi, hours = previous_month(end)
+    frames = c.prepare(snapshots.scan(spark, path, lo, hi), owned, excluded).persist()
+    coverage = c.metadata(frames.raw)
+    if frames.raw.isEmpty():
+        frames.unpersist()
+        return None
+    return MonthlyReport(lo, hi - dt.timedelta(seconds=1), hours, frames, by_device(frames, include_all=False), by_memory(frames, include_all=False), device_users(frames, device, hours), coverage)
 
 
 def category_audit(frames: c.Frames, classes: Sequence[str] = THREE_CLASSES) -> DataFrame:
     """Rows and distinct devices of each class in each state."""
-    parts = [c.state_filter(frames, k, s).select(F.lit(k).alias("class"), F.lit(s).alias("state"), "AssignedGPUs") for k in classes for s in ("Claimed", "Unclaimed")]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("class", "state").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("AssignedGPUs").alias("gpus"))
+    rows = c.state_rows(frames, classes, ("Claimed", "Unclaimed"), ("AssignedGPUs",))
+    gpus = rows.groupBy("class", F.col("s").alias("state"), "AssignedGPUs").agg(F.count(F.lit(1)).alias("n"))
+    return gpus.groupBy("class", "state").agg(F.sum("n").alias("rows"), F.count("AssignedGPUs").alias("gpus"))
 
 
 def count_anomalies(frames: c.Frames, device: str, expected: int, classes: Sequence[str] = THREE_CLASSES) -> DataFrame:
@@ -243,6 +320,24 @@ def device_counts(frames: c.Frames, utilization: str, state: str) -> DataFrame:
     return c.state_filter(frames, utilization, state).groupBy("GPUs_DeviceName", "prio").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def value_histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
+    """(bin, lo, hi, n): ``bins`` bins of equal width between the least and the largest value, empty ones included.
+
+    The last bin holds its upper edge; where all values are equal, the edges lie half a unit to both
+    sides. Null and non-finite values are left out; without any value there are no rows.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.select(v.alias("v")).where("v is not null and not isnan(v) and abs(v) != double('infinity')")
+    span = rows.agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a is not null")
+    span = span.select(F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
+    at = F.least(F.width_bucket("v", "a", "b", F.lit(bins)), F.lit(bins).cast("bigint"))
+    counts = _with_one(rows, span).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    step = (F.col("b") - F.col("a")) / bins
+    edges = span.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"), "a", step.alias("step"))
+    full = edges.join(counts, "bin", "left")
+    return full.select("bin", (F.col("a") + F.col("step") * (F.col("bin") - 1)).alias("lo"), (F.col("a") + F.col("step") * F.col("bin")).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def binned_usage(frames: c.Frames, utilization: str, by: str | None = None) -> DataFrame:
     """Used and all devices of a class per bucket, by a column (old devices skipped) if given."""
     columns = (by,) if by else ()

@@ -92,13 +92,13 @@ class Frames:
     minutes: int = 15
 
     def persist(self) -> Frames:
-        """Keep dedup and backfill rows for several results over one scan."""
-        for f in (self.dedup, self.raw_backfill):
+        """Keep the window's rows and the dedup rows for several results over one scan; what an executor loses is computed again."""
+        for f in (self.raw, self.dedup):
             f.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def unpersist(self) -> None:
-        for f in (self.dedup, self.raw_backfill):
+        for f in (self.dedup, self.raw):
             f.unpersist()
 
 
@@ -133,18 +133,20 @@ def class_rows(frames: Frames, keys: Sequence[str] = ("Machine",), device: str |
     of machines in the researchers' scope.
     """
     cols = ("bucket", "AssignedGPUs", "State", "Name", "Machine", "GPUs_DeviceName", "GPUs_GlobalMemoryMb", "RemoteOwner", "pj_set")
-    real = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in _membership().items() if name in classes]))
-    out = frames.dedup.withColumn("class", F.explode(real)).select("class", *cols) if set(classes) & set(REAL_CLASSES) else None
-    backfill = frames.raw_backfill
+    named = lambda conditions: F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in conditions.items() if k in classes])))
     parts = []
-    if "Backfill-PoolOwned" in classes:
-        parts.append(backfill.where("owned").select(F.lit("Backfill-PoolOwned").alias("class"), *cols))
-    if "Backfill-ResearcherOwned" in classes:
-        scope = researcher_scope(frames.raw, keys, device)
-        parts.append(backfill.join(scope, list(keys), "left_semi").select(F.lit("Backfill-ResearcherOwned").alias("class"), *cols))
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out
+    if set(classes) & set(REAL_CLASSES):
+        parts.append(frames.dedup.withColumn("class", named(_membership())).select("class", *cols))
+    if set(classes) & set(BACKFILL_CLASSES):
+        rows = with_scope(frames, keys, device) if "Backfill-ResearcherOwned" in classes else frames.raw_backfill.withColumn("scoped", F.lit(False))
+        parts.append(rows.withColumn("class", named({"Backfill-ResearcherOwned": F.col("scoped"), "Backfill-PoolOwned": F.col("owned")})).select("class", *cols))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def with_scope(frames: Frames, keys: Sequence[str] = ("Machine",), device: str | None = None) -> DataFrame:
+    """All backfill rows with ``scoped``: whether they are in the researchers' scope. One join for all classes that ask."""
+    scope = researcher_scope(frames.raw, keys, device).withColumn("__in", F.lit(True))
+    return frames.raw_backfill.join(scope, list(keys), "left").withColumn("scoped", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
 def open_backfill(frames: Frames) -> DataFrame:
@@ -156,6 +158,27 @@ def open_backfill(frames: Frames) -> DataFrame:
 STATE_AWARE = ("Priority", "Shared", "Priority-ResearcherOwned", "Priority-PoolOwned", "Backfill", "Backfill-ResearcherOwned", "Backfill-PoolOwned", "Backfill-OpenCapacity")
 
 
+def _in_state(utilization: str, state: str) -> Column:
+    """Whether a dedup row belongs to a primary class in a state."""
+    bf, inter, owned, s = F.col("is_bf"), F.col("is_inter"), F.col("owned"), F.col("State")
+    member = F.col("shared") if utilization == "Shared" else F.col("prio")
+    if utilization == "Priority-ResearcherOwned":
+        member &= ~owned
+    elif utilization == "Priority-PoolOwned":
+        member &= owned
+    primary = ~bf & ~inter if utilization == "Shared" else ~bf
+    if state == "Unclaimed":
+        return member & (((s == "Unclaimed") & primary) | ((s == "Claimed") & bf))
+    return member & (s == "Claimed") & primary if state == "Claimed" else member & primary
+
+
+def _backfill_in_state(utilization: str, state: str) -> Column:
+    """Whether a backfill row (with ``scoped``) belongs to a backfill class in a state."""
+    owned, scoped = F.col("owned"), F.col("scoped")
+    member = {"Backfill": F.lit(True), "Backfill-PoolOwned": owned, "Backfill-ResearcherOwned": scoped, "Backfill-OpenCapacity": ~owned & ~scoped}[utilization]
+    return member & (F.col("State") == state) if state else member
+
+
 def state_filter(frames: Frames, utilization: str, state: str = "", host: str = "") -> DataFrame:
     """Rows of a class in a state.
 
@@ -163,32 +186,28 @@ def state_filter(frames: Frames, utilization: str, state: str = "", host: str =
     the backfill row). An unknown class gives all rows that aren't excluded. ``host`` is a regular
     expression on the slot's name.
     """
-    bf, inter, owned = F.col("is_bf"), F.col("is_inter"), F.col("owned")
     on_host = F.rlike("Name", F.lit(host)) if host else F.lit(True)
     if utilization not in STATE_AWARE:
         return frames.raw.where(~F.col("excluded") & on_host if host else ~F.col("excluded"))
-    if utilization.startswith("Backfill"):
-        rows = frames.raw_backfill.where(on_host)
-        if state:
-            rows = rows.where(F.col("State") == state)
-        if utilization == "Backfill-PoolOwned":
-            return rows.where("owned")
-        if utilization == "Backfill-ResearcherOwned":
-            return rows.join(researcher_scope(frames.raw), ["Machine"], "left_semi")
-        if utilization == "Backfill-OpenCapacity":
-            return rows.where(~owned).join(researcher_scope(frames.raw), ["Machine"], "left_anti")
-        return rows
-    member = F.col("shared") if utilization == "Shared" else F.col("prio")
-    if utilization == "Priority-ResearcherOwned":
-        member &= ~owned
-    elif utilization == "Priority-PoolOwned":
-        member &= owned
-    primary = ~bf & ~inter if utilization == "Shared" else ~bf
-    s = F.col("State")
-    if state == "Unclaimed":
-        keep = ((s == "Unclaimed") & primary) | ((s == "Claimed") & bf)
-    elif state == "Claimed":
-        keep = (s == "Claimed") & primary
-    else:
-        keep = primary
-    return frames.dedup.where(member & on_host & keep)
+    if not utilization.startswith("Backfill"):
+        return frames.dedup.where(_in_state(utilization, state) & on_host)
+    needs_scope = utilization in ("Backfill-ResearcherOwned", "Backfill-OpenCapacity")
+    rows = with_scope(frames) if needs_scope else frames.raw_backfill.withColumn("scoped", F.lit(False))
+    return rows.where(_backfill_in_state(utilization, state) & on_host).drop("scoped")
+
+
+def state_rows(frames: Frames, classes: Sequence[str], states: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(class, s, *columns): the rows of ``state_filter`` for all ``classes`` and ``states`` at once.
+
+    Each row carries an array of its memberships, which is taken apart; so dedup rows and backfill
+    rows are computed once each, and the researchers' scope once, however many classes are asked for.
+    """
+    tag = lambda k, s: F.struct(F.lit(k).alias("class"), F.lit(s).alias("s"))
+    of = lambda rows, cond, names: rows.select(*columns, F.explode(F.array_compact(F.array(*[F.when(cond(k, s), tag(k, s)) for k in names for s in states]))).alias("__f"))
+    real, back = [k for k in classes if not k.startswith("Backfill")], [k for k in classes if k.startswith("Backfill")]
+    parts = [of(frames.dedup, _in_state, real)] if real else []
+    if back:
+        needs_scope = {"Backfill-ResearcherOwned", "Backfill-OpenCapacity"} & set(back)
+        parts.append(of(with_scope(frames) if needs_scope else frames.raw_backfill.withColumn("scoped", F.lit(False)), _backfill_in_state, back))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.select("__f.class", "__f.s", *columns)
