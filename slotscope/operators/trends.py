@@ -223,14 +223,42 @@ def _distinct_devices(rows: DataFrame, keys: Sequence[str], conditions: Mapping[
     return per.groupBy(*keys).agg(*(F.count_if(F.col(k) & F.col("AssignedGPUs").isNotNull()).alias(k) for k in conditions))
 
 
-def type_summary(slots: DataFrame, by: Sequence[str] = ("GPUs_DeviceName",), include_all: bool = True) -> DataFrame:
+OPEN, RESEARCHER = "Open Capacity", "Researcher Owned"
+
+
+def _is_backfill_any_case() -> Column:
+    return F.coalesce(F.rlike("Name", F.lit("(?i)backfill")), F.lit(False))
+
+
+def machine_category(project: Column) -> Column:
+    return F.when(F.coalesce(project, F.lit("")) == "", OPEN).otherwise(RESEARCHER)
+
+
+def with_project(slots: DataFrame) -> DataFrame:
+    """Rows with ``project`` and ``machine_category``: a backfill row takes the project of the primary slot that has its device at its time.
+
+    Of several primary rows the largest project counts, so one that has a project wins; a device
+    without a primary row at the time keeps its row's own. Primary rows are summed to one for each
+    (time, device) and joined back; rows without a device are spread over keys that match nothing.
+    """
+    key = F.coalesce("AssignedGPUs", F.concat(F.lit("\x00"), F.coalesce("Name", F.lit(""))))
+    primary = slots.where(~_is_backfill_any_case() & F.col("AssignedGPUs").isNotNull())
+    found = primary.groupBy(F.col("timestamp").alias("__t"), F.col("AssignedGPUs").alias("__g")).agg(F.max(F.coalesce("PrioritizedProjects", F.lit(""))).alias("__p"))
+    joined = slots.join(found, (F.col("timestamp") == F.col("__t")) & (key == F.col("__g")), "left")
+    project = F.coalesce("__p", "PrioritizedProjects", F.lit(""))
+    return joined.withColumns({"project": project, "machine_category": machine_category(project)}).drop("__t", "__g", "__p")
+
+
+def type_summary(slots: DataFrame, by: Sequence[str] = ("GPUs_DeviceName",), include_all: bool = True, category: str | None = None) -> DataFrame:
     """By device (and machine): averages over its snapshots, allocated percentage, slot-creation efficiency.
 
     Claimed primaries count on dynamic slots only; efficiency looks at snapshots with unused primaries.
+    ``category`` keeps the devices of one machine category, see ``with_project``.
     """
-    name = F.col("Name")
-    bf = F.coalesce(F.rlike(name, F.lit("(?i)backfill")), F.lit(False))
-    dynamic = ~F.coalesce(F.rlike(name, F.lit(r"(?i)^slot\d+@")), F.lit(False))
+    if category is not None:
+        slots = with_project(slots).where(F.col("machine_category") == category)
+    bf = _is_backfill_any_case()
+    dynamic = ~F.coalesce(F.rlike("Name", F.lit(r"(?i)^slot\d+@")), F.lit(False))
     claimed = F.col("State") == "Claimed"
     rows = slots.where("GPUs_DeviceName is not null")
     if not include_all:
@@ -251,17 +279,68 @@ def snapshot_efficiency(slots: DataFrame, machine: str) -> DataFrame:
     return rows.select("timestamp", "unused", "backfill", (F.col("backfill") / F.col("unused") * 100).alias("efficiency"))
 
 
+def efficiency_by_project(slots: DataFrame, by: Sequence[str] = ("Machine",), propagate: bool = False) -> DataFrame:
+    """By machine and machine category: intervals, those with unused primaries, mean devices, slot-creation efficiency.
+
+    Rows are split by their own project, or with ``propagate`` by that of the device's primary slot.
+    Without an unused primary the means over such intervals and the efficiency are 0.
+    """
+    rows = with_project(slots) if propagate else slots.withColumn("machine_category", machine_category(F.col("PrioritizedProjects")))
+    bf = _is_backfill_any_case()
+    dynamic = ~F.coalesce(F.rlike("Name", F.lit(r"(?i)^slot\d+@")), F.lit(False))
+    snap = _distinct_devices(rows, (*by, "machine_category", "timestamp"), {"p": ~bf, "pc": ~bf & dynamic & (F.col("State") == "Claimed"), "b": bf})
+    unused = F.col("p") - F.col("pc")
+    out = snap.groupBy(*by, "machine_category").agg(
+        F.count(F.lit(1)).alias("intervals"), F.count_if(unused > 0).alias("with_unused"), F.avg("p").alias("avg_primary_available"), F.avg("pc").alias("avg_primary_claimed"), F.avg("b").alias("avg_backfill_available"),
+        F.coalesce(F.avg(F.when(unused > 0, unused)), F.lit(0.0)).alias("avg_unused"), F.coalesce(F.avg(F.when(unused > 0, F.col("b"))), F.lit(0.0)).alias("avg_backfill_when_unused"),
+    )
+    return out.withColumn("efficiency", F.when(F.col("avg_unused") > 0, F.col("avg_backfill_when_unused") / F.col("avg_unused") * 100).otherwise(0.0))
+
+
 def efficiency_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("snapshots"), F.min("efficiency").alias("least"), F.max("efficiency").alias("most"), F.avg("efficiency").alias("mean"), F.percentile("efficiency", F.lit(0.5)).alias("median"), F.count_if(F.col("efficiency") > 100).alias("over_100"))
 
 
 def never_claimed(slots: DataFrame, excluded_pattern: str = "") -> DataFrame:
-    """(machine, gpu, device, tier, records, claimed) of every device; never claimed where claimed is 0."""
-    rows = slots.where("AssignedGPUs is not null")
+    """(machine, gpu, device, tier, records, claimed, projects) of every device with a model; never claimed where claimed is 0.
+
+    ``projects`` are the trimmed projects of its rows, sorted; identifiers are trimmed, empty ones left out.
+    """
+    gpu = F.trim("AssignedGPUs")
+    rows = slots.where("AssignedGPUs is not null and GPUs_DeviceName is not null").withColumn("AssignedGPUs", gpu).where("AssignedGPUs != ''")
     if excluded_pattern:
         rows = rows.where(~F.rlike("Machine", F.lit(excluded_pattern)))
-    per = rows.groupBy("Machine", "AssignedGPUs").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("State") == "Claimed").alias("claimed"), F.max_by("GPUs_DeviceName", F.struct("timestamp", "GPUs_DeviceName")).alias("device"))
-    return per.select("Machine", "AssignedGPUs", "device", d.performance_tier(F.col("device"), empty_unknown=True).alias("tier"), "records", "claimed")
+    project = F.trim(F.coalesce("PrioritizedProjects", F.lit("")))
+    per = rows.groupBy("Machine", "AssignedGPUs").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("State") == "Claimed").alias("claimed"), F.max_by("GPUs_DeviceName", F.struct("timestamp", "GPUs_DeviceName")).alias("device"),
+        F.array_sort(F.collect_set(F.when(project != "", project))).alias("projects"),
+    )
+    return per.select("Machine", "AssignedGPUs", "device", d.performance_tier(F.col("device"), empty_unknown=True).alias("tier"), "records", "claimed", "projects")
+
+
+def never_claimed_hosts(devices: DataFrame) -> DataFrame:
+    """(tier, device, Machine, unused, of, projects, gpus): never claimed devices of each host, beside all the host's devices.
+
+    One aggregation over two sets of dimensions gives both numbers; ``projects`` of none is ``None (Open Capacity)``.
+    """
+    unused = F.col("claimed") == 0
+    sets = devices.groupingSets([["tier", "device", "Machine"], ["Machine"]], "tier", "device", "Machine").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(unused).alias("unused"), F.array_sort(F.flatten(F.collect_set(F.when(unused, F.col("projects"))))).alias("projects"),
+        F.array_sort(F.collect_set(F.when(unused, F.col("AssignedGPUs")))).alias("gpus"), F.grouping("tier").alias("whole"),
+    )
+    of = Window.partitionBy("Machine")
+    rows = sets.withColumn("of", F.max(F.when(F.col("whole") == 1, F.col("n"))).over(of)).where("whole = 0 and unused > 0")
+    listed = F.array_join(F.array_distinct("projects"), ", ")
+    return rows.select("tier", "device", "Machine", "unused", "of", F.when(listed == "", "None (Open Capacity)").otherwise(listed).alias("projects"), F.array_join("gpus", ", ").alias("gpus"))
+
+
+def never_claimed_devices(devices: DataFrame) -> DataFrame:
+    """(tier, device, gpus, unused, hosts): devices by tier and model, by tier, and overall (nulls); ``hosts`` have an unused one."""
+    unused = F.col("claimed") == 0
+    by_host = devices.groupBy("tier", "device", "Machine").agg(F.count(F.lit(1)).alias("n"), F.count_if(unused).alias("u"))
+    # A host may have several models: its row in a wider set must count once.
+    sets = by_host.groupingSets([["tier", "device", "Machine"], ["tier", "Machine"], ["Machine"]], "tier", "device", "Machine").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.grouping_id("tier", "device", "Machine").alias("set"))
+    return sets.groupBy("set", "tier", "device").agg(F.sum("n").alias("gpus"), F.sum("u").alias("unused"), F.count_if(F.col("u") > 0).alias("hosts")).drop("set")
 
 
 def never_claimed_summary(devices: DataFrame) -> DataFrame:
@@ -299,6 +378,41 @@ def open_user_peaks(series: DataFrame, top_n: int = 10) -> DataFrame:
     return out.orderBy(F.desc("peak"), "user").limit(top_n)
 
 
+def top_by_peak(series: DataFrame, top_n: int) -> DataFrame:
+    """(rank, user, peak): the users with the largest bucket counts, ties by name; ``top_n`` rows at most."""
+    peaks = series.groupBy("user").agg(F.max("gpus").alias("peak")).orderBy(F.desc("peak"), "user").limit(top_n)
+    return peaks.select(F.row_number().over(Window.orderBy(F.desc("peak"), "user")).cast("bigint").alias("rank"), "user", "peak")
+
+
+def open_user_pivot(series: DataFrame, top_n: int = 50, names: bool = True) -> DataFrame:
+    """A row a bucket, a column for each of the ``top_n`` users by peak (0 where absent), and ``others``: the most of any other user.
+
+    Two phases: the users are found first, so the pivot has at most ``top_n`` columns, whatever the
+    number of users. Columns are named by user, or by rank (``u1`` ...) without ``names``; ranks
+    beyond the number of users give columns of zeros.
+    """
+    top = top_by_peak(series, top_n)
+    labels = [(r["user"], r["user"] if names else f"u{r['rank']}") for r in top.collect()]  # top_n rows
+    if not names:
+        labels += [(None, f"u{i}") for i in range(len(labels) + 1, top_n + 1)]
+    known = [u for u, _ in labels if u is not None]
+    columns = [F.coalesce(F.max(F.when(F.col("user") == u, F.col("gpus"))), F.lit(0).cast("bigint")).alias(c) if u is not None else F.lit(0).cast("bigint").alias(c) for u, c in labels]
+    others = F.coalesce(F.max(F.when(~F.col("user").isin(known), F.col("gpus"))), F.lit(0).cast("bigint")).alias("others")
+    return series.groupBy("bucket").agg(*columns, others)
+
+
+def bucket_peaks(series: DataFrame) -> DataFrame:
+    """(bucket, peak, user): the largest count of a single user in each bucket, ties to the smallest name."""
+    best = F.min(F.struct((-F.col("gpus")).alias("minus"), "user")).alias("best")
+    return series.groupBy("bucket").agg(best).select("bucket", (-F.col("best.minus")).alias("peak"), F.col("best.user").alias("user"))
+
+
+def overall_peak(peaks: DataFrame) -> DataFrame:
+    """(peak, bucket, user) of the first bucket with the largest peak, one row; none of an empty series."""
+    best = peaks.agg(F.min(F.struct((-F.col("peak")).alias("minus"), "bucket", "user")).alias("best")).where("best is not null")
+    return best.select((-F.col("best.minus")).alias("peak"), "best.bucket", "best.user")
+
+
 def class_quartiles(series: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Of each class of a usage series: mean percent and counts, quartiles of the percentages."""
     parts = [series.select(F.lit(k).alias("class"), F.col(f"{k}_usage_percent").alias("pct"), F.col(f"{k}_claimed").alias("claimed"), F.col(f"{k}_total").alias("total")) for k in classes]
