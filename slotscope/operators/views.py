@@ -15,13 +15,18 @@ from slotscope.operators import classify as c
 def heatmap(frames: c.Frames) -> DataFrame:
     """(machine, gpu, device, states): display codes aligned to the window's buckets in order, 5 where missing.
 
-    The states come from the winners per bucket; the list of buckets is one small array beside.
+    Buckets get dense ordinals (one row a bucket). A device's states are its (ordinal, code) entries in
+    order, each after the run of missing ones before it: linear in buckets, without a lookup by bucket.
     """
-    rows = c.bucket_winners(frames.dedup).withColumn("code", d.state_code(F.col("State"), F.col("is_bf"), F.col("prio")))
-    grid = rows.select("bucket").distinct().agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
-    per = rows.groupBy("Machine", "AssignedGPUs").agg(F.coalesce(F.min("GPUs_DeviceName"), F.lit("Unknown")).alias("device"), F.map_from_entries(F.collect_list(F.struct("bucket", "code"))).alias("by"))
-    states = F.transform("buckets", lambda b: F.coalesce(F.element_at("by", b), F.lit(d.STATE_CODES["na"])))
-    return per.join(F.broadcast(grid)).select(F.col("Machine").alias("machine"), F.col("AssignedGPUs").alias("gpu"), "device", states.alias("states"))
+    rows = c.bucket_winners(frames.dedup).select("Machine", "AssignedGPUs", "GPUs_DeviceName", "bucket", d.state_code(F.col("State"), F.col("is_bf"), F.col("prio")).alias("code"))
+    ordinals = rows.select("bucket").distinct().select("bucket", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("bucket")).alias("at"))
+    per = rows.join(ordinals, "bucket").groupBy("Machine", "AssignedGPUs").agg(F.coalesce(F.min("GPUs_DeviceName"), F.lit("Unknown")).alias("device"), F.array_sort(F.collect_list(F.struct("at", "code"))).alias("runs"))
+    missing = F.lit(d.STATE_CODES["na"])
+    before = lambda i: F.coalesce(F.get("runs", i - 1)["at"], F.lit(0))
+    runs = F.flatten(F.transform("runs", lambda x, i: F.concat(F.array_repeat(missing, x["at"] - before(i) - 1), F.array(x["code"]))))
+    rest = F.array_repeat(missing, F.col("buckets") - F.element_at("runs", -1)["at"])
+    size = ordinals.agg(F.count(F.lit(1)).cast("int").alias("buckets"))
+    return per.join(F.broadcast(size)).select(F.col("Machine").alias("machine"), F.col("AssignedGPUs").alias("gpu"), "device", F.concat(runs, rest).alias("states"))
 
 
 def category_counts(raw: DataFrame) -> DataFrame:
@@ -99,11 +104,13 @@ def snapshot_summary(snapshot: DataFrame) -> DataFrame:
     return out.select("total", "active", (F.col("total") - F.col("active")).alias("idle"), F.when(F.col("total") > 0, F.col("active") / F.col("total") * 100).otherwise(0.0).alias("utilization"), "mean_use", "machines")
 
 
-def snapshot_classes(snapshot: DataFrame) -> DataFrame:
-    """Total and claimed distinct devices by Priority, Shared and Backfill of a snapshot's rows."""
-    bf = d.is_backfill(F.col("Name"))
-    kind = F.when(bf, "Backfill").when(d.is_prioritised(F.col("PrioritizedProjects")), "Priority").otherwise("Shared")
-    return snapshot.groupBy(kind.alias("class")).agg(F.count_distinct("AssignedGPUs").alias("total"), F.count_distinct(F.when(F.col("State") == "Claimed", F.col("AssignedGPUs"))).alias("claimed"))
+def snapshot_classes(snapshot: DataFrame, owned: Sequence[str] = (), excluded: Sequence[str] = ()) -> DataFrame:
+    """Total and claimed distinct devices by Priority, Shared and Backfill of a snapshot, through the state-aware filter:
+    excluded hosts left out, primary classes after dedup, interactive slots not Shared. Classes without rows are left out."""
+    rows = c.state_rows(c.prepare(snapshot, owned, excluded), ("Priority", "Shared", "Backfill"), ("",), ("AssignedGPUs", "State"))
+    gpus = rows.groupBy("class", "AssignedGPUs").agg(F.bool_or(F.coalesce(F.col("State") == "Claimed", F.lit(False))).alias("held"))
+    known = F.col("AssignedGPUs").isNotNull()
+    return gpus.groupBy("class").agg(F.count("AssignedGPUs").alias("total"), F.count_if(F.col("held") & known).alias("claimed"))
 
 
 def inactive_devices(snapshot: DataFrame) -> DataFrame:
@@ -134,6 +141,12 @@ def open_backfill_machines(rows: DataFrame) -> DataFrame:
     return rows.groupBy("Machine").agg(F.mode("GPUs_DeviceName", True).alias("model"), F.count_distinct("AssignedGPUs").alias("gpus"), F.max("owned").alias("owned"))
 
 
+def open_backfill_user_machines(rows: DataFrame) -> DataFrame:
+    """Claimed observations and devices of each user on each machine."""
+    mine = rows.where("State = 'Claimed' and RemoteOwner != ''").groupBy("RemoteOwner", "Machine", "AssignedGPUs").agg(F.count(F.lit(1)).alias("n"))
+    return mine.groupBy("RemoteOwner", "Machine").agg(F.sum("n").alias("observations"), F.count("AssignedGPUs").alias("gpus"))
+
+
 def open_backfill_users(rows: DataFrame) -> DataFrame:
     """Users' shares of the claimed observations, with their machines."""
     mine = rows.where("State = 'Claimed' and RemoteOwner != ''").groupBy("RemoteOwner").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("Machine").alias("machines"))
