@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotscope.operators.asof import as_of
+
 #: Lines after a start that may describe it.
 CONTEXT = 24
 _TIME = r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)"
@@ -20,24 +22,37 @@ def _found(pattern: str, group: int = 1) -> Column:
     return F.when(v != "", v)
 
 
+#: Lines that a start or its description can be on.
+_MARKERS = r"^001 \(|SlotName: |AvailableGPUs = \{|GPUs_GPU_[a-f0-9]+ = \["
+
+
+def marked_lines(logs: DataFrame, pattern: str) -> DataFrame:
+    """(log, no, line) of the lines that match ``pattern``; the others are dropped before the array is taken apart."""
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), line.alias("line")))
+    return logs.select("log", F.explode(F.filter(numbered, lambda x: F.rlike(x["line"], F.lit(pattern)))).alias("x")).select("log", "x.no", "x.line")
+
+
 def starts(logs: DataFrame) -> DataFrame:
-    """(log, no, at, host, slot, gpu, device) of execution starts; details from the lines that follow.
+    """(log, no, at, host, slot, gpu, device) of execution starts; details from the ``CONTEXT`` lines that follow.
 
-    One log is one partition key, so a window stays within one file.
+    Only marker lines become rows. Context is a range of line numbers, so it means the same as over all
+    lines. One log is one partition key, so a window stays within one file.
     """
-    w = Window.partitionBy("log").orderBy("no").rowsBetween(1, CONTEXT)
-    near = lambda p: F.coalesce(F.first(_found(p), True).over(w), F.lit("Unknown"))
-    rows = lines(logs).select(
-        "log", "no", "line", _found(rf"^001 \(\d+\.\d+\.\d+\) {_TIME} Job executing on host").alias("t"), _found(r"alias=([^&>]+)").alias("host"), near(r"SlotName: (\S+)").alias("slot"),
-        near(r"AvailableGPUs = \{ *GPUs_GPU_([a-f0-9]+)").alias("gpu"), F.collect_list(F.struct(F.regexp_extract("line", r"GPUs_GPU_([a-f0-9]+) = \[", 1).alias("gpu"), F.regexp_extract("line", r'DeviceName = "([^"]+)"', 1).alias("device"))).over(w).alias("devices"),
-    ).where("t is not null")
-    device = F.get(F.filter("devices", lambda x: (x["gpu"] == F.col("gpu")) & (x["device"] != "")), F.lit(0))["device"]
+    rows = marked_lines(logs, _MARKERS).select(
+        "log", "no", _found(rf"^001 \(\d+\.\d+\.\d+\) {_TIME} Job executing on host").alias("t"), _found(r"alias=([^&>]+)").alias("host"), _found(r"SlotName: (\S+)").alias("slot"),
+        _found(r"AvailableGPUs = \{ *GPUs_GPU_([a-f0-9]+)").alias("gpu"), _found(r"GPUs_GPU_([a-f0-9]+) = \[").alias("of"), _found(r'DeviceName = "([^"]+)"').alias("device"),
+    )
+    w = Window.partitionBy("log").orderBy("no").rangeBetween(1, CONTEXT)
+    near = lambda c: F.coalesce(F.first(c, True).over(w), F.lit("Unknown"))
+    named = F.when(F.col("of").isNotNull() & F.col("device").isNotNull(), F.struct("of", "device"))  # nulls are not gathered
+    rows = rows.select("log", "no", "t", "host", near("slot").alias("slot"), near("gpu").alias("gpu"), F.collect_list(named).over(w).alias("devices")).where("t is not null")
+    device = F.get(F.filter("devices", lambda x: x["of"] == F.col("gpu")), F.lit(0))["device"]
     return rows.select("log", F.col("no").cast("bigint").alias("no"), F.col("t").try_cast("timestamp_ntz").alias("at"), F.coalesce("host", F.lit("Unknown")).alias("host"), "slot", "gpu", F.coalesce(device, F.lit("Unknown")).alias("device"))
 
 
 def evictions(logs: DataFrame) -> DataFrame:
     """(log, no, at, code) of evictions."""
-    rows = lines(logs).select("log", F.col("no").cast("bigint").alias("no"), _found(rf"^004 \(\d+\.\d+\.\d+\) {_TIME} Job was evicted").try_cast("timestamp_ntz").alias("at"), _found(r"evicted\. Code (\d+)").try_cast("bigint").alias("code"))
+    rows = marked_lines(logs, r"^004 \(").select("log", F.col("no").cast("bigint").alias("no"), _found(rf"^004 \(\d+\.\d+\.\d+\) {_TIME} Job was evicted").try_cast("timestamp_ntz").alias("at"), _found(r"evicted\. Code (\d+)").try_cast("bigint").alias("code"))
     return rows.where("at is not null")
 
 
@@ -71,22 +86,40 @@ def succeeded(logs: DataFrame) -> DataFrame:
     return logs.select("log", (F.rlike("text", F.lit(r"\n005 \(|^005 \(")) & F.rlike("text", F.lit(r"\(1\) Normal termination")) & F.rlike("text", F.lit(r"(?m)^001 \("))).alias("succeeded"))
 
 
+def host_matches(hosts: DataFrame, names: DataFrame) -> DataFrame:
+    """(host, StartdName, full) where the start daemon's name holds the host (full) or its part before the first dot, case ignored.
+
+    Holding is made an equality: each distinct name is taken apart into its parts of the lengths that
+    hosts have, and those are joined. Distinct names only; never names by hosts.
+    """
+    wanted = hosts.select("host").distinct().where("host is not null")
+    wanted = wanted.select("host", F.explode(F.array(F.struct(F.lower("host").alias("part"), F.lit(True).alias("full")), F.struct(F.lower(F.substring_index("host", ".", 1)).alias("part"), F.lit(False).alias("full")))).alias("w")).select("host", "w.*")
+    lengths = wanted.agg(F.collect_set(F.length("part")).alias("lengths"))  # as many as a host name has characters at most
+    names = names.select("StartdName").distinct().where("StartdName is not null").join(F.broadcast(lengths))
+    low, size = F.lower("StartdName"), F.length("StartdName")
+    parts = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(low, i, n))).otherwise(F.array().cast("array<string>")))))
+    held = names.select("StartdName", F.explode(parts).alias("part"))
+    return wanted.join(held, "part").groupBy("host", "StartdName").agg(F.bool_or("full").alias("h2"), F.bool_or(~F.col("full")).alias("h1"))
+
+
 def evicting_jobs(runs: DataFrame, jobs: DataFrame, minutes: int = 30) -> DataFrame:
     """For every eviction the job that likely caused it, with confidence and reasons.
 
-    Jobs queued in the ``minutes`` before an eviction are found by half-open time cells, an equi-join.
-    Of those, each narrower rule is used only where it leaves any: host, host's base name, slot, device.
-    The nearest in time wins.
+    Jobs queued in the ``minutes`` before an eviction, on a machine whose name holds the eviction's
+    host, are found by time cell and machine name, an equi-join: jobs of other machines never meet
+    the eviction. Of those, each narrower rule is used only where it leaves any: host, host's base
+    name, slot, device. The nearest in time wins. Whether any job at all was queued in time comes
+    from the latest queue time up to the eviction.
     """
     cell = minutes * 60
     ev = runs.withColumn("t", F.unix_timestamp(F.col("at").cast("timestamp")))
-    keyed = ev.withColumn("cell", F.explode(F.array(F.floor(F.col("t") / cell), F.floor(F.col("t") / cell) - 1)))
+    keyed = ev.join(host_matches(runs, jobs), "host").withColumn("cell", F.explode(F.array(F.floor(F.col("t") / cell), F.floor(F.col("t") / cell) - 1)))
     queue = jobs.select("ClusterId", "ProcId", "QDate", "StartdName", "StartdSlot", "AssignedGPUs", F.col("User").alias("job_user"), F.col("ProjectName").alias("job_project"), F.floor(F.col("QDate") / cell).alias("cell"))
-    pairs = keyed.join(queue, "cell").where((F.col("QDate") <= F.col("t")) & (F.col("QDate") >= F.col("t") - cell))
+    pairs = keyed.join(queue, ["cell", "StartdName"]).where((F.col("QDate") <= F.col("t")) & (F.col("QDate") >= F.col("t") - cell))
     key = ("log", "eviction")
     has = lambda hay, needle: F.coalesce(F.contains(F.lower(hay), F.lower(needle)), F.lit(False))
     slot, gpu = F.substring_index("slot", "@", 1), F.regexp_extract("AssignedGPUs", "GPU-([a-f0-9]+)", 1)
-    flags = pairs.withColumns({"h2": has(F.col("StartdName"), F.col("host")), "h1": has(F.col("StartdName"), F.substring_index("host", ".", 1)), "s": has(F.col("StartdSlot"), slot) & (F.col("slot") != "Unknown"), "g": (gpu == F.col("gpu")) & (F.col("gpu") != "Unknown")})
+    flags = pairs.withColumns({"s": has(F.col("StartdSlot"), slot) & (F.col("slot") != "Unknown"), "g": F.coalesce(gpu == F.col("gpu"), F.lit(False)) & (F.col("gpu") != "Unknown")})
     w = Window.partitionBy(*key)
     hosted = flags.withColumn("any_h2", F.max("h2").over(w)).where(F.when(F.col("any_h2"), F.col("h2")).otherwise(F.col("h1")))
     slotted = hosted.withColumn("any_s", F.max("s").over(w)).where(~F.col("any_s") | F.col("s"))
@@ -96,8 +129,10 @@ def evicting_jobs(runs: DataFrame, jobs: DataFrame, minutes: int = 30) -> DataFr
     level = F.when(F.col("diff") > 15 * 60, "low").when(known & F.col("g"), "high").when(known, "medium").otherwise("low")
     reason = F.array_join(F.array_compact(F.array(F.when(known & F.col("g"), "exact_gpu_match").when(known, "host_time_match").otherwise("host_time_only"), F.when((F.col("slot") != "Unknown") & F.contains(F.coalesce("StartdSlot", F.lit("")), slot), "slot_match"), F.when(F.col("diff") <= 5 * 60, "close_time_match"))), ",")
     chosen = best.select(*key, F.concat_ws(".", "ClusterId", "ProcId").alias("evicting_job"), "job_user", "job_project", level.alias("c"), reason.alias("r"), (F.col("diff") / 60).alias("minutes"))
-    candidates = pairs.select(*key).distinct().withColumn("some", F.lit(True))
-    out = runs.join(chosen, list(key), "left").join(candidates, list(key), "left")
+    queued = jobs.where("QDate is not null").select(F.timestamp_seconds(F.floor("QDate")).cast("timestamp_ntz").alias("queued")).distinct()
+    timed = as_of(runs, queued, "at", "queued", [])
+    some = F.col("queued").isNotNull() & (F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.col("queued").cast("timestamp")) <= cell)
+    out = timed.withColumn("some", some).join(chosen, list(key), "left")
     none = F.when(F.col("some"), "no_match").otherwise("no_candidates")
     return out.select(*runs.columns, "evicting_job", "job_user", "job_project", F.coalesce("c", none).alias("confidence"), F.coalesce("r", F.lit("")).alias("reason"), "minutes")
 
