@@ -107,11 +107,9 @@ def _d(*names: str) -> str:
 
 def _state_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    parts = [c.state_filter(fr, k, s).select(F.lit(k).alias("class"), F.lit(s).alias("s"), "AssignedGPUs", "State") for k in c.STATE_AWARE for s in ("Claimed", "Unclaimed", "")]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("class", "s", "State").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("AssignedGPUs").alias("gpus"))
+    rows = c.state_rows(fr, c.STATE_AWARE, ("Claimed", "Unclaimed", ""), ("AssignedGPUs", "State"))
+    gpus = rows.groupBy("class", "s", "State", "AssignedGPUs").agg(F.count(F.lit(1)).alias("n"))
+    return gpus.groupBy("class", "s", "State").agg(F.sum("n").alias("rows"), F.count("AssignedGPUs").alias("gpus"))
 
 
 def _simple(policy: str):
@@ -138,6 +136,8 @@ def _simple_sql(policy: str) -> str:
     return f"WITH {x.RAW_SQL}, {simple_sql(policy)} SELECT State, is_bf AS backfill, CAST(rank AS BIGINT) AS rank, count(*) AS n, count(DISTINCT AssignedGPUs) AS gpus, count(DISTINCT Name) AS names FROM s GROUP BY ALL"
 
 
+#: Compute capability by model; unknown models have none.
+_CAPABILITY = "CASE GPUs_DeviceName WHEN 'NVIDIA H200' THEN 9.0 WHEN 'NVIDIA A100-SXM4-80GB' THEN 8.0 WHEN 'NVIDIA L40S' THEN 8.9 WHEN 'NVIDIA A40' THEN 8.6 END"
 _DEDUP_COLS = ("timestamp", "AssignedGPUs", "Name", "State", "Machine", "RemoteOwner", "GlobalJobId", "rank")
 
 QUERIES = {
@@ -166,6 +166,7 @@ QUERIES = {
     "a5_device_users": lambda s, p: rounded(a.device_users(frames(s, p), hours_back=24)),
     "a6_backfill_users": lambda s, p: rounded(a.backfill_users(frames(s, p), hours_back=24)),
     "a7_idle_machines": lambda s, p: rounded(a.idle_machines(frames(s, p))),
+    "a7_idle_totals": lambda s, p: a.idle_totals(a.idle_machines(frames(s, p))),
     "a8_prevented_hosts": lambda s, p: a.prevented_hosts(frames(s, p).raw),
     "a8_prevented_totals": lambda s, p: a.prevented_totals(frames(s, p).raw),
     "a9_prevented_reasons": lambda s, p: a.prevented_reasons(frames(s, p).raw),
@@ -182,6 +183,7 @@ QUERIES = {
     "a17_category_audit": lambda s, p: a.category_audit(frames(s, p)),
     "a18_count_anomalies": lambda s, p: a.count_anomalies(frames(s, p), "NVIDIA H200", 3),
     "a19_device_counts": lambda s, p: a.device_counts(frames(s, p), "Priority", "Unclaimed"),
+    "a19_capability_histogram": lambda s, p: rounded(a.value_histogram(x.slots(s, p).select(F.expr(_CAPABILITY).alias("capability")), "capability")),
     "a20_binned_usage": lambda s, p: a.binned_usage(frames(s, p), "Priority", "GPUs_DeviceName"),
 }
 
@@ -190,7 +192,26 @@ _MEM = "CASE WHEN GPUs_GlobalMemoryMb IS NULL THEN 'Unknown' WHEN GPUs_GlobalMem
 _DAY = f"""{_CLS}, {filters_sql()}, g AS (SELECT class, bucket, AssignedGPUs, bool_or(State = 'Claimed') AS c FROM f WHERE class IN ('Backfill-ResearcherOwned', 'Backfill-PoolOwned', 'Backfill-OpenCapacity') AND s = '' AND AssignedGPUs IS NOT NULL GROUP BY ALL),
 p AS (SELECT class, bucket, count(*) AS t, count(*) FILTER (c) AS c FROM g GROUP BY ALL),
 day AS (SELECT class, date_trunc('day', bucket)::TIMESTAMP AS day, avg(c) AS avg_claimed, avg(t) AS avg_total, avg(c) / avg(t) * 100 AS utilization_percent FROM p GROUP BY 1, 2)"""
-_SHIFTED = x.classes_sql("Machine, GPUs_DeviceName").replace("slots AS (SELECT Name", "slots AS (SELECT * FROM (SELECT Name", 1).replace("PreventJobsReason, timestamp FROM slots0)", "PreventJobsReason, timestamp + INTERVAL 28 DAY AS timestamp FROM slots0) WHERE timestamp BETWEEN (SELECT date_trunc('month', max(timestamp + INTERVAL 28 DAY)) - INTERVAL 1 MONTH FROM slots0) AND (SELECT date_trunc('month', max(timestamp + INTERVAL 28 DAY)) FROM slots0))", 1)
+_LAST_MONTH = "timestamp BETWEEN (SELECT date_trunc('month', max(timestamp + INTERVAL 28 DAY)) - INTERVAL 1 MONTH FROM slots0) AND (SELECT date_trunc('month', max(timestamp + INTERVAL 28 DAY)) FROM slots0)"
+
+
+def _shifted(sql: str) -> str:
+    """The query over snapshots 28 days later, of the month before the last."""
+    sql = sql.replace("slots AS (SELECT Name", "slots AS (SELECT * FROM (SELECT Name", 1)
+    return sql.replace("PreventJobsReason, timestamp FROM slots0)", f"PreventJobsReason, timestamp + INTERVAL 28 DAY AS timestamp FROM slots0) WHERE {_LAST_MONTH})", 1)
+
+
+_NEW_ONLY = "NOT regexp_matches(coalesce(GPUs_DeviceName, ''), 'GTX 1080|P100|Quadro|A30|A40')"
+_MONTH_DEVICES = _shifted(f"WITH {x.classes_sql('Machine, GPUs_DeviceName')}, b AS ({_STATS.format(by='class, GPUs_DeviceName', rows='cls')}) SELECT class, GPUs_DeviceName AS device, {_averages_sql(_W)} FROM b WHERE {_NEW_ONLY} GROUP BY class, GPUs_DeviceName")
+_MONTH_MEMORY = _shifted(f"WITH {x.DEDUP_SQL}, m AS (SELECT *, {_MEM} AS memory_category FROM dedup WHERE NOT is_bf AND (prio OR (shared AND NOT is_inter)) AND {_NEW_ONLY}), b AS ({_STATS.format(by='memory_category', rows='m')}) SELECT memory_category, {_averages_sql('count(*)')} FROM b GROUP BY memory_category")
+_MONTH_USERS = _shifted(f"""WITH {x.classes_sql('Machine', "GPUs_DeviceName = 'NVIDIA H200'")}, u AS ({_USERS.format(where="GPUs_DeviceName = 'NVIDIA H200'")}) {_BREAKDOWN.format(denominator="GPUs_DeviceName = 'NVIDIA H200'").replace("24.0", "744.0")}""")
+_MONTH_COVERAGE = _shifted(f"""WITH {x.RAW_SQL} SELECT strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS k1, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS k2, count(*) AS total, count(DISTINCT bucket) AS buckets FROM raw""")
+_SHARES = "avg_claimed AS v1, avg_drained AS v2, avg_total_available AS v3, allocation_usage_percent AS v4, drained_percent AS v5"
+_NO_MORE = "CAST(NULL AS DOUBLE) AS v4, CAST(NULL AS DOUBLE) AS v5"
+_MONTH_REPORT = f"""SELECT 'device' AS section, class AS k1, device AS k2, {_SHARES} FROM ({_MONTH_DEVICES})
+UNION ALL SELECT 'memory', memory_category, NULL, {_SHARES} FROM ({_MONTH_MEMORY})
+UNION ALL SELECT 'user', user, class, gpu_hours, percentage, total_gpu_hours, {_NO_MORE} FROM ({_MONTH_USERS})
+UNION ALL SELECT 'coverage', k1, k2, CAST(total AS DOUBLE), CAST(buckets AS DOUBLE), CAST(NULL AS DOUBLE), {_NO_MORE} FROM ({_MONTH_COVERAGE})"""
 
 ORACLE_SQL = {
     "s1_window_scan": f"WITH {x.SLOTS_SQL} SELECT timestamp, Machine, Name, State, AssignedGPUs FROM slots WHERE timestamp BETWEEN (SELECT max(timestamp) FROM slots) - INTERVAL 48 HOUR AND (SELECT max(timestamp) FROM slots)",
@@ -236,9 +257,17 @@ ORACLE_SQL = {
     "a15_backfill_totals_summary": f"""{_DAY}, total AS (SELECT day, sum(avg_claimed) AS c, sum(avg_total) AS t FROM day GROUP BY day)
         SELECT 'All' AS class, round(avg(c / t * 100), 6) AS mean_percent, round(max(c / t * 100), 6) AS max_percent, round(avg(t), 6) AS mean_total, round(max(c), 6) AS max_claimed, count(*) AS days FROM total""",
     "a15_backfill_day_summary": f"{_DAY} SELECT class, round(avg(utilization_percent), 6) AS mean_percent, round(max(utilization_percent), 6) AS max_percent, round(avg(avg_total), 6) AS mean_total, round(max(avg_claimed), 6) AS max_claimed, count(*) AS days FROM day GROUP BY class",
-    "a16_monthly_summary": f"WITH {_SHIFTED}, b AS ({_STATS.format(by='class, GPUs_DeviceName', rows='cls')}) SELECT class, GPUs_DeviceName AS device, {_averages_sql(_W)} FROM b GROUP BY class, GPUs_DeviceName",
+    "a16_monthly_summary": _MONTH_DEVICES,
+    "a16_monthly_report": _MONTH_REPORT,
     "a17_category_audit": f"{_CLS}, {filters_sql()} SELECT class, s AS state, count(*) AS rows, count(DISTINCT AssignedGPUs) AS gpus FROM f WHERE s != '' AND class IN ('Priority', 'Shared', 'Backfill') GROUP BY ALL",
     "a18_count_anomalies": counts_sql(a.THREE_CLASSES, where="GPUs_DeviceName = 'NVIDIA H200'") + " SELECT class, bucket, claimed, unclaimed, claimed + unclaimed AS total FROM k WHERE claimed + unclaimed != 3",
     "a19_device_counts": f"{_CLS}, {filters_sql()} SELECT GPUs_DeviceName, prio, count(*) AS rows FROM f WHERE class = 'Priority' AND s = 'Unclaimed' GROUP BY ALL",
     "a20_binned_usage": counts_sql(("Priority",), "GPUs_DeviceName") + " SELECT bucket, GPUs_DeviceName, claimed AS used, claimed + unclaimed AS total FROM k WHERE NOT regexp_matches(GPUs_DeviceName, 'GTX 1080|P100|Quadro|A30|A40')",
 }
+ORACLE_SQL["a7_idle_totals"] = f"""WITH idle AS ({ORACLE_SQL["a7_idle_machines"]})
+SELECT gpu_model, NULL AS project, count(*) AS machines, CAST(sum(total_gpus) AS BIGINT) AS gpus_idle FROM idle GROUP BY gpu_model
+UNION ALL SELECT NULL, project, count(*), CAST(sum(total_gpus) AS BIGINT) FROM (SELECT total_gpus, unnest(CASE WHEN prioritized_projects = '' THEN ['None'] ELSE string_split(prioritized_projects, ',') END) AS project FROM idle) GROUP BY project
+UNION ALL SELECT NULL, NULL, count(*), CAST(coalesce(sum(total_gpus), 0) AS BIGINT) FROM idle"""
+ORACLE_SQL["a19_capability_histogram"] = f"""WITH {x.SLOTS_SQL}, c AS (SELECT CAST({_CAPABILITY} AS DOUBLE) AS v FROM slots), z AS (SELECT min(v) AS a, max(v) AS b FROM c),
+h AS (SELECT least(CAST(floor((v - a) / (b - a) * 20) AS BIGINT) + 1, 20) AS bin, count(*) AS n FROM c, z WHERE v IS NOT NULL GROUP BY 1)
+SELECT g.bin, round(a + (b - a) / 20 * (g.bin - 1), 6) AS lo, round(a + (b - a) / 20 * g.bin, 6) AS hi, coalesce(n, 0) AS n FROM (SELECT unnest(range(1, 21)) AS bin) g, z LEFT JOIN h ON h.bin = g.bin"""

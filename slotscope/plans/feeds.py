@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotscope.operators import allocation
 from slotscope.operators import queue as q
 from slotscope.plans import fixtures as x
+from slotscope.plans.allocation import rounded
 from slotscope.sources import jobs as src
 from slotscope.sources import snapshots
 from slotscope.streaming import streams
@@ -33,6 +35,28 @@ def stored_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("Machine", "State").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tolerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a window from stored snapshots beside a file that is no Parquet file, one without rows and one that isn't there: (Machine, n), the warnings as null."""
+    path, odd = _folder(spark, "slots"), _folder(spark, "odd")
+    x.slots(spark, sf_dir).write.parquet(path)
+    x.slots(spark, sf_dir).limit(0).coalesce(1).write.parquet(f"{odd}/empty")
+    x.slots(spark, sf_dir).select("Name").limit(3).coalesce(1).write.text(f"{odd}/text")
+    rows, warnings = snapshots.tolerant(spark, [path, f"{odd}/empty", f"{odd}/text", f"{odd}/nothing"], dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 5))
+    counts = rows.groupBy("Machine").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(warnings.agg(F.lit(None).cast("string").alias("Machine"), F.count(F.lit(1)).alias("n")))
+
+
+def monthly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of a month's report over snapshots stored by month, as one frame.
+
+    The parts stay persisted, as the caller has the frame still to compute; Spark drops them with the session.
+    """
+    path = _folder(spark, "months")
+    snapshots.append(x.slots(spark, sf_dir).withColumn("timestamp", F.expr("timestamp + interval 28 days")), path)
+    report = allocation.monthly_report(spark, path, x.OWNED, x.EXCLUDED)
+    return rounded(report.table())
+
+
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy rows with text times, some bad, through the import."""
     text = F.when(F.length("Name") % 7 == 0, "bad").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
@@ -129,6 +153,8 @@ UNION ALL SELECT GlobalJobId, Owner, RequestGPUs, Project, 1706000000, 170600000
 QUERIES = {
     "s3_s6_stored_window": stored_window,
     "s4_imported_rows": imported,
+    "s7_tolerant_load": tolerated,
+    "a16_monthly_report": monthly_report,
     "s5_ingested_rows": ingested,
     "s9_s10_csv_round_trip": csv_round_trip,
     "s11_log_files": log_files,
@@ -140,6 +166,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "s3_s6_stored_window": f"WITH {x.SLOTS_SQL} SELECT Machine, State, count(*) AS n FROM slots WHERE timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-04 12:00:00' GROUP BY ALL",
+    "s7_tolerant_load": f"WITH {x.SLOTS_SQL} SELECT Machine, count(*) AS n FROM slots WHERE timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05' GROUP BY Machine UNION ALL SELECT NULL, 2",
     "s4_imported_rows": f"WITH {x.SLOTS_SQL} SELECT Machine, count(*) AS n, count(*) FILTER (length(Name) % 7 != 0) AS timed FROM slots GROUP BY Machine",
     "s5_ingested_rows": f"WITH {x.RAW_SQL}, k AS (SELECT Machine, unnest(CASE WHEN is_bf THEN [AssignedGPUs, 'GPU-x' || substr(Machine, 5)] ELSE [AssignedGPUs, 'GPU-y'] END) AS AssignedGPUs FROM raw WHERE AssignedGPUs IS NOT NULL) SELECT Machine, AssignedGPUs, count(*) AS n FROM k GROUP BY ALL",
     "s9_s10_csv_round_trip": f"WITH {x.JOBS_SQL} SELECT StartdName, 'UNKNOWN' AS ProjectName, count(*) AS jobs, sum(RequestGpus) AS gpus FROM jobs WHERE RequestGpus > 0 AND RecordTime >= 1705000000 AND RecordTime < 1706000000 GROUP BY 1",

@@ -56,6 +56,23 @@ slots AS (SELECT Name, AssignedGPUs, State, GPUs_DeviceName, CAST(GPUs_GlobalMem
   CASE WHEN State = 'Claimed' THEN l_orderkey || '.0' END AS GlobalJobId,
   CASE WHEN round(l_tax * 100) = 8 THEN 'INF-1' WHEN round(l_tax * 100) = 7 THEN '  ' END AS PreventJobsReason, timestamp FROM slots0)"""
 
+def mixed_projects(slots: DataFrame) -> DataFrame:
+    """Snapshots whose backfill rows have no project of their own, and whose primary rows of one device differ."""
+    return slots.withColumn("PrioritizedProjects", F.expr(_MIXED))
+
+
+_MIXED = "CASE WHEN Name LIKE 'backfill%' THEN NULL WHEN Name LIKE 'slot1_5@%' THEN '' WHEN Name LIKE 'interactive1_2@%' THEN 'ProjX' ELSE PrioritizedProjects END"
+MIXED_SQL = f"{SLOTS_SQL},\nmixed AS (SELECT * REPLACE ({_MIXED} AS PrioritizedProjects) FROM slots)"
+
+
+def idle_hosts(slots: DataFrame) -> DataFrame:
+    """Snapshots in which two hosts, one with a project, never have a device claimed."""
+    return slots.withColumn("State", F.expr(_IDLE))
+
+
+_IDLE = "CASE WHEN Machine IN ('host4', 'host20') THEN 'Unclaimed' ELSE State END"
+IDLE_SQL = f"{SLOTS_SQL},\nidle AS (SELECT * REPLACE ({_IDLE} AS State) FROM slots)"
+
 _OWNED = ", ".join(f"'{h}'" for h in OWNED)
 RAW_SQL = f"""{SLOTS_SQL},
 raw AS (SELECT *, time_bucket(INTERVAL '15 minutes', timestamp) AS bucket, coalesce(contains(Name, 'backfill'), false) AS is_bf, coalesce(contains(Name, 'interactive'), false) AS is_inter,

@@ -74,8 +74,28 @@ def _type_sql(by: str) -> str:
 
 _EFF = f"""WITH {x.RAW_SQL}, sn AS (SELECT timestamp, count(DISTINCT AssignedGPUs) FILTER (NOT is_bf) - count(DISTINCT AssignedGPUs) FILTER (NOT is_bf AND State = 'Claimed' AND NOT regexp_matches(Name, '^slot\\d+@')) AS unused, count(DISTINCT AssignedGPUs) FILTER (is_bf) AS backfill FROM raw WHERE Machine = 'host5' GROUP BY 1),
 ef AS (SELECT timestamp, unused, backfill, backfill / unused * 100 AS efficiency FROM sn WHERE unused > 0)"""
-_NEVER = f"""WITH {x.SLOTS_SQL}, nc AS (SELECT Machine, AssignedGPUs, arg_max(GPUs_DeviceName, timestamp) AS device, count(*) AS records, count(*) FILTER (State = 'Claimed') AS claimed FROM slots WHERE AssignedGPUs IS NOT NULL AND timestamp >= (SELECT max(timestamp) FROM slots) - INTERVAL 24 HOUR GROUP BY ALL),
+_NEVER = f"""WITH {x.IDLE_SQL}, nc AS (SELECT Machine, AssignedGPUs, arg_max(GPUs_DeviceName, timestamp) AS device, count(*) AS records, count(*) FILTER (State = 'Claimed') AS claimed,
+  coalesce(list(DISTINCT trim(PrioritizedProjects)) FILTER (trim(coalesce(PrioritizedProjects, '')) != ''), []) AS ps FROM idle WHERE AssignedGPUs IS NOT NULL AND timestamp >= (SELECT max(timestamp) FROM slots) - INTERVAL 24 HOUR GROUP BY ALL),
 nt AS (SELECT *, CASE WHEN regexp_matches(device, 'H100|H200|A100-SXM4-80GB|A100 80GB') THEN 'Flagship' ELSE 'Standard' END AS tier FROM nc)"""
+_CATEGORY = f"""WITH {x.MIXED_SQL},
+pp AS (SELECT timestamp AS t, AssignedGPUs AS g, max(coalesce(PrioritizedProjects, '')) AS p FROM mixed WHERE NOT regexp_matches(Name, '(?i)backfill') AND AssignedGPUs IS NOT NULL GROUP BY ALL),
+ct AS (SELECT mixed.*, contains(Name, 'backfill') AS is_bf, CASE WHEN coalesce(p, PrioritizedProjects, '') = '' THEN 'Open Capacity' ELSE 'Researcher Owned' END AS machine_category,
+  CASE WHEN coalesce(PrioritizedProjects, '') = '' THEN 'Open Capacity' ELSE 'Researcher Owned' END AS own_category FROM mixed LEFT JOIN pp ON timestamp = t AND AssignedGPUs = g)"""
+
+
+def _type_category_sql(category: str) -> str:
+    """The type summary over the devices of a machine category."""
+    return _type_sql("GPUs_DeviceName").replace(f"WITH {x.RAW_SQL}", f"{_CATEGORY}, raw AS (SELECT * FROM ct WHERE machine_category = '{category}')", 1)
+
+
+def _by_project_sql(category: str) -> str:
+    return f"""{_CATEGORY}, sn AS (SELECT Machine, {category} AS machine_category, timestamp, count(DISTINCT AssignedGPUs) FILTER (NOT is_bf) AS p,
+      count(DISTINCT AssignedGPUs) FILTER (NOT is_bf AND State = 'Claimed' AND NOT regexp_matches(Name, '^slot\\d+@')) AS pc, count(DISTINCT AssignedGPUs) FILTER (is_bf) AS b FROM ct GROUP BY ALL),
+    ag AS (SELECT Machine, machine_category, count(*) AS intervals, count(*) FILTER (p > pc) AS with_unused, avg(p) AS ap, avg(pc) AS apc, avg(b) AS ab, coalesce(avg(p - pc) FILTER (p > pc), 0) AS au, coalesce(avg(b) FILTER (p > pc), 0) AS bu FROM sn GROUP BY ALL)
+    SELECT Machine, machine_category, intervals, with_unused, round(ap, 6) AS avg_primary_available, round(apc, 6) AS avg_primary_claimed, round(ab, 6) AS avg_backfill_available, round(au, 6) AS avg_unused, round(bu, 6) AS avg_backfill_when_unused,
+      round(CASE WHEN au > 0 THEN bu / au * 100 ELSE 0 END, 6) AS efficiency FROM ag"""
+
+
 _CONC = f"WITH {x.SLOTS_SQL}, cc AS (SELECT time_bucket(INTERVAL '15 minutes', timestamp) AS bucket, RemoteOwner, count(DISTINCT GlobalJobId) AS jobs, count(*) AS gpu_rows, count(DISTINCT GPUs_DeviceName) AS kinds FROM slots WHERE State = 'Claimed' AND RemoteOwner != '' GROUP BY ALL)"
 _OPEN = f"""WITH {x.RAW_SQL}, {pa.simple_sql('three_tier')}, sn AS (SELECT timestamp, split_part(RemoteOwner, '@', 1) AS user, count(DISTINCT AssignedGPUs) AS n FROM s WHERE State = 'Claimed' AND NOT is_bf AND coalesce(PrioritizedProjects, '') = '' AND RemoteOwner != '' GROUP BY ALL),
 os AS (SELECT time_bucket(INTERVAL '15 minutes', timestamp) AS bucket, user, max(n) AS gpus FROM sn GROUP BY ALL)"""
@@ -87,6 +107,12 @@ def _conc(s, p):
     return rows.select("bucket", "RemoteOwner", "jobs", "gpu_rows", F.size("devices").cast("bigint").alias("kinds"))
 
 
+def _never(s, p):
+    return w.never_claimed(snapshots.window(x.idle_hosts(x.slots(s, p))))
+
+
+_PEAKS = f"{_OPEN}, bp AS (SELECT bucket, gpus AS peak, user FROM os QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY gpus DESC, user) = 1)"
+
 QUERIES = {
     "w1_category_buckets": _buckets,
     "w1_category_means": lambda s, p: rounded(w.category_means(_buckets(s, p))),
@@ -104,14 +130,23 @@ QUERIES = {
     "w11_period_efficiency": lambda s, p: rounded(w.period_efficiency(w.period_jobs(x.slots(s, p), START, END), w.available_hours(x.slots(s, p), START, END))),
     "w12_type_summary": lambda s, p: rounded(w.type_summary(x.slots(s, p))),
     "w12_type_summary_machines": lambda s, p: rounded(w.type_summary(x.slots(s, p), ("GPUs_DeviceName", "Machine"))),
+    "w12_type_summary_open": lambda s, p: rounded(w.type_summary(x.mixed_projects(x.slots(s, p)), category=w.OPEN)),
+    "w12_type_summary_researcher": lambda s, p: rounded(w.type_summary(x.mixed_projects(x.slots(s, p)), category=w.RESEARCHER)),
+    "w13_efficiency_by_project": lambda s, p: rounded(w.efficiency_by_project(x.mixed_projects(x.slots(s, p)))),
+    "w13_efficiency_by_category": lambda s, p: rounded(w.efficiency_by_project(x.mixed_projects(x.slots(s, p)), propagate=True)),
     "w13_snapshot_efficiency": lambda s, p: rounded(w.efficiency_summary(w.snapshot_efficiency(x.slots(s, p), "host5"))),
     "w13_top_efficiency": lambda s, p: rounded(w.snapshot_efficiency(x.slots(s, p), "host5").orderBy(F.desc("efficiency"), "timestamp").limit(10)),
-    "w14_never_claimed": lambda s, p: w.never_claimed(snapshots.window(x.slots(s, p))).where("claimed = 0").select("Machine", "AssignedGPUs", "tier", "records"),
-    "w14_never_claimed_summary": lambda s, p: rounded(w.never_claimed_summary(w.never_claimed(snapshots.window(x.slots(s, p))))),
+    "w14_never_claimed": lambda s, p: _never(s, p).where("claimed = 0").select("Machine", "AssignedGPUs", "tier", "records"),
+    "w14_never_claimed_summary": lambda s, p: rounded(w.never_claimed_summary(_never(s, p))),
+    "w14_unused_hosts": lambda s, p: w.never_claimed_hosts(_never(s, p)),
+    "w14_unused_devices": lambda s, p: w.never_claimed_devices(_never(s, p)),
     "w15_concurrency": _conc,
     "w16_top_users": lambda s, p: rounded(w.top_users(w.concurrency(x.slots(s, p)), "gpu_rows")),
     "w17_open_user_series": lambda s, p: w.open_user_series(x.slots(s, p)),
     "w17_open_user_peaks": lambda s, p: rounded(w.open_user_peaks(w.open_user_series(x.slots(s, p)))),
+    "w17_open_user_pivot": lambda s, p: w.open_user_pivot(w.open_user_series(x.slots(s, p)), 5, names=False),
+    "w17_bucket_peaks": lambda s, p: w.bucket_peaks(w.open_user_series(x.slots(s, p))),
+    "w17_overall_peak": lambda s, p: w.overall_peak(w.bucket_peaks(w.open_user_series(x.slots(s, p)))),
     "w18_class_quartiles": lambda s, p: rounded(w.class_quartiles(a.usage_series(frames(s, p)), ("priority", "shared", "backfill"))),
     "w19_device_matrix": lambda s, p: rounded(w.device_matrix(a.by_device_three(frames(s, p)), a.THREE_CLASSES)),
 }
@@ -132,14 +167,26 @@ ORACLE_SQL = {
     "w11_period_efficiency": f"{_PERIOD}, z AS (SELECT jobs AS aj, gpu_hours AS ah FROM per WHERE category = 'total') SELECT category, round(jobs / aj * 100, 6) AS job_share, round(gpu_hours / ah * 100, 6) AS hour_share, round(ah / available_hours * 100, 6) AS efficiency FROM per, z, av WHERE category != 'total'",
     "w12_type_summary": _type_sql("GPUs_DeviceName"),
     "w12_type_summary_machines": _type_sql("GPUs_DeviceName, Machine"),
+    "w12_type_summary_open": _type_category_sql("Open Capacity"),
+    "w12_type_summary_researcher": _type_category_sql("Researcher Owned"),
+    "w13_efficiency_by_project": _by_project_sql("own_category"),
+    "w13_efficiency_by_category": _by_project_sql("machine_category"),
     "w13_snapshot_efficiency": f"{_EFF} SELECT count(*) AS snapshots, round(min(efficiency), 6) AS least, round(max(efficiency), 6) AS most, round(avg(efficiency), 6) AS mean, round(median(efficiency), 6) AS median, count(*) FILTER (efficiency > 100) AS over_100 FROM ef",
     "w13_top_efficiency": f"{_EFF} SELECT timestamp, unused, backfill, round(efficiency, 6) AS efficiency FROM ef ORDER BY ef.efficiency DESC, timestamp LIMIT 10",
     "w14_never_claimed": f"{_NEVER} SELECT Machine, AssignedGPUs, tier, records FROM nt WHERE claimed = 0",
     "w14_never_claimed_summary": f"{_NEVER} SELECT tier, count(*) AS gpus, count(*) FILTER (claimed = 0) AS unused, round((count(*) - count(*) FILTER (claimed = 0)) / count(*) * 100, 6) AS used_percent FROM nt GROUP BY ROLLUP (tier)",
+    "w14_unused_hosts": f"""{_NEVER} SELECT tier, device, Machine, count(*) AS unused, (SELECT count(*) FROM nt z WHERE z.Machine = nt.Machine) AS "of",
+        coalesce(nullif(array_to_string(list_sort(list_distinct(flatten(list(ps)))), ', '), ''), 'None (Open Capacity)') AS projects, string_agg(AssignedGPUs, ', ' ORDER BY AssignedGPUs) AS gpus FROM nt WHERE claimed = 0 GROUP BY tier, device, Machine""",
+    "w14_unused_devices": f"{_NEVER} SELECT tier, device, count(*) AS gpus, count(*) FILTER (claimed = 0) AS unused, count(DISTINCT Machine) FILTER (claimed = 0) AS hosts FROM nt GROUP BY GROUPING SETS ((tier, device), (tier), ())",
     "w15_concurrency": f"{_CONC} SELECT * FROM cc",
     "w16_top_users": f"{_CONC} SELECT RemoteOwner, round(avg(gpu_rows), 6) AS mean, max(gpu_rows) AS most, count(*) AS windows FROM cc GROUP BY 1 ORDER BY avg(gpu_rows) DESC, 1 LIMIT 10",
     "w17_open_user_series": f"{_OPEN} SELECT * FROM os",
     "w17_open_user_peaks": f"{_OPEN}, f AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY gpus DESC, bucket) AS rn FROM os) SELECT user, max(gpus) AS peak, min(bucket) FILTER (rn = 1) AS at, round((sum(gpus) * 0.25)::DOUBLE, 6) AS gpu_hours FROM f GROUP BY user ORDER BY 2 DESC, 1 LIMIT 10",
+    "w17_open_user_pivot": f"{_OPEN}, pk AS (SELECT user, row_number() OVER (ORDER BY max(gpus) DESC, user) AS rank FROM os GROUP BY user), tp AS (SELECT * FROM pk WHERE rank <= 5) SELECT bucket, "
+    + ", ".join(f"coalesce(max(gpus) FILTER (rank = {i}), 0) AS u{i}" for i in range(1, 6))
+    + ", coalesce(max(gpus) FILTER (rank IS NULL), 0) AS others FROM os LEFT JOIN tp USING (user) GROUP BY bucket",
+    "w17_bucket_peaks": f"{_PEAKS} SELECT bucket, peak, user FROM bp",
+    "w17_overall_peak": f"{_PEAKS} SELECT peak, bucket, user FROM bp ORDER BY peak DESC, bucket, user LIMIT 1",
     "w18_class_quartiles": f"WITH series AS ({pa._SERIES_SQL}) " + " UNION ALL ".join(f"SELECT '{k}' AS class, round(avg({k}_usage_percent), 4) AS mean_percent, round(avg({k}_claimed), 6) AS mean_claimed, round(avg({k}_total), 6) AS mean_total, round(quantile_cont({k}_usage_percent, 0.25), 4) AS q1, round(quantile_cont({k}_usage_percent, 0.5), 4) AS median, round(quantile_cont({k}_usage_percent, 0.75), 4) AS q3 FROM series" for k in ("priority", "shared", "backfill")),
     "w19_device_matrix": "SELECT device, " + ", ".join(f"coalesce(max(allocation_usage_percent) FILTER (class = '{k}'), 0) AS \"{k}\"" for k in a.THREE_CLASSES) + f" FROM ({pa.ORACLE_SQL['a14_by_device_three']}) GROUP BY device",
 }
