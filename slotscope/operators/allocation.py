@@ -308,6 +308,19 @@ def category_audit(frames: c.Frames, classes: Sequence[str] = THREE_CLASSES) ->
     return gpus.groupBy("class", "state").agg(F.sum("n").alias("rows"), F.count("AssignedGPUs").alias("gpus"))
 
 
+def category_totals(frames: c.Frames, classes: Sequence[str] = THREE_CLASSES) -> DataFrame:
+    """(class, claimed, unclaimed, total, unique_gpus): rows in either state, and distinct devices over both."""
+    gpus = c.state_rows(frames, classes, ("Claimed", "Unclaimed"), ("AssignedGPUs",)).groupBy("class", "AssignedGPUs").agg(F.count_if(F.col("s") == "Claimed").alias("c"), F.count_if(F.col("s") == "Unclaimed").alias("u"))
+    distinct = F.count_if(F.col("AssignedGPUs") != "").alias("unique_gpus")
+    return gpus.groupBy("class").agg(F.sum("c").alias("claimed"), F.sum("u").alias("unclaimed"), F.sum(F.col("c") + F.col("u")).alias("total"), distinct)
+
+
+def category_slots(frames: c.Frames, classes: Sequence[str] = THREE_CLASSES) -> DataFrame:
+    """The slot rows behind ``category_audit``, one for each class and state that a row belongs to."""
+    columns = ("timestamp", "Name", "AssignedGPUs", "Machine", "GPUs_DeviceName", "PrioritizedProjects", "State")
+    return c.state_rows(frames, classes, ("Claimed", "Unclaimed"), columns).withColumnsRenamed({"s": "as_state"})
+
+
 def count_anomalies(frames: c.Frames, device: str, expected: int, classes: Sequence[str] = THREE_CLASSES) -> DataFrame:
     """Buckets in which a class has another number of the device than expected."""
     some = c.Frames(frames.raw, frames.dedup.where(F.col("GPUs_DeviceName") == device), frames.raw_backfill.where(F.col("GPUs_DeviceName") == device))

@@ -105,6 +105,15 @@ def backfill_only(frames: c.Frames) -> DataFrame:
     return only.groupBy("bucket", "Machine").agg(F.count(F.lit(1)).alias("gpus"))
 
 
+def backfill_only_projects(frames: c.Frames) -> DataFrame:
+    """(Machine, project, rows, gpus): backfill rows of devices that no priority row has, by machine and project (none: ``None``)."""
+    known = c.state_filter(frames, "Priority").where("AssignedGPUs is not null").select("AssignedGPUs").distinct()
+    only = c.state_filter(frames, "Backfill").where("AssignedGPUs is not null").join(known, "AssignedGPUs", "left_anti")
+    project = F.when(F.coalesce("PrioritizedProjects", F.lit("")) == "", "None").otherwise(F.col("PrioritizedProjects"))
+    gpus = only.groupBy("Machine", project.alias("project"), "AssignedGPUs").agg(F.count(F.lit(1)).alias("n"))
+    return gpus.groupBy("Machine", "project").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("gpus"))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     """Union by name; what one lacks is null."""
     out = frames[0]

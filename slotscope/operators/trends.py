@@ -167,6 +167,16 @@ def with_significance(trend: DataFrame) -> DataFrame:
     return trend.withColumns({"p_value": F.lit(float(p)), "significant": F.lit(p < 0.05)})
 
 
+def fitted_line(series: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y, fitted, residual): the series beside the straight line of ``linear_trend``; null where that has none."""
+    days = F.date_diff(F.col(x), F.col("first_day"))
+    one = linear_trend(series, x, y).select("slope", "intercept")
+    first = series.where(F.col(y).isNotNull()).agg(F.min(x).alias("first_day"))
+    rows = series.select(x, y).join(F.broadcast(one)).join(F.broadcast(first))  # a row each
+    line = F.col("intercept") + F.col("slope") * days
+    return rows.select(x, y, line.alias("fitted"), (F.col(y) - line).alias("residual"))
+
+
 def moving_average(series: DataFrame, x: str, y: str, rows: int = 4) -> DataFrame:
     """Trailing mean over ``rows`` rows, partial at the start; for small aggregated series."""
     return series.withColumn("moving_average", F.avg(y).over(Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(1 - rows, 0)))

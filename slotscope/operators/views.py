@@ -63,12 +63,30 @@ def timeline(slots: DataFrame, minutes: int = 5, policy: str = "unclaimed_primar
 
 
 def host_rollup(slots: DataFrame, min_gpus: int = 1) -> DataFrame:
-    """Hosts with at least ``min_gpus`` devices: devices (a null one counts), models, rows, claimed share."""
-    gpus = F.count_distinct("AssignedGPUs") + F.max(F.col("AssignedGPUs").isNull().cast("int"))
-    rows = slots.groupBy("Machine").agg(gpus.alias("gpus"), F.array_join(F.array_sort(F.collect_set("GPUs_DeviceName")), ", ").alias("models"), F.count(F.lit(1)).alias("rows"), F.avg((F.col("State") == "Claimed").cast("int")).alias("claimed_share"))
+    """Hosts with at least ``min_gpus`` devices: devices (a null one counts), models, rows, claimed share.
+
+    Rows are summed by host, device and model first, so no distinct count sees them.
+    """
+    per = slots.groupBy("Machine", "AssignedGPUs", "GPUs_DeviceName").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("State") == "Claimed").alias("held"), F.count("State").alias("known"))
+    gpus = per.groupBy("Machine", "AssignedGPUs").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.sum("known").alias("known"), F.collect_set("GPUs_DeviceName").alias("models"))
+    rows = gpus.groupBy("Machine").agg(
+        F.count(F.lit(1)).alias("gpus"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("models")))), ", ").alias("models"), F.sum("n").alias("rows"), (F.sum("held") / F.sum("known")).alias("claimed_share")
+    )
     return rows.where(F.col("gpus") >= min_gpus)
 
 
+def host_list(slots: DataFrame, min_gpus: int = 1) -> DataFrame:
+    """(Machine, gpus, device, rows, claimed_share): as ``host_rollup``, with the host's most frequent model (ties: the smallest; none: Unknown)."""
+    models = slots.where("GPUs_DeviceName is not null").groupBy("Machine", "GPUs_DeviceName").agg(F.count(F.lit(1)).alias("n"))
+    first = models.groupBy("Machine").agg(F.min(F.struct((-F.col("n")).alias("minus"), "GPUs_DeviceName")).alias("best")).select("Machine", F.col("best.GPUs_DeviceName").alias("device"))
+    return host_rollup(slots, min_gpus).join(first, "Machine", "left").select("Machine", "gpus", F.coalesce("device", F.lit("Unknown")).alias("device"), "rows", "claimed_share")
+
+
+def hosts_by_device(hosts: DataFrame) -> DataFrame:
+    """(device, hosts, gpus, mean_claimed_share) of ``host_list`` by model, and of all hosts together as null."""
+    return hosts.rollup("device").agg(F.count(F.lit(1)).alias("hosts"), F.sum("gpus").alias("gpus"), F.avg("claimed_share").alias("mean_claimed_share"))
+
+
 def prioritised_hosts(slots: DataFrame) -> DataFrame:
     return slots.where("PrioritizedProjects != ''").select("Machine").distinct()
 

@@ -181,6 +181,8 @@ QUERIES = {
     "a15_backfill_day_summary": lambda s, p: rounded(a.backfill_day_summary(a.backfill_by_day(frames(s, p)))),
     "a16_monthly_summary": lambda s, p: rounded(a.monthly_summary(x.slots(s, p).withColumn("timestamp", F.expr("timestamp + interval 28 days")), x.OWNED, x.EXCLUDED)),
     "a17_category_audit": lambda s, p: a.category_audit(frames(s, p)),
+    "a17_category_totals": lambda s, p: a.category_totals(frames(s, p)),
+    "a17_category_slots": lambda s, p: a.category_slots(frames(s, p)).groupBy("class", "as_state", "Machine", "State", "PrioritizedProjects").agg(F.count(F.lit(1)).alias("rows"), F.min("Name").alias("first_slot")),
     "a18_count_anomalies": lambda s, p: a.count_anomalies(frames(s, p), "NVIDIA H200", 3),
     "a19_device_counts": lambda s, p: a.device_counts(frames(s, p), "Priority", "Unclaimed"),
     "a19_capability_histogram": lambda s, p: rounded(a.value_histogram(x.slots(s, p).select(F.expr(_CAPABILITY).alias("capability")), "capability")),
@@ -260,6 +262,8 @@ ORACLE_SQL = {
     "a16_monthly_summary": _MONTH_DEVICES,
     "a16_monthly_report": _MONTH_REPORT,
     "a17_category_audit": f"{_CLS}, {filters_sql()} SELECT class, s AS state, count(*) AS rows, count(DISTINCT AssignedGPUs) AS gpus FROM f WHERE s != '' AND class IN ('Priority', 'Shared', 'Backfill') GROUP BY ALL",
+    "a17_category_totals": f"{_CLS}, {filters_sql()} SELECT class, count(*) FILTER (s = 'Claimed') AS claimed, count(*) FILTER (s = 'Unclaimed') AS unclaimed, count(*) AS total, count(DISTINCT AssignedGPUs) AS unique_gpus FROM f WHERE s != '' AND class IN ('Priority', 'Shared', 'Backfill') GROUP BY class",
+    "a17_category_slots": f"{_CLS}, {filters_sql().replace('prio, Machine', 'prio, Machine, Name, PrioritizedProjects')} SELECT class, s AS as_state, Machine, State, PrioritizedProjects, count(*) AS rows, min(Name) AS first_slot FROM f WHERE s != '' AND class IN ('Priority', 'Shared', 'Backfill') GROUP BY ALL",
     "a18_count_anomalies": counts_sql(a.THREE_CLASSES, where="GPUs_DeviceName = 'NVIDIA H200'") + " SELECT class, bucket, claimed, unclaimed, claimed + unclaimed AS total FROM k WHERE claimed + unclaimed != 3",
     "a19_device_counts": f"{_CLS}, {filters_sql()} SELECT GPUs_DeviceName, prio, count(*) AS rows FROM f WHERE class = 'Priority' AND s = 'Unclaimed' GROUP BY ALL",
     "a20_binned_usage": counts_sql(("Priority",), "GPUs_DeviceName") + " SELECT bucket, GPUs_DeviceName, claimed AS used, claimed + unclaimed AS total FROM k WHERE NOT regexp_matches(GPUs_DeviceName, 'GTX 1080|P100|Quadro|A30|A40')",

@@ -13,7 +13,7 @@ from slotscope.operators import queue as q
 from slotscope.plans import fixtures as x
 from slotscope.plans.allocation import rounded
 from slotscope.sources import jobs as src
-from slotscope.sources import snapshots
+from slotscope.sources import config, snapshots
 from slotscope.streaming import streams
 
 
@@ -57,6 +57,45 @@ def monthly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.table())
 
 
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts beside what configuration files, written from the tables, and an inline list say of them."""
+    machines = x.slots(spark, sf_dir).select("Machine").distinct()
+    owned, masked = _folder(spark, "owned"), _folder(spark, "masked")
+    lines = F.explode(F.array(F.concat(F.lit("  "), "Machine", F.lit(" ")), F.lit("")))
+    machines.where("Machine rlike '[37]$'").select(lines).write.text(owned)
+    listed = F.explode(F.array(F.lit("excluded_hosts:"), F.concat(F.lit("  "), "Machine", F.lit(": kept out as "), "Machine")))
+    machines.where("Machine rlike '1'").select(listed).write.text(masked)
+    reasons = config.host_exclusions(spark, masked, "host12:inline,host4").withColumnRenamed("pattern", "Machine")
+    mine = config.owned_hosts(spark, owned).withColumn("owned", F.lit(True))
+    return machines.join(mine, "Machine", "left").join(reasons, "Machine", "left").select("Machine", F.coalesce("owned", F.lit(False)).alias("owned"), "reason")
+
+
+def _advertised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.slots(spark, sf_dir).where("AssignedGPUs is not null")
+    listed = F.array(F.concat(F.lit("GPUs_GPU_"), F.substring_index("AssignedGPUs", "-", -1)), F.concat(F.lit("GPUs_GPU_x"), F.substring_index("Machine", "t", -1)))
+    ads = rows.withColumn("AvailableGPUs", listed).withColumn("AssignedGPUs", F.concat("AssignedGPUs", F.lit(", GPU_y")))
+    return ads.select("Name", "Machine", "State", "AvailableGPUs", "AssignedGPUs")
+
+
+def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advertisements that arrive as files, streamed into a month-partitioned table and read back."""
+    ads, path = _folder(spark, "ads"), _folder(spark, "ingested")
+    _advertised(spark, sf_dir).repartition(4).write.parquet(ads)
+    stream = streams.read(spark, ads, spark.read.parquet(ads).schema, files_per_trigger=2)
+    streams.ingest(stream, path, _folder(spark, "ingest-checkpoint")).awaitTermination()
+    return snapshots.read(spark, path).groupBy("Machine", "AssignedGPUs").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_live_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval that each job is in after the last batch of sightings."""
+    path = _folder(spark, "live")
+    x.sightings(spark, sf_dir).select("GlobalJobId", F.timestamp_seconds("seen").alias("seen")).repartitionByRange(4, "seen").write.parquet(path)
+    rows = spark.readStream.schema("GlobalJobId string, seen timestamp").parquet(path)
+    name = f"live_{uuid.uuid4().hex}"
+    out = streams.drain(streams.live_intervals(rows), name, _folder(spark, "live-checkpoint"), "update")
+    return out.groupBy("GlobalJobId").agg(F.max_by("first_seen", "last_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy rows with text times, some bad, through the import."""
     text = F.when(F.length("Name") % 7 == 0, "bad").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
@@ -67,10 +106,7 @@ def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advertisements with lists of devices, one row a device."""
-    rows = x.slots(spark, sf_dir).where("AssignedGPUs is not null")
-    listed = F.array(F.concat(F.lit("GPUs_GPU_"), F.substring_index("AssignedGPUs", "-", -1)), F.concat(F.lit("GPUs_GPU_x"), F.substring_index("Machine", "t", -1)))
-    ads = rows.withColumn("AvailableGPUs", listed).withColumn("AssignedGPUs", F.concat("AssignedGPUs", F.lit(", GPU_y")))
-    out = snapshots.ingest(ads.select("Name", "Machine", "State", "AvailableGPUs", "AssignedGPUs"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    out = snapshots.ingest(_advertised(spark, sf_dir), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
     return out.groupBy("Machine", "AssignedGPUs").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -159,6 +195,9 @@ QUERIES = {
     "s9_s10_csv_round_trip": csv_round_trip,
     "s11_log_files": log_files,
     "p1_poll_upsert": poll,
+    "s8_configuration": configured,
+    "x1_stream_ingest": stream_ingested,
+    "x6_live_intervals": stream_live_intervals,
     "x2_x3_stream_buckets": stream_buckets,
     "x4_stream_devices": stream_devices,
     "x5_stream_sessions": stream_sessions,
@@ -175,4 +214,8 @@ ORACLE_SQL = {
     "x2_x3_stream_buckets": f"WITH {x.RAW_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY timestamp, AssignedGPUs ORDER BY {x.RANK_SQL.format(prev='prev_idle')} DESC, {x.TIES_SQL}) AS rn FROM raw WHERE AssignedGPUs IS NOT NULL) SELECT bucket, State, count(*) AS rows FROM d WHERE rn = 1 GROUP BY ALL",
     "x4_stream_devices": f"WITH {x.RAW_SQL} SELECT bucket, count(DISTINCT AssignedGPUs) AS total, count(DISTINCT AssignedGPUs) FILTER (State = 'Claimed') AS claimed FROM raw WHERE AssignedGPUs IS NOT NULL GROUP BY bucket",
     "x5_stream_sessions": _SESSIONS,
+    "s8_configuration": f"""WITH {x.SLOTS_SQL}, m AS (SELECT DISTINCT Machine FROM slots) SELECT Machine, regexp_matches(Machine, '[37]$') AS owned,
+      CASE WHEN Machine = 'host12' THEN 'inline' WHEN Machine = 'host4' THEN '' WHEN contains(Machine, '1') THEN 'kept out as ' || Machine END AS reason FROM m""",
+    "x6_live_intervals": f"{_SESSIONS.split('SELECT GlobalJobId, min(seen)')[0]}, z AS (SELECT GlobalJobId, island, min(seen) AS first_seen, max(seen) AS last_seen FROM i GROUP BY GlobalJobId, island) SELECT GlobalJobId, arg_max(first_seen, last_seen) AS first_seen, max(last_seen) AS last_seen FROM z GROUP BY GlobalJobId",
 }
+ORACLE_SQL["x1_stream_ingest"] = ORACLE_SQL["s5_ingested_rows"]

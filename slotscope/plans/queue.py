@@ -109,6 +109,7 @@ QUERIES = {
     "t8_headlines": lambda s, p: rounded(t.headlines(a.by_device(frames(s, p)))),
     "t9_sparse_coverage": lambda s, p: t.sparse_coverage(frames(s, p).raw),
     "t10_snapshot_rollup": lambda s, p: rounded(t.snapshot_rollup(v.snapshot_classes(pv._near(s, p)))),
+    "u1_backfill_by_project": lambda s, p: t.backfill_only_projects(frames(s, p)),
     "u1_set_comparison": lambda s, p: t.set_comparison(c.state_filter(frames(s, p), "Priority"), c.state_filter(frames(s, p), "Backfill")),
     "u2_backfill_only": lambda s, p: t.backfill_only(frames(s, p)),
     "u3_union_by_name": lambda s, p: t.union_all(x.slots(s, p).select("Machine", "State"), x.slots(s, p).select("State", "Name").where("State = 'Drained'")).groupBy("Machine", "State").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Name").alias("names")),
@@ -144,6 +145,7 @@ ORACLE_SQL = {
     "t8_headlines": f"{_A2_RAW}, k AS (SELECT CASE WHEN class LIKE 'Backfill%' THEN 'Backfill' ELSE class END AS headline, {_S} FROM bd GROUP BY 1) SELECT headline, {_PCT} FROM k",
     "t9_sparse_coverage": f"WITH {x.RAW_SQL} SELECT count(*) FILTER (p) AS pj_buckets, count(*) AS total_buckets, count(*) FILTER (p) / count(*) < 0.25 AS sparse FROM (SELECT bucket, bool_or(pj_set) AS p FROM raw GROUP BY bucket)",
     "t10_snapshot_rollup": f"WITH sc AS ({pv.ORACLE_SQL['v9_snapshot_classes']}) SELECT CASE WHEN class = 'Backfill' THEN 'backfill' ELSE 'real' END AS kind, CAST(sum(total) AS BIGINT) AS total, CAST(sum(claimed) AS BIGINT) AS claimed, round(CASE WHEN sum(total) > 0 THEN sum(claimed) / sum(total) * 100 ELSE 0 END, 6) AS percent FROM sc GROUP BY 1",
+    "u1_backfill_by_project": f"WITH {x.DEDUP_SQL}, o AS (SELECT * FROM raw_bf WHERE AssignedGPUs IS NOT NULL AND AssignedGPUs NOT IN (SELECT AssignedGPUs FROM dedup WHERE prio AND NOT is_bf)) SELECT Machine, CASE WHEN coalesce(PrioritizedProjects, '') = '' THEN 'None' ELSE PrioritizedProjects END AS project, count(*) AS rows, count(DISTINCT AssignedGPUs) AS gpus FROM o GROUP BY ALL",
     "u1_set_comparison": f"{_F}, pr AS (SELECT DISTINCT AssignedGPUs AS g FROM f WHERE class = 'Priority' AND s = '' AND AssignedGPUs IS NOT NULL), bf AS (SELECT DISTINCT AssignedGPUs AS g FROM f WHERE class = 'Backfill' AND s = '' AND AssignedGPUs IS NOT NULL) SELECT (SELECT count(*) FROM pr) AS first, (SELECT count(*) FROM bf) AS second, (SELECT count(*) FROM pr JOIN bf USING (g)) AS both, (SELECT count(*) FROM bf ANTI JOIN pr USING (g)) AS second_only",
     "u2_backfill_only": f"{_F}, o AS (SELECT DISTINCT bucket, Machine, AssignedGPUs FROM f WHERE class = 'Backfill' AND s = '' AND AssignedGPUs IS NOT NULL), r AS (SELECT DISTINCT bucket, AssignedGPUs FROM f WHERE class IN ('Priority', 'Shared') AND s = '') SELECT o.bucket, Machine, count(*) AS gpus FROM o ANTI JOIN r ON r.bucket = o.bucket AND r.AssignedGPUs = o.AssignedGPUs GROUP BY ALL",
     "u3_union_by_name": f"WITH {x.SLOTS_SQL} SELECT Machine, State, count(*) AS n, count(DISTINCT Name) AS names FROM (SELECT Machine, State, NULL AS Name FROM slots UNION ALL SELECT NULL, State, Name FROM slots WHERE State = 'Drained') GROUP BY ALL",

@@ -123,6 +123,7 @@ QUERIES = {
     "w5_monthly_hours": lambda s, p: rounded(w.monthly_hours(_wide(s, p))),
     "w6_weekly_hours": lambda s, p: rounded(w.weekly_hours(_wide(s, p))),
     "w7_linear_trend": lambda s, p: rounded(w.linear_trend(_wide(s, p), "day", "total_hours")),
+    "w7_fitted_line": lambda s, p: rounded(w.fitted_line(_wide(s, p), "day", "total_hours")),
     "w7_trend_significance": lambda s, p: w.with_significance(w.linear_trend(_wide(s, p), "day", "total_hours")),
     "w8_moving_average": lambda s, p: rounded(w.moving_average(_wide(s, p), "day", "total_hours").select("day", "total_hours", "moving_average")),
     "w9_split_periods": lambda s, p: rounded(w.split_periods(_wide(s, p), SPLIT)),
@@ -161,6 +162,7 @@ ORACLE_SQL = {
     "w5_monthly_hours": f"{_DAILY} SELECT strftime(day, '%Y-%m') AS month, round(sum(total_hours), 6) AS total_hours, round(sum(primary_hours), 6) AS primary_hours, round(sum(backfill_hours), 6) AS backfill_hours, count(*) AS days, round(sum(total_hours) / count(*), 6) AS avg_per_day FROM wd GROUP BY 1",
     "w6_weekly_hours": f"{_DAILY} SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week_start, round(sum(total_hours), 6) AS total_hours, round(sum(primary_hours), 6) AS primary_hours, round(sum(backfill_hours), 6) AS backfill_hours, round(avg(primary_claimed), 6) AS primary_claimed, round(avg(backfill_claimed), 6) AS backfill_claimed, count(*) AS days FROM wd GROUP BY 1 HAVING count(*) = 7",
     "w7_linear_trend": f"{_DAILY}, p AS (SELECT CAST(date_diff('day', (SELECT min(day) FROM wd), day) AS DOUBLE) AS t, total_hours AS y FROM wd), q AS (SELECT {_LIN} FROM p) SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(r * r, 6) AS r2, round(CASE WHEN n > 2 THEN sqrt(greatest((syy - slope * slope * sxx) / (n - 2), 0) / sxx) END, 6) AS std_err, round(slope * 30.44, 6) AS per_month, round(slope * 365.25, 6) AS per_year, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'flat' END AS direction, n FROM q",
+    "w7_fitted_line": f"{_DAILY}, p AS (SELECT day, CAST(date_diff('day', (SELECT min(day) FROM wd), day) AS DOUBLE) AS t, total_hours AS y FROM wd), q AS (SELECT regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM p) SELECT CAST(day AS VARCHAR) AS day, round(y, 6) AS total_hours, round(a + b * t, 6) AS fitted, round(y - (a + b * t), 6) AS residual FROM p, q",
     "w8_moving_average": f"{_DAILY} SELECT CAST(day AS VARCHAR) AS day, round(total_hours, 6) AS total_hours, round(avg(total_hours) OVER (ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM wd",
     "w9_split_periods": f"{_DAILY} SELECT CASE WHEN day < DATE '{SPLIT}' THEN 'before' ELSE 'after' END AS period, round(sum(total_hours), 6) AS total, round(avg(total_hours), 6) AS mean, round(max(total_hours), 6) AS most, round(min(total_hours), 6) AS least, round(sum(primary_hours) / sum(total_hours) * 100, 6) AS primary_share, round(sum(backfill_hours) / sum(total_hours) * 100, 6) AS backfill_share FROM wd GROUP BY 1",
     "w10_period_jobs": f"{_PERIOD} SELECT category, jobs, round(gpu_hours, 6) AS gpu_hours, samples FROM per",

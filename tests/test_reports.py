@@ -190,3 +190,16 @@ def test_evicting_jobs_against_all_pairs(spark):
         assert got[i][0] == (None if best is None else f"{best[0]}.0"), (i, host)
         if best is None:
             assert got[i][1] == ("no_match" if near else "no_candidates")
+
+
+def test_hosts_by_model(spark):
+    rows = [("slot1_1@a", "G1", "Claimed", "a", "", "X", T0), ("slot1_2@a", None, "Unclaimed", "a", "", "Y", T0), ("slot1_2@a", None, None, "a", "", "Y", T0), ("slot1_1@b", "G2", "Claimed", "b", "", None, T0), ("slot1_2@b", "G3", "Claimed", "b", "", None, T0), ("slot1_1@c", "G4", "Claimed", "c", "", "X", T0)]
+    hosts = views.host_list(slots(spark, rows), 2)
+    assert sorted(tuple(x) for x in hosts.collect()) == [("a", 2, "Y", 3, 0.5), ("b", 2, "Unknown", 2, 1.0)]
+    assert {tuple(x) for x in views.hosts_by_device(hosts).collect()} == {("Y", 1, 2, 0.5), ("Unknown", 1, 2, 1.0), (None, 2, 4, 0.75)}
+
+
+def test_fitted_line_starts_at_the_first_value(spark):
+    series = spark.createDataFrame([(dt.date(2024, 1, d), y) for d, y in ((1, None), (2, 1.0), (3, 3.0), (4, 5.0), (6, None))], "day date, v double")
+    got = {x["day"].day: (x["fitted"], x["residual"]) for x in trends.fitted_line(series, "day", "v").collect()}
+    assert got == {1: (-1.0, None), 2: (1.0, 0.0), 3: (3.0, 0.0), 4: (5.0, 0.0), 6: (9.0, None)}
