@@ -1,10 +1,12 @@
 """Phrase collocations from count streams in prefix and suffix order.
 
 Counts are estimated level by level, as a language model's n-gram streams are: a phrase can occur
-often only if all its parts do, so a level counts just the places whose shorter phrases were
-frequent. Places are chosen by a bitmap of fixed size, which may let a rare phrase through (its
-exact count then drops it) but never holds a frequent one back. Counts are summed in each batch of
-a task, then by Spark, and are exact.
+often only if all its parts do, so a level counts just the places whose shorter phrases may be
+frequent. Those are marked in a bitmap of fixed size. Words are counted as they are. Pairs of
+frequent words are first counted by cell, a phrase's cell following from a hash of its words: cells that stay
+below the bound hold no frequent pair, and just the pairs of the others, and the longer phrases
+made of them, are counted as text. A cell may let a rare phrase through (its exact count then drops
+it) but never holds a frequent one back, so counts are exact whatever the number of cells.
 
 The frequent phrases and their counts are then kept sorted. In prefix order the phrases that begin
 with a given one follow it, in suffix order those that end with it do; left counts, right counts
@@ -23,13 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotscope.llm.durable import durable, release
+from slotscope.llm.durable import durable, parallelism, release
 
 #: Ends of pieces, each a token of its own; words hold neither these nor blanks and tabs.
 TOKENS = r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+"
 ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
-#: log2 of the bits of a level's bitmap: 16 MB.
+#: log2 of the cells of a level, a bit each: 16 MB.
 BITS = 27
+#: Cells of a block: as many as a bucket of Spark's bitmap functions has.
+CELLS = 32_768
+#: Tokens that are looked at together; a longer text is taken whole.
+SLICE = 1 << 21
 #: Groups of languages up to this many totals are broadcast.
 TOTALS = 10_000
 COUNTS = "lang string, m int, phrase string, bit int, c bigint"
@@ -83,39 +89,90 @@ class _Places:
         )
 
 
-def _level(orders: range, bitmap: bytes | None, bits: int):
-    """Counts of the phrases of ``orders`` words; ``bitmap`` has the frequent ones of ``orders[0] - 1`` words."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Places]:
+    """Places of whole texts, some ``SLICE`` tokens at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+            part = batch.slice(start, stop - start)
+            yield _Places(part.column("lang"), part.column("tokens"))
+            start = stop
+    release()
+
+
+def _good(p: _Places, short: int, bitmap: bytes | None, bits: int) -> np.ndarray:
+    """Where phrases of ``short`` words begin that may be frequent."""
+    if bitmap is None:
+        return p.valid
+    good = _set(np.frombuffer(bitmap, np.uint8), _bits(p.hashes(short), bits))
+    for j in range(short):
+        good &= p.valid[j : len(good) + j]
+    return good
+
+
+def _level(orders: range, short: int, bitmap: bytes | None, bits: int):
+    """Counts of the phrases of ``orders`` words; ``bitmap`` has those of ``short`` words that may be frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
-        for batch in batches:
-            p = _Places(batch.column("lang"), batch.column("tokens"))
-            short = orders[0] - 1
-            if frequent is None:
-                good = p.valid
-            else:
-                good = _set(frequent, _bits(p.hashes(short), bits))
-                for j in range(short):
-                    good &= p.valid[j : len(good) + j]
-                good = good[:-1] & good[1:]  # of orders[0] words: both its parts
+        for p in _slices(batches):
+            good, held = _good(p, short, bitmap, bits), short
             for m in orders:
-                if m > orders[0]:
-                    good = good[:-1] & good[1:]
+                while held < m:
+                    good, held = good[:-1] & good[1:], held + 1
                 at = np.flatnonzero(good)
                 if len(at):
                     yield p.counted(m, at, bits)
-        release()
 
     return count
 
 
-def _bitmap(frequent: DataFrame, bits: int) -> bytes:
-    """The bits of ``frequent`` as one bitmap: at most 2 ** bits / 8 bytes, whatever its rows."""
-    at = F.col("bit").cast("bigint") + 1
-    found = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+def _cells(m: int, bitmap: bytes, bits: int):
+    """How many phrases of ``m`` words fall in each of 2 ** bits cells: a row for each block of cells, its cells and counts packed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _slices(batches):
+            good = _good(p, m - 1, bitmap, bits)
+            cell, n = np.unique(_bits(p.hashes(m)[np.flatnonzero(good[:-1] & good[1:])], bits), return_counts=True)
+            block = cell // CELLS
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(cell) else np.empty(0, np.int64)
+            ends = np.r_[first, len(cell)].astype(np.int32)
+            packed = lambda x, width, ends=ends, first=first: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(width)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[first].astype(np.int32)), packed((cell % CELLS).astype("<u2"), 2), packed(n.astype("<u4"), 4)], names=["block", "cells", "counts"]
+            )
+
+    return count
+
+
+def _full_cells(least: int):
+    """Of rows sorted by block: the cells of each block that come to ``least``, as a bitmap."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, np.zeros(CELLS, np.int64)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([held + 1], pa.int64()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+
+        for batch in batches:
+            for block, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "counts")), strict=True):
+                if block != held:
+                    if held is not None:
+                        yield done()
+                    held, total[:] = block, 0
+                total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u4")  # a row names a cell once
+        if held is not None:
+            yield done()
+
+    return add
+
+
+def _bitmap(found: DataFrame, bits: int) -> bytes:
+    """Rows (bucket, bits) of 4096 bytes each as one bitmap: at most 2 ** bits / 8 bytes, whatever was counted."""
     whole = bytearray((1 << bits) // 8)
-    for row in found:
-        whole[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = row["bits"]
+    for row in found.collect():
+        whole[(row["bucket"] - 1) * CELLS // 8 : row["bucket"] * CELLS // 8] = row["bits"]
     return bytes(whole)
 
 
@@ -126,17 +183,17 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
         F.regexp_extract_all(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")), F.lit(TOKENS), F.lit(0)).alias("tokens"),
     )
     summed = lambda found: found.groupBy("lang", "m", "phrase").agg(F.first("bit").alias("bit"), F.sum("c").alias("f"))
-    words = durable(summed(tokens.mapInArrow(_level(range(1, 2), None, bits), COUNTS)))
+    words = durable(summed(tokens.mapInArrow(_level(range(1, 2), 1, None, bits), COUNTS)))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     often = F.col("f") >= min_count
-    levels = [words.where(often)]
-    for orders in (range(2, 3), range(3, max_words + 1)):
-        if orders and orders[0] <= max_words:
-            found = summed(tokens.mapInArrow(_level(orders, _bitmap(levels[-1], bits), bits), COUNTS)).where(often)
-            levels.append(durable(found))
-    counts = levels[0]
-    for level in levels[1:]:
-        counts = counts.unionByName(level)
+    counts = words.where(often)
+    if max_words > 1:
+        at = F.col("bit").cast("bigint") + 1
+        known = counts.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        cells = tokens.mapInArrow(_cells(2, _bitmap(known, bits), bits), "block int, cells binary, counts binary")
+        cells = cells.repartition(parallelism(docs.sparkSession), "block").sortWithinPartitions("block")
+        pairs = _bitmap(cells.mapInArrow(_full_cells(min_count), "bucket bigint, bits binary"), bits)
+        counts = counts.unionByName(durable(summed(tokens.mapInArrow(_level(range(2, max_words + 1), 2, pairs, bits), COUNTS)).where(often)))
     return counts.drop("bit"), totals
 
 
