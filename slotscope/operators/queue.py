@@ -74,23 +74,36 @@ def user_series(rows: DataFrame) -> DataFrame:
 
 
 def user_hours(series: DataFrame) -> DataFrame:
-    """Hours of each user and their share."""
+    """Hours of each user and their share; the total is one row beside, from the same shuffle."""
     hours = series.groupBy("user").agg((F.sum("gpus") * 0.25).alias("gpu_hours"))
-    return hours.withColumn("share", F.col("gpu_hours") / F.sum("gpu_hours").over(Window.partitionBy(F.lit(0))) * 100)  # one row a user
+    total = hours.agg(F.sum("gpu_hours").alias("whole"))
+    return hours.join(F.broadcast(total)).select("user", "gpu_hours", (F.col("gpu_hours") / F.col("whole") * 100).alias("share"))
 
 
-def gini(hours: DataFrame) -> DataFrame:
-    """One row: Gini coefficient of the users' hours, by ranks; 0 for fewer than two users or none used."""
-    ranked = hours.select("gpu_hours", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gpu_hours")).alias("i"))  # one row a user
-    s = ranked.agg(F.sum(F.col("i") * F.col("gpu_hours")).alias("ix"), F.sum("gpu_hours").alias("x"), F.count(F.lit(1)).alias("n"))
+def gini(hours: DataFrame, cells: int = 256) -> DataFrame:
+    """One row: Gini coefficient of the users' hours, by ranks; 0 for fewer than two users or none used.
+
+    Users with equal hours are one row. Ranks come from ``cells`` ranges of about equal size: within
+    a range from its order, across ranges from a running total of one row a range, so that no task
+    sorts all users. Where the ranges lie changes no rank.
+    """
+    values = hours.where("gpu_hours is not null").groupBy("gpu_hours").agg(F.count(F.lit(1)).alias("m"))
+    cuts = values.agg(F.percentile_approx("gpu_hours", [i / cells for i in range(1, cells)], 100 * cells).alias("cuts"))
+    placed = values.join(F.broadcast(cuts)).select("gpu_hours", "m", F.size(F.filter("cuts", lambda c: c < F.col("gpu_hours"))).alias("cell"))
+    sums = placed.groupBy("cell").agg(F.sum("m").alias("held"))
+    earlier = sums.select("cell", F.coalesce(F.sum("held").over(Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))  # at most ``cells`` rows
+    inside = Window.partitionBy("cell").orderBy("gpu_hours").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("inside", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(F.broadcast(earlier), "cell")
+    m, before = F.col("m"), F.col("earlier") + F.col("inside")
+    s = ranked.agg(F.sum(F.col("gpu_hours") * (m * before + m * (m + 1) / 2)).alias("ix"), F.sum(F.col("gpu_hours") * m).alias("x"), F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
     value = (2 * F.col("ix") - (F.col("n") + 1) * F.col("x")) / (F.col("n") * F.col("x"))
     return s.select(F.when((F.col("n") < 2) | (F.col("x") == 0), 0.0).otherwise(value).alias("gini"), F.col("n").alias("users"))
 
 
 def fair_share(hours: DataFrame) -> DataFrame:
     """Each user's surplus or deficit against an equal share of what was used."""
-    equal = F.avg("gpu_hours").over(Window.partitionBy(F.lit(0)))  # one row a user
-    return hours.select("user", "gpu_hours", equal.alias("equal_share"), (F.col("gpu_hours") - equal).alias("surplus"))
+    one = hours.agg(F.avg("gpu_hours").alias("equal_share"))
+    return hours.join(F.broadcast(one)).select("user", "gpu_hours", "equal_share", (F.col("gpu_hours") - F.col("equal_share")).alias("surplus"))
 
 
 def contention(series: DataFrame, queued: DataFrame, capacity: int) -> DataFrame:

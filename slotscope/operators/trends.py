@@ -26,9 +26,8 @@ def category_buckets(slots: DataFrame, owned: Sequence[str], excluded: Sequence[
     rows = kept.withColumn("category", label).where("category is not null").withColumn("bucket", d.bucket_floor(F.col("timestamp"), minutes))
     best = c.winners(rows, ("timestamp", "AssignedGPUs"), c.simple_rank(d.is_backfill(F.col("Name")), F.col("State"), "claimed_first"), (*c.KEPT, "category", "bucket"))
     keys = ("bucket", "category")
-    claimed = F.when(F.col("State") == "Claimed", F.col("AssignedGPUs"))
-    total = rows.groupBy(*keys).agg(F.count_distinct("AssignedGPUs").alias("total_gpus"), F.count_distinct(F.when(F.col("category") == "backfill", claimed)).alias("own"))
-    held = best.where("category != 'backfill' and State = 'Claimed'").groupBy(*keys).agg(F.count_distinct("AssignedGPUs").alias("held"))
+    total = _distinct_devices(rows, keys, {"total_gpus": F.lit(True), "own": (F.col("category") == "backfill") & (F.col("State") == "Claimed")})
+    held = _distinct_devices(best.where("category != 'backfill' and State = 'Claimed'"), keys, {"held": F.lit(True)})
     out = total.join(held, list(keys), "left")
     got = F.when(F.col("category") == "backfill", F.col("own")).otherwise(F.coalesce("held", F.lit(0)))
     return out.select(d.truncated(F.col("bucket"), "week").alias("week_start"), "bucket", "category", "total_gpus", got.alias("claimed_gpus"))
@@ -41,8 +40,7 @@ def category_means(buckets: DataFrame) -> DataFrame:
 
 def weekly_summary(buckets: DataFrame) -> DataFrame:
     """Weeks with seven distinct days: ratio of sums, averages and hours by category as columns, 0 where missing."""
-    complete = buckets.groupBy("week_start").agg(F.count_distinct(F.to_date("bucket")).alias("days")).where("days >= 7").select("week_start")
-    rows = buckets.join(complete, "week_start", "left_semi")
+    days = F.size(F.collect_set(F.to_date("bucket"))).alias("days")  # seven at most
     of = lambda k, x: F.when(F.col("category") == k, x)
     cols: list[Column] = []
     for k in CATEGORIES:
@@ -52,7 +50,7 @@ def weekly_summary(buckets: DataFrame) -> DataFrame:
             zero(F.when(t > 0, g / t * 100)).alias(f"{k}_pct"), n.alias(f"{k}_intervals"), zero(F.when(n > 0, t / n)).alias(f"{k}_avg_total"),
             zero(F.when(n > 0, g / n)).alias(f"{k}_avg_claimed"), zero(g * 0.25).alias(f"{k}_gpu_hours"),
         ]
-    out = rows.groupBy("week_start").agg(*cols)
+    out = buckets.groupBy("week_start").agg(*cols, days).where("days >= 7").drop("days")
     return out.withColumn("primary_gpu_hours", F.col("prioritized_gpu_hours") + F.col("open_capacity_gpu_hours")).withColumn("total_gpu_hours", F.col("primary_gpu_hours") + F.col("backfill_gpu_hours"))
 
 

@@ -12,7 +12,11 @@ DEVICES = (("NVIDIA H200", 143771), ("NVIDIA A100-SXM4-80GB", 81920), ("NVIDIA L
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that lies in fewer splits than there are cores (small files) is dealt over them, as deriving from it
+    costs more than reading it; larger tables stay as they are read."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,3 +203,17 @@ def test_fitted_line_starts_at_the_first_value(spark):
     series = spark.createDataFrame([(dt.date(2024, 1, d), y) for d, y in ((1, None), (2, 1.0), (3, 3.0), (4, 5.0), (6, None))], "day date, v double")
     got = {x["day"].day: (x["fitted"], x["residual"]) for x in trends.fitted_line(series, "day", "v").collect()}
     assert got == {1: (-1.0, None), 2: (1.0, 0.0), 3: (3.0, 0.0), 4: (5.0, 0.0), 6: (9.0, None)}
+
+
+@pytest.mark.parametrize("cells", [2, 256])
+def test_gini_by_ranges_of_hours(spark, cells):
+    from slotscope.operators import queue
+
+    r = random.Random(4)
+    hours = [r.choice([0.0, 0.25, 0.25, 1.0, r.randrange(4000) / 4]) for _ in range(500)]
+    (got,) = queue.gini(spark.createDataFrame([(f"u{i}", h) for i, h in enumerate(hours)], "user string, gpu_hours double"), cells).collect()
+    n, total = len(hours), sum(hours)
+    assert got["users"] == n and got["gini"] == pytest.approx(sum(abs(a - b) for a in hours for b in hours) / (2 * n * total))
+    empty = spark.createDataFrame([], "user string, gpu_hours double")
+    assert [tuple(x) for x in queue.gini(empty).collect()] == [(0.0, 0)]
+    assert [tuple(x) for x in queue.gini(spark.createDataFrame([("a", 0.0), ("b", 0.0)], empty.schema)).collect()] == [(0.0, 2)]
