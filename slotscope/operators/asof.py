@@ -14,7 +14,7 @@ def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
 
 
-def as_of(points: DataFrame, facts: DataFrame, at: str, since: str, values: Sequence[str], by: Sequence[str] = (), direction: str = "backward", cell_hours: float = 720.0) -> DataFrame:
+def as_of(points: DataFrame, facts: DataFrame, at: str, since: str, values: Sequence[str], by: Sequence[str] = (), direction: str = "backward", cell_hours: float = 24.0) -> DataFrame:
     """``points`` with the ``values`` and the time ``since`` of a fact of the same ``by``, null where there is none.
 
     ``backward`` takes the latest fact with since <= at, ``nearest`` the one with the least distance

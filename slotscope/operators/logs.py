@@ -22,8 +22,9 @@ def _found(pattern: str, group: int = 1) -> Column:
     return F.when(v != "", v)
 
 
-#: Lines that a start or its description can be on.
-_MARKERS = r"^001 \(|SlotName: |AvailableGPUs = \{|GPUs_GPU_[a-f0-9]+ = \["
+#: Lines that a start, its description or an eviction can be on.
+_MARKERS = r"^001 \(|^004 \(|SlotName: |AvailableGPUs = \{|GPUs_GPU_[a-f0-9]+ = \["
+_EVICTED = rf"^004 \(\d+\.\d+\.\d+\) {_TIME} Job was evicted"
 
 
 def marked_lines(logs: DataFrame, pattern: str) -> DataFrame:
@@ -32,27 +33,33 @@ def marked_lines(logs: DataFrame, pattern: str) -> DataFrame:
     return logs.select("log", F.explode(F.filter(numbered, lambda x: F.rlike(x["line"], F.lit(pattern)))).alias("x")).select("log", "x.no", "x.line")
 
 
-def starts(logs: DataFrame) -> DataFrame:
-    """(log, no, at, host, slot, gpu, device) of execution starts; details from the ``CONTEXT`` lines that follow.
+def _events(logs: DataFrame) -> DataFrame:
+    """(log, no, t, host, slot, gpu, device, evicted, code) of starts (with ``t``) and evictions (with ``evicted``), each time as text.
 
-    Only marker lines become rows. Context is a range of line numbers, so it means the same as over all
-    lines. One log is one partition key, so a window stays within one file.
+    Only marker lines become rows. A start's context is a range of line numbers, so it means the same as
+    over all lines. One log is one partition key, so a window stays within one file.
     """
     rows = marked_lines(logs, _MARKERS).select(
         "log", "no", _found(rf"^001 \(\d+\.\d+\.\d+\) {_TIME} Job executing on host").alias("t"), _found(r"alias=([^&>]+)").alias("host"), _found(r"SlotName: (\S+)").alias("slot"),
         _found(r"AvailableGPUs = \{ *GPUs_GPU_([a-f0-9]+)").alias("gpu"), _found(r"GPUs_GPU_([a-f0-9]+) = \[").alias("of"), _found(r'DeviceName = "([^"]+)"').alias("device"),
+        _found(_EVICTED).alias("evicted"), _found(r"evicted\. Code (\d+)").try_cast("bigint").alias("code"),
     )
     w = Window.partitionBy("log").orderBy("no").rangeBetween(1, CONTEXT)
     near = lambda c: F.coalesce(F.first(c, True).over(w), F.lit("Unknown"))
     named = F.when(F.col("of").isNotNull() & F.col("device").isNotNull(), F.struct("of", "device"))  # nulls are not gathered
-    rows = rows.select("log", "no", "t", "host", near("slot").alias("slot"), near("gpu").alias("gpu"), F.collect_list(named).over(w).alias("devices")).where("t is not null")
+    rows = rows.select("log", "no", "t", "host", near("slot").alias("slot"), near("gpu").alias("gpu"), F.collect_list(named).over(w).alias("devices"), "evicted", "code").where("t is not null or evicted is not null")
     device = F.get(F.filter("devices", lambda x: x["of"] == F.col("gpu")), F.lit(0))["device"]
-    return rows.select("log", F.col("no").cast("bigint").alias("no"), F.col("t").try_cast("timestamp_ntz").alias("at"), F.coalesce("host", F.lit("Unknown")).alias("host"), "slot", "gpu", F.coalesce(device, F.lit("Unknown")).alias("device"))
+    return rows.select("log", F.col("no").cast("bigint").alias("no"), "t", F.coalesce("host", F.lit("Unknown")).alias("host"), "slot", "gpu", F.coalesce(device, F.lit("Unknown")).alias("device"), "evicted", "code")
+
+
+def starts(logs: DataFrame) -> DataFrame:
+    """(log, no, at, host, slot, gpu, device) of execution starts; details from the ``CONTEXT`` lines that follow."""
+    return _events(logs).where("t is not null").select("log", "no", F.col("t").try_cast("timestamp_ntz").alias("at"), "host", "slot", "gpu", "device")
 
 
 def evictions(logs: DataFrame) -> DataFrame:
     """(log, no, at, code) of evictions."""
-    rows = marked_lines(logs, r"^004 \(").select("log", F.col("no").cast("bigint").alias("no"), _found(rf"^004 \(\d+\.\d+\.\d+\) {_TIME} Job was evicted").try_cast("timestamp_ntz").alias("at"), _found(r"evicted\. Code (\d+)").try_cast("bigint").alias("code"))
+    rows = marked_lines(logs, r"^004 \(").select("log", F.col("no").cast("bigint").alias("no"), _found(_EVICTED).try_cast("timestamp_ntz").alias("at"), _found(r"evicted\. Code (\d+)").try_cast("bigint").alias("code"))
     return rows.where("at is not null")
 
 
@@ -69,13 +76,17 @@ def identity(logs: DataFrame) -> DataFrame:
 
 
 def evicted_runs(logs: DataFrame) -> DataFrame:
-    """Each eviction with the latest start up to it in its log, else the first start, and the seconds run."""
-    s = starts(logs).select("log", F.col("at").alias("started"), F.struct("at", "no").alias("o"), F.struct("at", "host", "slot", "gpu", "device").alias("run"))
-    e = evictions(logs)
-    pairs = e.join(s, "log", "left")
-    before = F.col("started") <= F.col("at")
-    picked = pairs.groupBy("log", "no", "at", "code").agg(F.max_by("run", F.when(before, F.col("o"))).alias("last"), F.min_by("run", "o").alias("first"))
-    run = F.coalesce("last", "first")
+    """Each eviction with the latest start up to it in its log, else the first start, and the seconds run.
+
+    Starts and evictions come from one pass over the logs and one shuffle by log: an eviction takes
+    the last start before it in order of time (starts without a readable time come first).
+    """
+    rows = _events(logs).withColumn("at", F.coalesce(F.col("t"), F.col("evicted")).try_cast("timestamp_ntz")).withColumn("ends", F.col("t").isNull())
+    rows = rows.withColumn("run", F.when(~F.col("ends"), F.struct("at", "host", "slot", "gpu", "device")))
+    w = Window.partitionBy("log").orderBy("at", "ends", "no")
+    last, first = F.last("run", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("run", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    picked = rows.select("log", "no", "at", "code", "ends", F.coalesce(last, first).alias("run")).where("ends and at is not null")
+    run = F.col("run")
     seconds = F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(run["at"].cast("timestamp"))
     unknown = lambda k: F.coalesce(run[k], F.lit("Unknown")).alias(k)
     return picked.select("log", F.col("no").alias("eviction"), "at", "code", unknown("host"), unknown("slot"), unknown("gpu"), unknown("device"), seconds.alias("runtime"))
@@ -86,55 +97,51 @@ def succeeded(logs: DataFrame) -> DataFrame:
     return logs.select("log", (F.rlike("text", F.lit(r"\n005 \(|^005 \(")) & F.rlike("text", F.lit(r"\(1\) Normal termination")) & F.rlike("text", F.lit(r"(?m)^001 \("))).alias("succeeded"))
 
 
-def host_matches(hosts: DataFrame, names: DataFrame) -> DataFrame:
-    """(host, StartdName, full) where the start daemon's name holds the host (full) or its part before the first dot, case ignored.
+def name_parts(names: DataFrame) -> DataFrame:
+    """(part, StartdName): every part of each distinct name, case ignored, the empty one as well, so that "the name holds it" is an equality.
 
-    Holding is made an equality: each distinct name is taken apart into its parts of the lengths that
-    hosts have, and those are joined. Distinct names only; never names by hosts.
+    A name of L characters has L * L / 2 parts; host names have 253 at most, and there is one row a machine, not a job.
     """
-    wanted = hosts.select("host").distinct().where("host is not null")
-    wanted = wanted.select("host", F.explode(F.array(F.struct(F.lower("host").alias("part"), F.lit(True).alias("full")), F.struct(F.lower(F.substring_index("host", ".", 1)).alias("part"), F.lit(False).alias("full")))).alias("w")).select("host", "w.*")
-    lengths = wanted.agg(F.collect_set(F.length("part")).alias("lengths"))  # as many as a host name has characters at most
-    names = names.select("StartdName").distinct().where("StartdName is not null").join(F.broadcast(lengths))
+    names = names.select("StartdName").distinct().where("StartdName is not null")
     low, size = F.lower("StartdName"), F.length("StartdName")
-    parts = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(low, i, n))).otherwise(F.array().cast("array<string>")))))
-    held = names.select("StartdName", F.explode(parts).alias("part"))
-    return wanted.join(held, "part").groupBy("host", "StartdName").agg(F.bool_or("full").alias("h2"), F.bool_or(~F.col("full")).alias("h1"))
+    ends = lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr(low, i, n))
+    parts = F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(1), size), ends))).otherwise(F.array().cast("array<string>"))
+    return names.select("StartdName", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), parts))).alias("part"))
 
 
 def evicting_jobs(runs: DataFrame, jobs: DataFrame, minutes: int = 30) -> DataFrame:
     """For every eviction the job that likely caused it, with confidence and reasons.
 
     Jobs queued in the ``minutes`` before an eviction, on a machine whose name holds the eviction's
-    host, are found by time cell and machine name, an equi-join: jobs of other machines never meet
-    the eviction. Of those, each narrower rule is used only where it leaves any: host, host's base
-    name, slot, device. The nearest in time wins. Whether any job at all was queued in time comes
-    from the latest queue time up to the eviction.
+    host or its part before the first dot, are found by time cell and machine name, an equi-join:
+    jobs of other machines never meet the eviction. Of those, each narrower rule is used only where
+    it leaves any: host before base name, slot, device; then the nearest in time wins. That is the
+    least of one ordered tuple, so one aggregation finds it. Whether any job at all was queued in
+    time comes from the latest queue time up to the eviction.
     """
     cell = minutes * 60
-    ev = runs.withColumn("t", F.unix_timestamp(F.col("at").cast("timestamp")))
-    keyed = ev.join(host_matches(runs, jobs), "host").withColumn("cell", F.explode(F.array(F.floor(F.col("t") / cell), F.floor(F.col("t") / cell) - 1)))
-    queue = jobs.select("ClusterId", "ProcId", "QDate", "StartdName", "StartdSlot", "AssignedGPUs", F.col("User").alias("job_user"), F.col("ProjectName").alias("job_project"), F.floor(F.col("QDate") / cell).alias("cell"))
-    pairs = keyed.join(queue, ["cell", "StartdName"]).where((F.col("QDate") <= F.col("t")) & (F.col("QDate") >= F.col("t") - cell))
-    key = ("log", "eviction")
-    has = lambda hay, needle: F.coalesce(F.contains(F.lower(hay), F.lower(needle)), F.lit(False))
-    slot, gpu = F.substring_index("slot", "@", 1), F.regexp_extract("AssignedGPUs", "GPU-([a-f0-9]+)", 1)
-    flags = pairs.withColumns({"s": has(F.col("StartdSlot"), slot) & (F.col("slot") != "Unknown"), "g": F.coalesce(gpu == F.col("gpu"), F.lit(False)) & (F.col("gpu") != "Unknown")})
-    w = Window.partitionBy(*key)
-    hosted = flags.withColumn("any_h2", F.max("h2").over(w)).where(F.when(F.col("any_h2"), F.col("h2")).otherwise(F.col("h1")))
-    slotted = hosted.withColumn("any_s", F.max("s").over(w)).where(~F.col("any_s") | F.col("s"))
-    matched = slotted.withColumn("any_g", F.max("g").over(w)).where(~F.col("any_g") | F.col("g"))
-    best = matched.withColumn("diff", F.col("t") - F.col("QDate")).withColumn("rn", F.row_number().over(w.orderBy("diff", "ClusterId", "ProcId"))).where("rn = 1")
-    known = F.col("gpu") != "Unknown"
-    level = F.when(F.col("diff") > 15 * 60, "low").when(known & F.col("g"), "high").when(known, "medium").otherwise("low")
-    reason = F.array_join(F.array_compact(F.array(F.when(known & F.col("g"), "exact_gpu_match").when(known, "host_time_match").otherwise("host_time_only"), F.when((F.col("slot") != "Unknown") & F.contains(F.coalesce("StartdSlot", F.lit("")), slot), "slot_match"), F.when(F.col("diff") <= 5 * 60, "close_time_match"))), ",")
-    chosen = best.select(*key, F.concat_ws(".", "ClusterId", "ProcId").alias("evicting_job"), "job_user", "job_project", level.alias("c"), reason.alias("r"), (F.col("diff") / 60).alias("minutes"))
     queued = jobs.where("QDate is not null").select(F.timestamp_seconds(F.floor("QDate")).cast("timestamp_ntz").alias("queued")).distinct()
-    timed = as_of(runs, queued, "at", "queued", [])
-    some = F.col("queued").isNotNull() & (F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.col("queued").cast("timestamp")) <= cell)
-    out = timed.withColumn("some", some).join(chosen, list(key), "left")
-    none = F.when(F.col("some"), "no_match").otherwise("no_candidates")
-    return out.select(*runs.columns, "evicting_job", "job_user", "job_project", F.coalesce("c", none).alias("confidence"), F.coalesce("r", F.lit("")).alias("reason"), "minutes")
+    ev = as_of(runs, queued, "at", "queued", []).withColumn("t", F.unix_timestamp(F.col("at").cast("timestamp")))
+    host, base = F.lower("host"), F.lower(F.substring_index("host", ".", 1))
+    sought = F.array(F.struct(host.alias("part"), F.lit(True).alias("full")), F.struct(base.alias("part"), F.lit(False).alias("full")))
+    ev = ev.withColumn("x", F.explode(F.when(host == base, F.slice(sought, 1, 1)).otherwise(sought))).withColumns({"part": F.col("x.part"), "full": F.col("x.full")}).drop("x")
+    keyed = ev.join(name_parts(jobs), "part", "left").withColumn("cell", F.explode(F.array(F.floor(F.col("t") / cell), F.floor(F.col("t") / cell) - 1)))
+    queue = jobs.select("ClusterId", "ProcId", "QDate", "StartdName", "StartdSlot", F.col("AssignedGPUs").alias("job_gpus"), F.col("User").alias("job_user"), F.col("ProjectName").alias("job_project"), F.floor(F.col("QDate") / cell).alias("cell"))
+    pairs = keyed.join(queue, ["cell", "StartdName"], "left")
+    diff = F.col("t") - F.col("QDate")
+    slot, device = F.substring_index("slot", "@", 1), F.regexp_extract("job_gpus", "GPU-([a-f0-9]+)", 1)
+    known, known_slot = F.col("gpu") != "Unknown", F.col("slot") != "Unknown"
+    on_slot = F.coalesce(F.contains(F.lower("StartdSlot"), F.lower(slot)), F.lit(False)) & known_slot
+    on_gpu = F.coalesce(device == F.col("gpu"), F.lit(False)) & known
+    order = F.struct((~F.col("full")).alias("other"), (~on_slot).alias("no_slot"), (~on_gpu).alias("no_gpu"), diff.alias("diff"), "ClusterId", "ProcId", "StartdSlot", "job_user", "job_project")
+    best = pairs.groupBy(*runs.columns, "queued", "t").agg(F.min(F.when(diff.between(0, cell), order)).alias("best"))
+    found, gap, exact = F.col("best").isNotNull(), F.col("best.diff"), ~F.col("best.no_gpu")
+    level = F.when(gap > 15 * 60, "low").when(known & exact, "high").when(known, "medium").otherwise("low")
+    same_slot = known_slot & F.contains(F.coalesce("best.StartdSlot", F.lit("")), slot)
+    reason = F.array_join(F.array_compact(F.array(F.when(known & exact, "exact_gpu_match").when(known, "host_time_match").otherwise("host_time_only"), F.when(same_slot, "slot_match"), F.when(gap <= 5 * 60, "close_time_match"))), ",")
+    none = F.when(F.col("t") - F.unix_timestamp(F.col("queued").cast("timestamp")) <= cell, "no_match").otherwise("no_candidates")
+    job = F.when(found, F.concat_ws(".", "best.ClusterId", "best.ProcId"))
+    return best.select(*runs.columns, job.alias("evicting_job"), "best.job_user", "best.job_project", F.when(found, level).otherwise(none).alias("confidence"), F.when(found, reason).otherwise("").alias("reason"), (gap / 60).alias("minutes"))
 
 
 def eviction_summary(runs: DataFrame, names: DataFrame) -> DataFrame:
