@@ -83,7 +83,7 @@ def host_list(slots: DataFrame, min_gpus: int = 1) -> DataFrame:
 
 
 def hosts_by_device(hosts: DataFrame) -> DataFrame:
-    """(device, hosts, gpus, mean_claimed_share) of ``host_list`` by model, and of all hosts together as null."""
+    """(device, hosts, gpus, mean_claimed_share) of ``host_list`` by model, and of all hosts together as null; no hosts give no rows."""
     return hosts.rollup("device").agg(F.count(F.lit(1)).alias("hosts"), F.sum("gpus").alias("gpus"), F.avg("claimed_share").alias("mean_claimed_share"))
 
 

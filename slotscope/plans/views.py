@@ -82,7 +82,7 @@ ORACLE_SQL = {
     "v5_host_rollup": f"WITH {x.SLOTS_SQL} SELECT Machine, count(DISTINCT AssignedGPUs) + max(CAST(AssignedGPUs IS NULL AS INTEGER)) AS gpus, array_to_string(list_sort(list_distinct(list(GPUs_DeviceName))), ', ') AS models, count(*) AS rows, round(avg(CAST(State = 'Claimed' AS INTEGER)), 6) AS claimed_share FROM slots GROUP BY Machine HAVING count(DISTINCT AssignedGPUs) + max(CAST(AssignedGPUs IS NULL AS INTEGER)) >= 3",
     "v5_hosts_by_device": f"""WITH {x.SLOTS_SQL}, h AS (SELECT Machine, count(DISTINCT AssignedGPUs) + max(CAST(AssignedGPUs IS NULL AS INTEGER)) AS gpus, avg(CAST(State = 'Claimed' AS INTEGER)) AS share FROM slots GROUP BY Machine HAVING gpus >= 3),
       m AS (SELECT Machine, GPUs_DeviceName AS device FROM slots WHERE GPUs_DeviceName IS NOT NULL GROUP BY Machine, GPUs_DeviceName QUALIFY row_number() OVER (PARTITION BY Machine ORDER BY count(*) DESC, GPUs_DeviceName) = 1)
-      SELECT device, count(*) AS hosts, CAST(sum(gpus) AS BIGINT) AS gpus, round(avg(share), 6) AS mean_claimed_share FROM (SELECT h.*, coalesce(device, 'Unknown') AS device FROM h LEFT JOIN m USING (Machine)) GROUP BY ROLLUP (device)""",
+      SELECT device, count(*) AS hosts, CAST(sum(gpus) AS BIGINT) AS gpus, round(avg(share), 6) AS mean_claimed_share FROM (SELECT h.*, coalesce(device, 'Unknown') AS device FROM h LEFT JOIN m USING (Machine)) GROUP BY ROLLUP (device) HAVING count(*) > 0""",
     "v6_prioritised_hosts": f"WITH {x.SLOTS_SQL} SELECT DISTINCT Machine FROM slots WHERE PrioritizedProjects != ''",
     "v7_models_at": f"WITH {x.SLOTS_SQL} SELECT DISTINCT GPUs_DeviceName FROM slots WHERE timestamp BETWEEN TIMESTAMP '2024-01-04 09:42:30' AND TIMESTAMP '2024-01-04 10:22:30' AND GPUs_DeviceName IS NOT NULL",
     "v8_model_activity": f"WITH {x.SLOTS_SQL} SELECT timestamp, Machine, AssignedGPUs, Name, State FROM slots WHERE {_AROUND} AND GPUs_DeviceName = 'NVIDIA H200'",
