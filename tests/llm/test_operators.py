@@ -74,6 +74,45 @@ def test_secret_scan(spark):
     assert got[9]["found"] == []
 
 
+def test_secret_models_on_held_out_labels(spark):
+    r = np.random.default_rng(8)
+    words = sorted({n for m in (np, np.linalg, np.random, re, hashlib, pytest, F) for n in dir(m) if n.isalpha()} | {w for w in (np.__doc__ + re.__doc__ + Counter.__doc__ + pytest.__doc__).split() if w.isalpha()})
+    texts = [" ".join([*r.choice(words, 300), *map(str, r.integers(0, 10**8, 20))]) for _ in range(200)]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = secrets.train(secrets.labelled_samples(plain, "text", "doc_id", 1, 500))
+    assert model.precision > 0.95 and model.recall > 0.95, model
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    random = ["".join(r.choice(list(letters), 32)) for _ in range(200)]
+    ordinary = ["MAX_NUMBER_OF_CONNECTIONS", "src/main/java/org/apache/spark/sql", "https//example-com/a/b/c/index-html", "getConnectionFactoryBuilder", "4785380592391139", "undergroundconnection", "TRANSFORMATIONERRORS"]
+    got = secrets.scan_secrets(spark.createDataFrame([(1, " ".join(random)), (2, " ".join(ordinary))], "doc_id bigint, text string"), model=model)
+    got = {x["doc_id"]: [s["token"] for s in x["found"]] for x in got.collect()}
+    assert len(got[1]) >= 195 and set(got[1]) <= set(random)
+    assert got[2] == []
+
+
+def test_secret_scan_of_a_long_text(spark):
+    h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    text = " ".join(f"{x} token={x[:9]} aKx9vQ2mZ7pLr4TnW8sYb{x[:3]}G" for x in h)
+    model = secrets.Model((1.0,) * len(secrets.ALPHABET) ** 2, 15.0)
+    (got,) = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model=model).collect()
+    assert [(s["start"], s["kind"], s["end"]) for s in got["base"]] == base_spans(text)
+    more = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+    more = [(s, e) for s, e in more if text[s] == "a" and text[s + 1] == "K"]
+    assert [(s["start"], s["end"]) for s in got["found"] if s["kind"] == 3] == more and len(more) == 3000
+
+
+def test_secret_scan_overlaps(spark):
+    # a candidate that a stated span lies in, ends in or covers is not added; one that only touches it is
+    texts = ["aaaaaaaaaaaaaaaa-token=abcdefgh", "aaaaaaaaaaaaaaaa token=bbbbbbbbbbbbbbbbbb cccccccccccccccc", "AKIA" + "Q" * 20 + " AKIAAAAAAAAAAAAA", "zzzz" * 5 + "password:abcdefgh/" + "y" * 20]
+    model = secrets.Model((1.0,) * len(secrets.ALPHABET) ** 2, 1.0)
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model=model).collect()
+    for row in got:
+        t = texts[row["doc_id"]]
+        base = base_spans(t)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert [(s["start"], s["kind"], s["end"]) for s in row["found"]] == sorted(base + more), t
+
+
 def test_secret_scan_awkward(docs, empty):
     assert secrets.scan_secrets(docs, one_in=1).count() == docs.count()
     assert secrets.scan_secrets(empty, one_in=1).count() == 0
