@@ -59,7 +59,8 @@ class Scorer:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    """Whether a row's label is kept from the fit; false for a null identifier, which no label can belong to."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -146,6 +147,6 @@ def classify(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: s
 
 def fit_and_classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all ``docs``; labels of the held-out third are never read for the fit."""
-    marks = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("good"))
+    marks = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("good"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return classify(docs, fit(rows, marks))

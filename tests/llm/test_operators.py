@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotscope.llm import components, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, suffix_sort, url_filters
+from slotscope.llm import components, durable, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, suffix_sort, url_filters
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, count bigint, doc string"
 WORDS = "the quick brown fox jumps over lazy dogs while seven green birds sing about rivers and stones near old mills".split()
@@ -332,6 +332,40 @@ def test_classifier_on_held_out_rows(spark, docs, empty):
     assert quality_classifier.fit_and_classify(empty, labels).count() == 0
 
 
+def test_held_out_of_a_null_identifier(spark):
+    got = spark.createDataFrame([(1,), (2,), (3,), (None,)], "doc_id bigint").select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("h")).collect()
+    assert {r["doc_id"]: r["h"] for r in got} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2, 3)} | {None: False}
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():  # noqa: N802
+            return Context
+
+        @staticmethod
+        def isDefined():  # noqa: N802
+            return False
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.checkpoint_dir(Session)
+
+
 def test_labels_of_the_held_out_third_change_nothing(spark):
     table = spark.createDataFrame([(i, prose(i, 30)) for i in range(60)], "doc_id bigint, text string")
     label = lambda flip: spark.createDataFrame([(i, (i + (flip and zlib.crc32(str(i).encode()) % 3 == 1)) % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
