@@ -18,8 +18,11 @@ from slotscope.streaming import streams
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share; a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spark-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, which all executors share; a temporary one where none is named and all is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    base = base or f"file:///tmp/spark-{uuid.uuid4().hex}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
