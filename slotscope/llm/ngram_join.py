@@ -5,13 +5,17 @@ group gives a point; the summed minima of two points' coordinates bound the over
 from above, and the maxima over a node's points bound it for a whole subtree; the parities of counts
 over more groups bound it again for single points. Points meet in
 buckets: two sets that are similar enough must share a shingle among the first ``n - ceil(0.8 n) + 1``
-of either in one fixed order (frequent shingles last), so no link is lost. Equal sets count once.
+of either in one fixed order (frequent shingles last), so no link is lost. It is even among the first
+``n - ceil(8 n / 9) + 1`` of the smaller set: only there does a row lead, and pairs whose smaller set
+does not lead are left to other buckets. Equal sets count once.
 
 1. In each bucket the smallest document is tried with all others (as many pairs as rows), then
    the one that has most links so far.
-2. What these links connect is settled; the buckets that still hold several components build an
-   R-tree each, in blocks of bounded size, and search it for pairs of different components, in
-   rounds: each row names its likeliest mates first, so that what links is soon one component.
+2. What these links connect is settled. A bucket too large for one block is divided by the next
+   shared shingle (linked sets share at least four), so that sets which share one only part.
+   The buckets that still hold several components build an R-tree each, in blocks of bounded size,
+   and search it for pairs of different components, in rounds: each row names its likeliest mates
+   first, so that what links is soon one component.
 3. Every candidate pair is checked on the whole shingle sets.
 """
 
@@ -23,7 +27,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotscope.llm.components import connected_components
@@ -196,14 +200,17 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> list[int]:
 
 
 def document_sets(docs: DataFrame, frequent: list[int]) -> DataFrame:
-    """(doc_id, n, digest, vector, short, odd, prefix) of each document; ``short`` is the vector over SHORT groups, ``odd`` its parities."""
+    """(doc_id, n, digest, vector, short, odd, prefix) of each document; ``short`` is the vector over SHORT groups, ``odd`` its parities.
+
+    ``prefix`` is in the fixed order and one shingle longer than a first shared shingle needs, so that it holds a second one as well.
+    """
     ordered = np.array(frequent, np.int64).view(np.uint64)
     by_value = np.argsort(ordered)
     values = ordered[by_value]
 
     def prefix(s: np.ndarray) -> np.ndarray:
         n = len(s)
-        p = n - -(-PERCENT * n // PERCENT_OF) + 1 if n else 0
+        p = min(n, n - -(-PERCENT * n // PERCENT_OF) + 2) if n else 0
         if not len(values):
             return s[:p]
         at = np.minimum(np.searchsorted(values, s), len(values) - 1)
@@ -315,35 +322,82 @@ def _verified(pairs: DataFrame, rows: DataFrame, vectors: DataFrame) -> DataFram
     return durable(_approved(likely, texts, _are_similar))
 
 
+def _leads(position: Column, nth: int) -> Column:
+    """Whether the ``nth`` shingle shared with a linked set of ``n`` or more shingles can stand at ``position`` (from 0) of one of ``n``."""
+    return position < F.col("n") - F.ceil(2 * PERCENT * F.col("n") / F.lit(PERCENT_OF + PERCENT)) + nth
+
+
+def prefix_tokens(points: DataFrame) -> DataFrame:
+    """(token, doc, lead, at) of the shingles of ``points`` (doc, n, prefix) that can be the first shared one; ``at`` counts from 0."""
+    rows = points.select("doc", "n", F.posexplode("prefix").alias("at", "token"))
+    first = F.col("at") < F.col("n") - F.ceil(PERCENT * F.col("n") / F.lit(PERCENT_OF)) + 1
+    return rows.where(first).select("token", "doc", _leads(F.col("at"), 1).alias("lead"), "at")
+
+
+def _kinds(placed: DataFrame) -> DataFrame:
+    """(token, top, most, size, resting, by_comp) of the buckets in which a row that leads can meet another component.
+
+    No pairs are needed among the rows of the largest component, nor among those that don't lead;
+    ``resting`` counts the larger of these two sets, which ``by_comp`` tells.
+    """
+    kinds = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("leads"))
+    of = kinds.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("size"), F.sum("leads").alias("leads"))
+    idle = F.col("size") - F.col("leads")
+    return of.where("size > most and leads > 0").select("token", "top", "size", F.greatest("most", idle).alias("resting"), (F.col("most") >= idle).alias("by_comp"))
+
+
+def divided(placed: DataFrame, points: DataFrame) -> DataFrame:
+    """``placed`` (token, doc, lead, at, comp), its overfull buckets divided by the second shared shingle.
+
+    ``points`` (doc, n, prefix) give the shingles behind a bucket's own. Linked sets share at least
+    four, so in the bucket of the first one they meet again at the second; sets that share no second
+    one part. A bucket is divided where more than a block of its rows would be paired and this gives
+    fewer rows than copying them to blocks would; what stays large is left to the blocks.
+    """
+    dealt = lambda n: F.ceil(n / BLOCK)
+    busy, resting = F.col("size") - F.col("resting"), F.col("resting")
+    wide = _kinds(placed).where(busy > BLOCK).select("token", (busy * (dealt(resting) + dealt(busy)) + resting * dealt(busy)).alias("copies"))
+    wide = durable(wide)
+    if wide.isEmpty():
+        return placed
+    rows = placed.join(wide, "token").join(points.select("doc", "n", F.size("prefix").alias("length")), "doc")
+    fewer = rows.groupBy("token").agg(F.sum(F.col("length") - F.col("at") - 1).alias("behind"), F.max("copies").alias("copies")).where("behind < copies")
+    fewer = durable(fewer.select("token"))
+    rows = placed.join(fewer, "token").join(points, "doc")
+    behind = rows.select("token", "doc", "n", "lead", "at", "comp", F.posexplode(F.slice("prefix", F.col("at") + 2, F.size("prefix"))).alias("gap", "second"))
+    place = F.col("at") + 1 + F.col("gap")
+    parted = behind.select(F.xxhash64("token", "second").alias("token"), "doc", (F.col("lead") & _leads(place, 2)).alias("lead"), place.alias("at"), "comp")
+    return durable(placed.join(fewer, "token", "left_anti").select(parted.columns).unionByName(parted))
+
+
 def blocks(placed: DataFrame) -> DataFrame:
-    """(token, i, j, own, doc): what meets where, of the rows (token, doc, comp) of buckets with several components.
+    """(token, i, j, own, doc, lead): what meets where, of the rows (token, doc, lead, comp) of buckets with several components.
 
-    The rows of a bucket's largest component need no pairs among themselves. They are dealt into
-    blocks below 0 that meet each block of the others once; the others' blocks, from 0 on, meet
-    one another too. In a block (i, j) with ``i != j`` only rows of different ``own`` make pairs.
+    The resting rows of a bucket (of its largest component, or all that don't lead) need no pairs
+    among themselves. They are dealt into blocks below 0 that meet each block of the others once;
+    the others' blocks, from 0 on, meet one another too. In a block (i, j) with ``i != j`` only
+    rows of different ``own`` make pairs.
     """
-    kinds = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    of = kinds.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("size")).where("size > most")
     dealt = lambda n: F.ceil(n / BLOCK)
-    rows = placed.join(of, "token").withColumn("others", dealt(F.col("size") - F.col("most")))
-    ours = F.col("comp") == F.col("top")
-    own = F.when(ours, -1 - F.pmod(F.xxhash64("doc"), dealt(F.col("most")))).otherwise(F.pmod(F.xxhash64("doc"), F.col("others")))
-    first = F.when(ours, F.lit(0).cast("bigint")).otherwise(-dealt(F.col("most")))
-    rows = rows.select("token", "doc", own.alias("own"), F.explode(F.sequence(first, F.col("others") - 1)).alias("other"))
-    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc")
+    rows = placed.join(_kinds(placed), "token").withColumn("others", dealt(F.col("size") - F.col("resting")))
+    rests = F.when(F.col("by_comp"), F.col("comp") == F.col("top")).otherwise(~F.col("lead"))
+    own = F.when(rests, -1 - F.pmod(F.xxhash64("doc"), dealt(F.col("resting")))).otherwise(F.pmod(F.xxhash64("doc"), F.col("others")))
+    first = F.when(rests, F.lit(0).cast("bigint")).otherwise(-dealt(F.col("resting")))
+    rows = rows.select("token", "doc", "lead", own.alias("own"), F.explode(F.sequence(first, F.col("others") - 1)).alias("other"))
+    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "lead")
 
 
-def block_pairs(own: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray, odd: list[bytes], share: np.ndarray, place: np.ndarray, most: int, across: bool) -> list[tuple[int, int, float | None, int | None]]:
+def block_pairs(own: np.ndarray, doc: np.ndarray, lead: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray, odd: list[bytes], share: np.ndarray, place: np.ndarray, most: int, across: bool) -> list[tuple[int, int, float | None, int | None]]:
     """(doc, mate, share, place): of each row the ``most`` likeliest mates of other components not tried yet.
 
-    With ``across`` only rows of different ``own`` are mates.
+    With ``across`` only rows of different ``own`` are mates; the smaller set of a pair has to ``lead``.
     Neither the tree nor the parities rule these pairs out. Mates come in order of the largest
     share of their union that the pair may have in common, then of place in the tree; ``share`` and
     ``place`` say, by row, up to where in that order mates have been tried. They are given back
     with the last mate of a row that has more of them, else null.
     """
     tree = CountTree(n, points)
-    own, doc, comp, share, place = own[tree.order], doc[tree.order], comp[tree.order], share[tree.order], place[tree.order]
+    own, doc, lead, comp, share, place = (x[tree.order] for x in (own, doc, lead, comp, share, place))
     bits: dict[int, Parities] = {}
 
     def parity(i: int) -> Parities:
@@ -353,7 +407,7 @@ def block_pairs(own: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarra
 
     out = []
     for i in range(len(doc)):
-        if share[i] < 0:
+        if share[i] < 0 or not lead[i]:  # those after i in the tree are as large or larger
             continue
         j = tree.near(i)
         j = j[(comp[j] != comp[i]) & (own[j] != own[i])] if across else j[comp[j] != comp[i]]
@@ -388,12 +442,12 @@ def _searched(rows: DataFrame, most: int) -> DataFrame:
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t[c].to_numpy() for c in ("token", "i", "j")])
             cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
-            own, doc, comp, n, share, place = (t[c].to_numpy() for c in ("own", "doc", "comp", "n", "share", "place"))
+            own, doc, lead, comp, n, share, place = (t[c].to_numpy() for c in ("own", "doc", "lead", "comp", "n", "share", "place"))
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1 and (comp[s:e] != comp[s]).any():
                     part = t.slice(s, e - s)
                     points = np.stack([unpacked(v, SHORT) for v in part["short"].to_pylist()])
-                    found = block_pairs(own[s:e], doc[s:e], comp[s:e], n[s:e], points, part["odd"].to_pylist(), share[s:e], place[s:e], most, bool(key[1, s] != key[2, s]))
+                    found = block_pairs(own[s:e], doc[s:e], lead[s:e], comp[s:e], n[s:e], points, part["odd"].to_pylist(), share[s:e], place[s:e], most, bool(key[1, s] != key[2, s]))
                     if found:
                         at = [np.full(len(found), k) for k in key[:, s]]
                         yield _columns(dict(zip(_FOUND, (*at, *zip(*found, strict=True)), strict=True)), _FOUND)
@@ -421,8 +475,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
-def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, component) of the documents that links reach, from the buckets ``shared`` (token, doc, hub, size).
+def _links(shared: DataFrame, points: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, component) of the documents that links reach, from the buckets ``shared`` (token, doc, lead, at, hub, size) of ``points``.
 
     The trees are searched in rounds: each row names its likeliest mates of other components, 1 in
     the first round and MORE times as many in each later one; what is verified unites components,
@@ -438,7 +492,7 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     united = lambda found: connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     named = lambda df: df.join(parts, df["doc"] == parts["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
     # a bucket of two has had its only pair tried
-    wide = shared.where("size > 2").select("token", "doc")
+    wide = shared.where("size > 2").select("token", "doc", "lead", "at")
     # again with the document that has most links in the bucket: copies of one original link with it rather than with one another
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1")
     centre = named(wide.join(degree, "doc")).groupBy("token").agg(F.max_by(F.struct("doc", "comp"), F.struct("degree", -F.col("doc"))).alias("c")).select("token", "c.*")
@@ -448,12 +502,12 @@ def _links(shared: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     tried = tried.unionByName(again)
     if not (more := _verified(again, rows, vectors)).isEmpty():
         parts = united(more)
-    buckets = named(wide)
+    buckets = divided(named(wide), points)
     met = blocks(buckets).withColumns({"share": F.lit(2.0), "place": F.lit(-1).cast("bigint")})
     most = 1
     while True:
-        points = named(known.select(F.col("doc_id").alias("doc"), "n", "short", "odd"))
-        found = durable(_searched(met.join(points, "doc").select("token", "i", "j", "own", "doc", "comp", "n", "short", "odd", "share", "place"), most))
+        vectored = named(known.select(F.col("doc_id").alias("doc"), "n", "short", "odd"))
+        found = durable(_searched(met.join(vectored, "doc").select("token", "i", "j", "own", "doc", "lead", "comp", "n", "short", "odd", "share", "place"), most))
         pairs = found.select(F.least("doc", "mate").alias("a"), F.greatest("doc", "mate").alias("b")).where("a < b").distinct()
         fresh = durable(pairs.join(tried, ["a", "b"], "left_anti"))
         more = _verified(fresh, rows, vectors)
@@ -483,11 +537,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = durable(document_sets(rows, frequent_shingles(rows, rows.count())))
     known = sets.where("n > 0 and doc_id is not null")
     groups = durable(known.groupBy("digest", "n").agg(F.min("doc_id").alias("doc")))
-    points = known.select("doc_id", "digest", "prefix").join(groups, (known["doc_id"] == groups["doc"]) & (known["digest"] == groups["digest"]))
-    tokens = points.select("doc", F.explode("prefix").alias("token"))
-    buckets = tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    points = known.select("doc_id", "digest", "prefix").join(groups, (known["doc_id"] == groups["doc"]) & (known["digest"] == groups["digest"])).select("doc", "n", "prefix")
+    tokens = prefix_tokens(points)
+    buckets = tokens.groupBy("token").agg(F.min(F.when(F.col("lead"), F.col("doc"))).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1 and hub is not null")
     shared = durable(tokens.join(buckets, "token"))
-    parts = _links(shared, rows, known)
+    parts = _links(shared, points, rows, known)
     of_group = groups.join(parts, groups["doc"] == parts["node"], "left").select("digest", F.col("n").alias("size"), F.coalesce("component", "doc").alias("component_id"))
     named = sets.join(of_group, (sets["digest"] == of_group["digest"]) & (sets["n"] == of_group["size"]) & sets["doc_id"].isNotNull(), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

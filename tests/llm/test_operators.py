@@ -187,7 +187,7 @@ def test_tree_rules_out_only_what_cannot_link():
         share, place, kept = np.full(len(sets), 2.0), np.full(len(sets), -1), set()
         most = 1
         while (share > 0).any():  # in rounds: each goes on where the last has stopped
-            found = ngram_join.block_pairs(np.zeros(len(sets)), doc, doc, n, points, odd, share, place, most, False)
+            found = ngram_join.block_pairs(np.zeros(len(sets)), doc, np.ones(len(sets), bool), doc, n, points, odd, share, place, most, False)
             assert len(found) <= most * len(sets)
             pairs = {(min(i, j), max(i, j)) for i, j, _, _ in found}
             assert len(pairs) == len(found) and not pairs & kept

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slotscope.llm import exact_dedup, ngram_join, packing
 
-from tests.llm.test_operators import prose
+from tests.llm.test_operators import check_components, prose
 
 
 def test_packing_rounds_never_share_a_sequence(spark):
@@ -68,6 +68,64 @@ def test_a_large_group_of_near_copies_stays_linear(spark, monkeypatch):
     assert seen and all(n <= rows for n, rows in seen[:1]) and sum(n for n, _ in seen) <= 2 * seen[0][1]
 
 
+def watch_blocks(monkeypatch):
+    """What goes into and out of ``blocks``."""
+    seen, deal = [], ngram_join.blocks
+
+    def watched(placed):
+        out = deal(placed)
+        seen.append((placed.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "blocks", watched)
+    return seen
+
+
+def test_texts_of_a_template_below_the_threshold_meet_nowhere(spark, monkeypatch):
+    """Unlinked texts that share four fifths of their shingles: their common ones lead in none of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    seen = watch_blocks(monkeypatch)
+    base = prose(3, 160)
+    rows = [(i, base + " " + prose(7000 + i, 38)) for i in range(1500)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+    assert sum(out for _, out in seen) <= len(rows)
+
+
+def test_an_unlinked_bucket_is_divided_not_copied(spark, monkeypatch):
+    """Rows that lead in one bucket and share nothing else: the bucket parts, and none is copied to all blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    n = 5000
+    points = spark.range(n).selectExpr("id AS doc", "CAST(100 AS BIGINT) AS n", "concat(array(CAST(-1 AS BIGINT)), transform(sequence(1, 21), x -> id * 100 + x)) AS prefix")
+    placed = ngram_join.prefix_tokens(points).where("token = -1").withColumn("comp", F.col("doc"))
+    assert placed.where("lead").count() == n
+    assert ngram_join.blocks(placed).count() > 40 * n
+    assert ngram_join.blocks(ngram_join.divided(placed, points)).count() == 0
+
+
+def test_divided_buckets_lose_no_link(spark, monkeypatch):
+    """Chains of edits, mates of unlike lengths and a passage shared by all, with buckets divided and dealt into tiny blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 1 << 30)  # no order by frequency, so that common shingles lead
+    parted, divide = [], ngram_join.divided
+
+    def watched(placed, points):
+        out = divide(placed, points)
+        parted.append(out is not placed)
+        return out
+
+    monkeypatch.setattr(ngram_join, "divided", watched)
+    r = np.random.default_rng(8)
+    passage, rows = prose(77, 60), []
+    for k in range(30):
+        base = (prose(900 + k, 25) + " " + passage).split()
+        for v in range(4):
+            rows.append((10 * k + v, edited(base, r, v)))
+        rows.append((10 * k + 7, " ".join(base + [f"tail{k}x{i}" for i in range(3 * (k % 8))])))
+    check_components(spark, rows)
+    assert any(parted)
+
+
 def test_hot_holders_are_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PARTNERS", 7)
     held = spark.range(200).selectExpr("id AS doc", "id % 3 AS load")
