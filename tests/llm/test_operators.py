@@ -263,6 +263,75 @@ def test_url_rules_and_reputation(spark):
     assert url_filters.filter_urls(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def brute_quantile(a: float, b: float, q: float) -> float:
+    """By the sum of a fine grid of log-odds, the density taken at each."""
+    t = np.linspace(-60, 60, 2_000_001)
+    f = a * t - (a + b) * np.logaddexp(0, t)
+    c = np.cumsum(np.exp(f - f.max()))
+    return float(1 / (1 + np.exp(-t[np.searchsorted(c, q * c[-1])])))
+
+
+def test_beta_quantiles(spark):
+    given = [(a, b, q) for a, b in [(1.0, 1.0), (0.7, 3.0), (5.0, 0.9), (40.0, 12.0), (3.0, 900.0), (2000.0, 700.0), (60_000.0, 20_000.0)] for q in (0.05, 0.5)]
+    for q in (0.05, 0.5):
+        rows = [g[:2] for g in given if g[2] == q]
+        got = [r[0] for r in spark.createDataFrame(rows, "a double, b double").coalesce(1).select(url_filters.beta_quantile(F.col("a"), F.col("b"), q)).collect()]
+        assert np.allclose(got, [brute_quantile(a, b, q) for a, b in rows], atol=1e-3)
+    assert abs(got[0] - 0.5) < 1e-3  # the uniform one's median
+
+
+def test_suffixes_and_domains(spark):
+    hosts = {"a.b.example.com": ("com", "example.com"), "x.shop.co.uk": ("co.uk", "shop.co.uk"), "co.uk": ("co.uk", "co.uk"), "m.gob.mx": ("gob.mx", "m.gob.mx"), "a.fr": ("fr", "a.fr"), "localhost": ("localhost", "localhost"), "": ("", ""), "com.example": ("example", "com.example")}
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filters.suffix_of(F.col("host")), url_filters.domain_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hosts
+
+
+def brute_reputation(outcomes: list[tuple[str, int | None]], least: float) -> dict[str, bool]:
+    """Host to whether the 5 % quantile of its posterior reaches ``least``, level by level."""
+    hosts = {h: [sum(g is not None for x, g in outcomes if x == h), sum(g or 0 for x, g in outcomes if x == h)] for h, _ in outcomes}
+    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+
+    def total(of):
+        out = {}
+        for h, (n, g) in hosts.items():
+            out[of(h)] = [x + y for x, y in zip(out.get(of(h), [0, 0]), (n, g), strict=True)]
+        return out
+
+    def level(units, up):
+        seen = [(n, g, up(u)) for u, (n, g) in units.items() if n]
+        n_all = sum(n for n, _, _ in seen)
+        within = sum(p * (1 - p) for _, _, p in seen) / len(seen)
+        beyond = sum(n * (g / n - p) ** 2 for n, g, p in seen) / n_all - sum(p * (1 - p) for _, _, p in seen) / n_all
+        k = n_all if beyond <= 0 else min(n_all, max(1, within / beyond - 1))
+        return {u: (up(u) * k + g, (1 - up(u)) * k + n - g) for u, (n, g) in units.items()}
+
+    mean = lambda ab: ab[0] / sum(ab)
+    n, g = map(sum, zip(*hosts.values(), strict=True))
+    top = level(total(suffix), lambda u: (g + 1) / (n + 2))
+    mid = level(total(domain), lambda u: mean(top[suffix(u)]))
+    return {h: brute_quantile(*ab, 0.05) >= least for h, ab in level(hosts, lambda h: mean(mid[domain(h)])).items()}
+
+
+def test_planted_hosts_are_judged_as_by_brute_force(spark):
+    """Good and bad domains, a hot host with most of the pages, hosts without labels, odd rows and columns."""
+    r = np.random.default_rng(4)
+    outcomes = []
+    for d, rate, hosts in [("fine.com", 0.9, 6), ("junk.com", 0.1, 6), ("mixed.org", 0.5, 4), ("spam.net", 0.02, 3), ("good.net", 0.97, 3)]:
+        for h in range(hosts):
+            outcomes += [(f"h{h}.{d}", int(g)) for g in r.random(int(r.integers(1, 60))) < rate]
+    outcomes += [("hot.fine.com", int(g)) for g in r.random(800) < 0.9] + [("hot.fine.com", None)]
+    unlabelled = ["new.fine.com", "new.junk.com", "new.spam.net", "other.org", ""]
+    hosts = sorted({h for h, _ in outcomes} | set(unlabelled))
+    urls = [(i, f"https://{h}/p/{i}", "x", -1.0) for i, h in enumerate([*hosts, *["hot.fine.com"] * 3000])]
+    urls += [(None, "http://new.junk.com/x", None, None), (None, None, None, None), (7, "no scheme", "y", 1.0)]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string, mean string, lower double")  # clashing names
+    got = url_filters.filter_urls(pages, spark.createDataFrame(outcomes, "host string, good int"), rules=()).collect()
+    want = brute_reputation(outcomes + [(h, None) for h in hosts], 0.5)
+    assert len(got) == len(urls)
+    assert all(x["verdict"] == ("allow" if want[x["host"]] else "block") for x in got)
+    assert want["hot.fine.com"] and want["new.fine.com"] and not want["new.junk.com"] and not want["h0.spam.net"]
+
+
 def test_reputation_shrinks_to_the_domain(spark):
     rows = [("a.good.org", 1)] * 50 + [("b.good.org", 1)] + [("a.bad.org", 0)] * 50 + [("b.bad.org", 0)] + [("c.bad.org", None)]
     got = {r["host"]: r["mean"] for r in url_filters.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
