@@ -97,17 +97,21 @@ def beta_quantile(a: Column, b: Column, q: float) -> Column:
     low, high = peak - 8 * sd - 30 / a, peak + 8 * sd + 30 / b
     softplus = lambda t: F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t)))
     log_density = lambda t: a * t - (a + b) * softplus(t)
-    step = (high - low) / GRID
-    weights = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda k: F.exp(log_density(low + k * step) - log_density(peak)))
+    grid = F.struct(low.alias("low"), ((high - low) / GRID).alias("step"), log_density(peak).alias("top"))
+    points = lambda g: F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda k: g["low"] + k * g["step"])
+    weights = lambda g: F.transform(points(g), lambda t: F.exp(log_density(t) - g["top"]))
 
-    def upto(weighted: Column) -> Column:
-        """Log-odds at which the running sum of the weights, half of each on either side of its place, reaches its share."""
-        aim = q * F.aggregate(weighted, F.lit(0.0), lambda s, w: s + w)
+    def upto(weighted: Column, aim: Column) -> Column:
+        """Log-odds at which the running sum of the weights, half of each on either side of its place, reaches ``aim``."""
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("at"))
         reached = lambda s, w: F.when(s["at"].isNotNull(), s["at"]).when((s["sum"] + w >= aim) & (w > 0), s["k"] - 0.5 + (aim - s["sum"]) / w)
         return F.aggregate(weighted, start, lambda s, w: F.struct((s["sum"] + w).alias("sum"), (s["k"] + 1).alias("k"), reached(s, w).alias("at")), lambda s: s["at"])
 
-    return 1 / (1 + F.exp(-(low + upto(weights) * step)))
+    # each value that a lambda reads again and again is bound by one of its own, or it would be computed at every step
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, w: s + w)
+    place = lambda g: bound(weights(g), lambda ws: bound(q * total(ws), lambda aim: upto(ws, aim)))
+    return 1 / (1 + F.exp(-bound(grid, lambda g: g["low"] + place(g) * g["step"])))
 
 
 def _looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
