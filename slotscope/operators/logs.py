@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotscope.operators.asof import as_of
-
 #: Lines after a start that may describe it.
 CONTEXT = 24
 _TIME = r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)"
@@ -109,37 +107,64 @@ def name_parts(names: DataFrame) -> DataFrame:
     return names.select("StartdName", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), parts))).alias("part"))
 
 
+def _queued_near(jobs: DataFrame, cell: int) -> DataFrame:
+    """(near, first, before): by cell of ``cell`` seconds its earliest queue time, and the latest of the cell before. A row a cell."""
+    ends = jobs.where("QDate is not null").groupBy(F.floor(F.col("QDate") / cell).alias("near")).agg(F.min("QDate").alias("first"), F.max("QDate").alias("last"))
+    none = F.lit(None).cast(ends.schema["last"].dataType)
+    both = ends.select("near", "first", none.alias("before")).unionByName(ends.select((F.col("near") + 1).alias("near"), none.alias("first"), F.col("last").alias("before")))
+    return both.groupBy("near").agg(F.max("first").alias("first"), F.max("before").alias("before"))
+
+
 def evicting_jobs(runs: DataFrame, jobs: DataFrame, minutes: int = 30) -> DataFrame:
     """For every eviction the job that likely caused it, with confidence and reasons.
 
-    Jobs queued in the ``minutes`` before an eviction, on a machine whose name holds the eviction's
-    host or its part before the first dot, are found by time cell and machine name, an equi-join:
-    jobs of other machines never meet the eviction. Of those, each narrower rule is used only where
-    it leaves any: host before base name, slot, device; then the nearest in time wins. That is the
-    least of one ordered tuple, so one aggregation finds it. Whether any job at all was queued in
-    time comes from the latest queue time up to the eviction.
+    Candidates are jobs queued in the ``minutes`` before an eviction, on a machine whose name holds the
+    eviction's host or its part before the first dot. Of those, each narrower rule is used only where
+    it leaves any: host before base name, slot, device; then the nearest in time wins.
+
+    No eviction meets its candidates one by one. An eviction is a row for each machine (an equi-join by
+    part of a name) and each slot there that holds its slot; of each rule the nearest job is then the
+    last one before it of that machine, slot and device, in one order by time. Evictions and jobs are
+    dealt by machine and cell of time, once, and a job that reaches into the next cell is in both. Work
+    is linear in both sides, but for the slots of a machine that queue jobs in a cell, which each row
+    of it carries for a while.
     """
-    cell = minutes * 60
-    queued = jobs.where("QDate is not null").select(F.timestamp_seconds(F.floor("QDate")).cast("timestamp_ntz").alias("queued")).distinct()
-    ev = as_of(runs, queued, "at", "queued", []).withColumn("t", F.unix_timestamp(F.col("at").cast("timestamp")))
-    host, base = F.lower("host"), F.lower(F.substring_index("host", ".", 1))
-    sought = F.array(F.struct(host.alias("part"), F.lit(True).alias("full")), F.struct(base.alias("part"), F.lit(False).alias("full")))
-    ev = ev.withColumn("x", F.explode(F.when(host == base, F.slice(sought, 1, 1)).otherwise(sought))).withColumns({"part": F.col("x.part"), "full": F.col("x.full")}).drop("x")
-    keyed = ev.join(name_parts(jobs), "part", "left").withColumn("cell", F.explode(F.array(F.floor(F.col("t") / cell), F.floor(F.col("t") / cell) - 1)))
-    queue = jobs.select("ClusterId", "ProcId", "QDate", "StartdName", "StartdSlot", F.col("AssignedGPUs").alias("job_gpus"), F.col("User").alias("job_user"), F.col("ProjectName").alias("job_project"), F.floor(F.col("QDate") / cell).alias("cell"))
-    pairs = keyed.join(queue, ["cell", "StartdName"], "left")
-    diff = F.col("t") - F.col("QDate")
-    slot, device = F.substring_index("slot", "@", 1), F.regexp_extract("job_gpus", "GPU-([a-f0-9]+)", 1)
-    known, known_slot = F.col("gpu") != "Unknown", F.col("slot") != "Unknown"
-    on_slot = F.coalesce(F.contains(F.lower("StartdSlot"), F.lower(slot)), F.lit(False)) & known_slot
-    on_gpu = F.coalesce(device == F.col("gpu"), F.lit(False)) & known
-    order = F.struct((~F.col("full")).alias("other"), (~on_slot).alias("no_slot"), (~on_gpu).alias("no_gpu"), diff.alias("diff"), "ClusterId", "ProcId", "StartdSlot", "job_user", "job_project")
-    best = pairs.groupBy(*runs.columns, "queued", "t").agg(F.min(F.when(diff.between(0, cell), order)).alias("best"))
+    cell, span = minutes * 60, 8 * minutes * 60
+    t, number = F.unix_timestamp(F.col("at").cast("timestamp")), lambda c: F.floor(c / span)
+    ev = runs.withColumn("t", t).withColumn("near", F.floor(F.col("t") / cell)).join(F.broadcast(_queued_near(jobs, cell)), "near", "left")
+    queued = F.coalesce(F.col("first") <= F.col("t"), F.lit(False)) | F.coalesce(F.col("before") >= F.col("t") - cell, F.lit(False))
+    ev = ev.select(*runs.columns, "t", queued.alias("queued"), F.lower(F.substring_index("host", ".", 1)).alias("part")).join(name_parts(jobs), "part", "left")
+    full = F.coalesce(F.contains(F.lower("StartdName"), F.lower("host")), F.lit(False))
+    point = F.struct(*runs.columns, "queued", full.alias("full"))
+    asked = ev.select("StartdName", number(F.col("t")).alias("cell"), "t", "gpu", point.alias("point"))
+    job = F.struct("ClusterId", "ProcId", "StartdSlot", F.col("User").alias("job_user"), F.col("ProjectName").alias("job_project"), "QDate")
+    cells = F.array_distinct(F.array(number(F.col("QDate")), number(F.col("QDate") + cell)))
+    known = jobs.where("QDate is not null and StartdName is not null").select("StartdName", F.explode(cells).alias("cell"), F.col("QDate").alias("t"), F.regexp_extract("AssignedGPUs", "GPU-([a-f0-9]+)", 1).alias("gpu"), job.alias("job"))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    # Up to a time jobs come before evictions; of jobs of one time the least comes last.
+    order = ["t", F.col("point").isNotNull(), F.desc("job")]
+    nearest = lambda *keys: F.last("job", True).over(Window.partitionBy("StartdName", "cell", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    slots = F.collect_set("job.StartdSlot").over(Window.partitionBy("StartdName", "cell"))
+    part, known_gpu, known_slot = F.lower(F.substring_index("point.slot", "@", 1)), F.coalesce(F.col("point.gpu") != "Unknown", F.lit(False)), F.coalesce(F.col("point.slot") != "Unknown", F.lit(False))
+    held = F.when(F.col("point").isNull(), F.array("job.StartdSlot")).when(known_slot, F.filter("slots", lambda x: F.contains(F.lower(x), part)))
+    both = both.withColumn("any", nearest()).withColumn("slots", slots).withColumn("slots", held).withColumn("of_gpu", nearest("gpu"))
+    both = both.select("*", F.explode_outer("slots").alias("on")).drop("slots").withColumn("of_slot", nearest("on")).withColumn("of_both", nearest("on", "gpu"))
+    placed = both.where("point is not null")
+    on_slot = F.col("on").isNotNull()
+
+    def ranked(name: str, rule: Column, no_slot: bool, no_gpu: bool) -> Column:
+        diff, at = F.col("t") - F.col(f"{name}.QDate"), lambda k: F.col(f"{name}.{k}").alias(k)
+        rank = F.struct((~F.col("point.full")).alias("other"), F.lit(no_slot).alias("no_slot"), F.lit(no_gpu).alias("no_gpu"), diff.alias("diff"), at("ClusterId"), at("ProcId"), at("StartdSlot"), at("job_user"), at("job_project"))
+        return F.when(rule & (diff <= cell), rank)
+
+    best = F.coalesce(ranked("of_both", on_slot & known_gpu, False, False), ranked("of_slot", on_slot, False, True), ranked("of_gpu", known_gpu, True, False), ranked("any", F.lit(True), True, True))
+    best = placed.select("point.*", best.alias("best")).groupBy(*runs.columns, "queued").agg(F.min("best").alias("best"))
+    known_gpu, known_slot, slot = F.col("gpu") != "Unknown", F.col("slot") != "Unknown", F.substring_index("slot", "@", 1)
     found, gap, exact = F.col("best").isNotNull(), F.col("best.diff"), ~F.col("best.no_gpu")
-    level = F.when(gap > 15 * 60, "low").when(known & exact, "high").when(known, "medium").otherwise("low")
+    level = F.when(gap > 15 * 60, "low").when(known_gpu & exact, "high").when(known_gpu, "medium").otherwise("low")
     same_slot = known_slot & F.contains(F.coalesce("best.StartdSlot", F.lit("")), slot)
-    reason = F.array_join(F.array_compact(F.array(F.when(known & exact, "exact_gpu_match").when(known, "host_time_match").otherwise("host_time_only"), F.when(same_slot, "slot_match"), F.when(gap <= 5 * 60, "close_time_match"))), ",")
-    none = F.when(F.col("t") - F.unix_timestamp(F.col("queued").cast("timestamp")) <= cell, "no_match").otherwise("no_candidates")
+    reason = F.array_join(F.array_compact(F.array(F.when(known_gpu & exact, "exact_gpu_match").when(known_gpu, "host_time_match").otherwise("host_time_only"), F.when(same_slot, "slot_match"), F.when(gap <= 5 * 60, "close_time_match"))), ",")
+    none = F.when(F.col("queued"), "no_match").otherwise("no_candidates")
     job = F.when(found, F.concat_ws(".", "best.ClusterId", "best.ProcId"))
     return best.select(*runs.columns, job.alias("evicting_job"), "best.job_user", "best.job_project", F.when(found, level).otherwise(none).alias("confidence"), F.when(found, reason).otherwise("").alias("reason"), (gap / 60).alias("minutes"))
 

@@ -217,3 +217,26 @@ def test_gini_by_ranges_of_hours(spark, cells):
     empty = spark.createDataFrame([], "user string, gpu_hours double")
     assert [tuple(x) for x in queue.gini(empty).collect()] == [(0.0, 0)]
     assert [tuple(x) for x in queue.gini(spark.createDataFrame([("a", 0.0), ("b", 0.0)], empty.schema)).collect()] == [(0.0, 2)]
+
+
+def test_evicting_jobs_never_meet_pair_by_pair(spark):
+    """900 evictions and 900 jobs of one machine in one half hour: no step makes rows in the product of both."""
+    n = 900
+    runs = spark.range(n).selectExpr("concat('log', id) AS log", "1 AS eviction", "TIMESTAMP_NTZ'2024-01-31 23:00:00' + make_dt_interval(0, 0, 25, CAST(id % 60 AS INT)) AS at", "1 AS code", "'h1.pool' AS host", "'slot1_1@h1' AS slot", "'ab' AS gpu", "'D' AS device", "5 AS runtime")
+    jobs = spark.range(n).selectExpr("id AS ClusterId", "0 AS ProcId", "unix_timestamp(TIMESTAMP'2024-01-31 23:00:00') + id AS QDate", "'h1' AS StartdName", "concat('slot1_', id % 3, '@h1') AS StartdSlot", "concat('GPU-', if(id % 2 = 0, 'ab', 'cd')) AS AssignedGPUs", "'u' AS User", "'p' AS ProjectName")
+    found = logs.evicting_jobs(runs, jobs)
+    assert {(x["evicting_job"], x["confidence"], x["reason"]) for x in found.collect()} == {("898.0", "high", "exact_gpu_match,slot_match")}
+    assert n <= _most_rows(found) < 5 * n
+
+
+def _most_rows(df) -> int:
+    """The most rows that an operator of the plan put out when ``df`` was collected."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        rows, kids, kind = node.metrics().get("numOutputRows"), node.children(), node.getClass().getSimpleName()
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        stage = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        todo += [stage] if stage is not None else [kids.apply(i) for i in range(kids.size())]
+    return most
