@@ -77,9 +77,10 @@ def evicted_runs(logs: DataFrame) -> DataFrame:
     """Each eviction with the latest start up to it in its log, else the first start, and the seconds run.
 
     Starts and evictions come from one pass over the logs and one shuffle by log: an eviction takes
-    the last start before it in order of time (starts without a readable time come first).
+    the last start before it in order of time (starts without a readable time come first). A log
+    without an eviction gives no row, so it is left out before its lines are taken apart.
     """
-    rows = _events(logs).withColumn("at", F.coalesce(F.col("t"), F.col("evicted")).try_cast("timestamp_ntz")).withColumn("ends", F.col("t").isNull())
+    rows = _events(logs.where(F.contains("text", F.lit("Job was evicted")))).withColumn("at", F.coalesce(F.col("t"), F.col("evicted")).try_cast("timestamp_ntz")).withColumn("ends", F.col("t").isNull())
     rows = rows.withColumn("run", F.when(~F.col("ends"), F.struct("at", "host", "slot", "gpu", "device")))
     w = Window.partitionBy("log").orderBy("at", "ends", "no")
     last, first = F.last("run", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("run", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -184,7 +185,8 @@ def mean_evictions(runs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def confidence_counts(matches: DataFrame, host_part: str = "") -> DataFrame:
-    """Matches by confidence, of hosts that hold ``host_part``, and how many of all were kept."""
-    kept = matches.where(F.contains(F.lower("host"), F.lit(host_part.lower()))) if host_part else matches
-    total = matches.agg(F.count(F.lit(1)).alias("total"))
-    return kept.groupBy("confidence").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    """Matches by confidence, of hosts that hold ``host_part``, and how many of all were kept; in one pass over the matches."""
+    kept = F.contains(F.lower("host"), F.lit(host_part.lower())) if host_part else F.lit(True)
+    counts = matches.groupBy("confidence").agg(F.count_if(kept).alias("n"), F.count(F.lit(1)).alias("all"))
+    total = F.sum("all").over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row a confidence
+    return counts.select("confidence", "n", total.alias("total")).where("n > 0")

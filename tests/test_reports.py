@@ -240,3 +240,11 @@ def _most_rows(df) -> int:
         stage = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
         todo += [stage] if stage is not None else [kids.apply(i) for i in range(kids.size())]
     return most
+
+
+def test_confidence_counts_in_one_pass(spark):
+    rows = [("low", "Host1"), ("low", "x"), ("high", "y"), ("no_match", None), ("low", "ahost1.b")]
+    matches = spark.createDataFrame(rows, "confidence string, host string")
+    assert [tuple(x) for x in logs.confidence_counts(matches, "HOST1").collect()] == [("low", 2, 5)]
+    assert sorted(tuple(x) for x in logs.confidence_counts(matches).collect()) == [("high", 1, 5), ("low", 3, 5), ("no_match", 1, 5)]
+    assert logs.confidence_counts(matches, "HOST1")._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
