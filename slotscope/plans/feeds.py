@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slotscope.operators import allocation
 from slotscope.operators import queue as q
 from slotscope.plans import fixtures as x
 from slotscope.plans.allocation import rounded
+from slotscope.schema import SLOTS
 from slotscope.sources import jobs as src
 from slotscope.sources import config, snapshots
 from slotscope.streaming import streams
@@ -147,10 +151,56 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read(spark, path, files_per_trigger=100)
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """A finite stream's result from a file sink, so that no result passes through the driver."""
+#: Rows of a slice of a stream for each core, and the minutes of a bucket, which no slice divides.
+SLICE_ROWS, BUCKET = 1_000_000, 15
+
+
+def _slices(spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> tuple[str, list[int]]:
+    """Slot snapshots as files in slices of whole buckets, one after another in time: their folder and numbers.
+
+    A slice has about as many rows as the cores can hold the state of; each ends with a later row, which
+    closes all its buckets. Counts of buckets make the slices, so the rows are read twice and not shuffled.
+    """
+    path, cuts = _folder(spark, "stream"), _folder(spark, "cuts")
+    bucket = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / (60 * BUCKET)).alias("bucket")
+    slots = x.slots(spark, sf_dir).select("timestamp", "AssignedGPUs", *columns).where("timestamp is not null").withColumn("bucket", bucket)
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    counts = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last"))
+    counts.select("bucket", "last", F.floor(rows / (SLICE_ROWS * spark.sparkContext.defaultParallelism)).alias("slice")).write.parquet(cuts)
+    found = spark.read.parquet(cuts)
+    ends = found.groupBy("slice").agg((F.max("last") + F.expr("INTERVAL 1 DAY")).alias("timestamp"), F.lit("GPU-end").alias("AssignedGPUs"))
+    placed = slots.join(F.broadcast(found.select("bucket", "slice")), "bucket").drop("bucket")
+    placed.unionByName(ends, allowMissingColumns=True).write.partitionBy("slice").parquet(path)
+    return path, sorted(r["slice"] for r in found.select("slice").distinct().collect())
+
+
+def _sliced(spark: SparkSession, sf_dir: str, columns: tuple[str, ...], query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``query`` gives over the stream of slots, with these columns beside time and device. Its buckets are the same in slices as at once.
+
+    State is that of one slice: it goes with the slice's last bucket, and its files when the slice has ended.
+    """
+    path, slices = _slices(spark, sf_dir, columns)
+    schema = StructType([f for f in SLOTS if f.name in {"timestamp", "AssignedGPUs", *columns}])
+    stream = lambda folder: query(streams.read(spark, folder, schema, files_per_trigger=2**31 - 1))
+    held = "spark.sql.streaming.maxBatchesToRetainInMemory"
+    before = spark.conf.get(held)
+    spark.conf.set(held, "1")  # a slice's batch is not kept beside the one that closes it
+    try:
+        parts = [_drained(spark, stream(f"{path}/slice={k}"), ended=(f"{path}/slice={k}",)) for k in slices]
+    finally:
+        spark.conf.set(held, before)
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], stream(path).schema)
+    return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append", ended: tuple[str, ...] = ()) -> DataFrame:
+    """A finite stream's result from a file sink, so that no result passes through the driver. Its checkpoint and the folders ``ended`` go afterwards."""
     out, ck = _folder(spark, "out"), _folder(spark, "ck")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    for folder in (ck, *ended):
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -161,8 +211,7 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _drained(spark, streams.distinct_devices(_stream(spark, sf_dir)))
-    return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return _sliced(spark, sf_dir, ("State",), lambda s: streams.distinct_devices(s, BUCKET))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

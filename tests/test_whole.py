@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
+from pyspark.sql.streaming import StreamingQueryListener
 
 from slotscope.operators import views
+from slotscope.plans import feeds
 from slotscope.plans import fixtures as x
 from slotscope.plans import jobs as plans
 
@@ -64,3 +67,34 @@ def test_snapshot_by_hand(spark):
     assert (one["total"], one["active"], one["idle"], round(one["mean_use"], 6)) == (5, 2, 3, 40.0)
     assert [r["AssignedGPUs"] for r in views.inactive_devices(shot).collect()] == ["g2"]
     assert sorted((r["AssignedGPUs"], r["job"]) for r in views.active_jobs(shot).collect()) == [("g1", "1.0"), ("g4", "2.0")]
+
+
+@pytest.mark.parametrize("name", ["x4_stream_devices"])
+def test_streams_in_slices(spark, duck, name, monkeypatch):  # noqa: F811
+    """A stream of many slices gives the rows of its SQL, and no batch holds the state of the whole table."""
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    monkeypatch.setattr(feeds, "SLICE_ROWS", rows // (5 * spark.sparkContext.defaultParallelism), raising=False)
+    held = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            held.extend(s.numRowsTotal for s in event.progress.stateOperators)
+
+        def onQueryTerminated(self, event):
+            held.append(None)
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        same(spark, duck, name)
+        until = time.time() + 20
+        while held.count(None) < 5 and time.time() < until:
+            time.sleep(0.2)  # events come after the fact
+    finally:
+        spark.streams.removeListener(listener)
+    assert held.count(None) >= 4
+    assert 0 < max(n for n in held if n is not None) < rows / 3
+    assert spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == "2"
