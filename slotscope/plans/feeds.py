@@ -141,16 +141,6 @@ def poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.upsert_intervals(intervals, polled, now)
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "stream")
-    slots = x.slots(spark, sf_dir)
-    slots.repartitionByRange(8, "timestamp").write.parquet(path)
-    # a later row, which closes all buckets before it; written afterwards, as files are read from the oldest on
-    last = slots.agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"), F.lit("GPU-end").alias("AssignedGPUs")).where("timestamp is not null")
-    spark.createDataFrame([], slots.schema).unionByName(last, allowMissingColumns=True).write.mode("append").parquet(path)
-    return streams.read(spark, path, files_per_trigger=100)
-
-
 #: Rows of a slice of a stream for each core, and the minutes of a bucket, which no slice divides.
 SLICE_ROWS, BUCKET = 1_000_000, 15
 
@@ -205,9 +195,9 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append", ended
 
 
 def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winners and their states by bucket, from a stream that a later row closes."""
-    rows = _drained(spark, streams.bucket_counts(streams.winners(_stream(spark, sf_dir))))
-    return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    """Winners and their states by bucket, from a stream that later rows close."""
+    columns = ("Name", "State")
+    return _sliced(spark, sf_dir, (*columns, "PreventJobsReason"), lambda s: streams.bucket_counts(streams.winners(s, kept=columns), BUCKET))
 
 
 def stream_devices(spark: SparkSession, sf_dir: str) -> DataFrame:

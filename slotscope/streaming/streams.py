@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +30,17 @@ def ingest(ads: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").partitionBy("month").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
-def winners(slots: DataFrame, late: str = LATE) -> DataFrame:
-    """(time window, device, winning row): dedup by the canonical rank per 5-minute window."""
+def winners(slots: DataFrame, late: str = LATE, kept: Sequence[str] = c.KEPT) -> DataFrame:
+    """(time window, device, winning row): dedup by the canonical rank per 5-minute window.
+
+    ``kept`` is the start of ``KEPT`` that the state holds of a row; ties are settled in that order, so
+    what it holds is the same as of whole rows.
+    """
+    if tuple(kept) != c.KEPT[: len(kept)]:
+        raise ValueError(f"kept must be the first of {c.KEPT}, not {tuple(kept)}")
     rows = slots.where("AssignedGPUs is not null").withColumn("ts", F.col("timestamp").cast("timestamp")).withWatermark("ts", late)
     rank = c.slot_rank(d.is_backfill(F.col("Name")), F.col("State"), d.prevented_idle(F.col("PreventJobsReason"), F.col("State")))
-    top = F.max(F.struct(rank.alias("rank"), *c.KEPT)).alias("top")
+    top = F.max(F.struct(rank.alias("rank"), *kept)).alias("top")
     return rows.groupBy(F.window("ts", "5 minutes").alias("w"), "AssignedGPUs").agg(top).select("w", "AssignedGPUs", "top.*")
 
 

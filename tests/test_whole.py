@@ -12,6 +12,7 @@ from slotscope.operators import views
 from slotscope.plans import feeds
 from slotscope.plans import fixtures as x
 from slotscope.plans import jobs as plans
+from slotscope.streaming import streams
 
 from tests.test_queries import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
@@ -69,7 +70,7 @@ def test_snapshot_by_hand(spark):
     assert sorted((r["AssignedGPUs"], r["job"]) for r in views.active_jobs(shot).collect()) == [("g1", "1.0"), ("g4", "2.0")]
 
 
-@pytest.mark.parametrize("name", ["x4_stream_devices"])
+@pytest.mark.parametrize("name", ["x2_x3_stream_buckets", "x4_stream_devices"])
 def test_streams_in_slices(spark, duck, name, monkeypatch):  # noqa: F811
     """A stream of many slices gives the rows of its SQL, and no batch holds the state of the whole table."""
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
@@ -98,3 +99,8 @@ def test_streams_in_slices(spark, duck, name, monkeypatch):  # noqa: F811
     assert held.count(None) >= 4
     assert 0 < max(n for n in held if n is not None) < rows / 3
     assert spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == "2"
+
+
+def test_winners_hold_the_first_of_the_kept_columns():
+    with pytest.raises(ValueError, match="first of"):
+        streams.winners(None, kept=("State",))
